@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import line_dedup, mixing, token_counts
+from docketry.llm import language_id, license_scan, line_dedup, minhash, mixing, token_counts
 from docketry.session import importable, read
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -21,6 +21,31 @@ def tokenizer_path(name: str = PIECE_MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and template notices in every whole text."""
+    found = license_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, blocks = F.col("places"), F.col("blocks")
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(base["word"]).alias("first_word"),
+        F.array_max(base["word"]).alias("last_word"),
+        joined(base["label"]).alias("base_labels"),
+        joined(F.concat(base["label"], F.filter(blocks, lambda b: b["best"])["label"])).alias("labels"),
+        F.when(F.size(base) > 0, 1.0).otherwise(F.coalesce(F.array_max(blocks["containment"]), F.lit(0.0))).alias("score"),
+        F.size(blocks).cast("long").alias("n_blocks"),
+    )
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text, learned from the rows that aren't held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.learn(docs.where(~language_id.held_out()))
+    return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of at least 40 code points in at least 5 documents stay in the largest doc_id only."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -39,6 +64,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, tokenizer_path()).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked by a Jaccard similarity of at least 0.85 on three-word shingles."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, width=3, percent=85).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 OP4_SQL = r"""
 WITH l AS (
   SELECT doc_id, pos, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
