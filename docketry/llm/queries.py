@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import language_id, license_scan, line_dedup, minhash, mixing, token_counts
+from docketry.llm import language_id, license_scan, line_dedup, minhash, mixing, nbest, token_counts
 from docketry.session import importable, read
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -70,6 +70,22 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, width=3, percent=85).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 4 best segmentations of every whole text under the 32k piece model, and whether the best decodes to the text."""
+    docs = nbest.encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), n_best=4)
+    back = docs.withColumn("decoded", nbest.decoded(F.col("pieces.ids"), tokenizer_path()))
+    p = F.col("pieces")
+    return back.select(
+        "doc_id",
+        F.size(p["ids"]).cast("long").alias("n_pieces"),
+        p["score"].alias("score"),
+        (F.size(p["alternatives"]) + F.when(F.size(p["ids"]) > 0, 1).otherwise(0)).cast("long").alias("n_segmentations"),
+        p["alternatives"]["score"].alias("other_scores"),
+        F.sha2(F.array_join(p["ids"].cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 OP4_SQL = r"""
 WITH l AS (
   SELECT doc_id, pos, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
