@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import language_id, license_scan, line_dedup, minhash, mixing, nbest, token_counts
+from docketry.llm import html_text, language_id, license_scan, line_dedup, minhash, mixing, nbest, token_counts
 from docketry.session import importable, read
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -58,6 +58,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text under the 32k piece model."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
