@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import html_text, language_id, license_scan, line_dedup, minhash, mixing, nbest, token_counts
+from docketry.llm import ann, html_text, language_id, license_scan, line_dedup, minhash, mixing, nbest, token_counts, vector_dedup
 from docketry.session import importable, read
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -39,6 +39,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between vectors of one label with a cosine of at least 0.98."""
+    found = vector_dedup.near_duplicates(read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text, learned from the rows that aren't held out."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -58,6 +64,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th vector by inner product."""
+    found = ann.nearest(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = html_text.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
