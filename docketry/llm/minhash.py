@@ -73,7 +73,7 @@ def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, list[np.ndarray]]
 
 
 def signatures(docs: DataFrame, width: int, *, key: str = "doc_id", text: str = "text", k: int = COORDINATES) -> DataFrame:
-    """(id, n, set_hash, sig): size of each text's set, a 128-bit hash of it, and its k minima (empty for an empty set)."""
+    """(id, text_hash, n, set_hash, sig): size of each text's set, a 128-bit hash of it, and its k minima (empty for an empty set)."""
     import hashlib
 
     importable(docs.sparkSession)
@@ -81,7 +81,7 @@ def signatures(docs: DataFrame, width: int, *, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, set_hash, sig = np.zeros(len(b), np.int64), [b""] * len(b), [b""] * len(b)
-            for first, sets in _sets(b.column(1), width):
+            for first, sets in _sets(b.column(2), width):
                 size = np.array([len(x) for x in sets])
                 n[first : first + len(sets)] = size
                 full = np.flatnonzero(size)
@@ -93,10 +93,10 @@ def signatures(docs: DataFrame, width: int, *, key: str = "doc_id", text: str =
                 for r, s in zip(full.tolist(), rows, strict=True):
                     sig[first + r] = s.tobytes()
                     set_hash[first + r] = hashlib.blake2b(sets[r].tobytes(), digest_size=16).digest()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(set_hash, pa.binary()), pa.array(sig, pa.binary())], ["id", "n", "set_hash", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(set_hash, pa.binary()), pa.array(sig, pa.binary())], ["id", "text_hash", "n", "set_hash", "sig"])
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id bigint, n bigint, set_hash binary, sig binary")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_hash"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "id bigint, text_hash bigint, n bigint, set_hash binary, sig binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -279,7 +279,7 @@ def link_edges(docs: DataFrame, clusters: DataFrame, width: int, percent: int, *
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) per row of ``docs``."""
+    """(id, text_hash, n_shingles, component_id, kept) per row of ``docs``; text_hash is xxhash64 of the text."""
     signed = materialize(signatures(docs, width, key=key, text=text), "signatures")
     full = signed.where((F.col("n") > 0) & F.col("id").isNotNull())
     reps = materialize(full.groupBy("set_hash").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "representatives")
@@ -288,13 +288,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, key:
     clusters = nodes.join(reps.select("id", "set_hash"), "id")
     links = connected(link_edges(docs, clusters, width, percent, key=key, text=text))
     classes = reps.join(links, reps["id"] == links["node"], "left").select("set_hash", F.coalesce("root", "id").alias("component_id"))
-    joined = full.select("id", "n", "set_hash").join(classes, "set_hash").select("id", "n", "component_id")
-    alone = signed.where(~((F.col("n") > 0) & F.col("id").isNotNull())).select("id", "n", F.col("id").alias("component_id"))
-    return joined.union(alone).select("id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    joined = full.select("id", "text_hash", "n", "set_hash").join(classes, "set_hash").select("id", "text_hash", "n", "component_id")
+    alone = signed.where(~((F.col("n") > 0) & F.col("id").isNotNull())).select("id", "text_hash", "n", F.col("id").alias("component_id"))
+    return joined.union(alone).select("id", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: of each group of near copies the row with the smallest id stays (of rows with that id, each text once)."""
+    """The pipeline's stage: of each group of near copies the document with the smallest id stays; of rows that repeat id and text, one."""
     found = near_duplicates(docs.select("doc_id", "text"))
-    gone = found.groupBy("id").agg(F.max("kept").alias("__kept")).where(~F.col("__kept")).select(F.col("id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    plan = found.groupBy("id", "text_hash").agg(F.max("kept").alias("__kept"), F.count("kept").alias("__rows")).where(~F.col("__kept") | (F.col("__rows") > 1))
+    hashed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    joined = hashed.join(plan, (hashed["doc_id"].cast("long") == plan["id"]) & (hashed["__hash"] == plan["text_hash"]), "left").where(F.coalesce("__kept", F.lit(True)))
+    repeated = joined.where(F.col("__rows") > 1).dropDuplicates(["doc_id", "__hash"])
+    return joined.where(F.col("__rows").isNull()).select(*(hashed[c] for c in docs.columns)).union(repeated.select(*docs.columns))
