@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docketry.functions import dates, names, text, vectors
-from docketry.operators import evaluation, figures, geometry, graph, lookup, similarity, store, topics
+from docketry.operators import classify, embedding, evaluation, figures, geometry, graph, lookup, similarity, store, topics
 from docketry.plans import tables as t
 from docketry.plans.ladder import Figure, by_country, countries_without, ladder, unused_names
 from docketry.session import read
@@ -551,3 +551,20 @@ SELECT topic, row_number() OVER (PARTITION BY topic ORDER BY score DESC, word)::
 def ctfidf_labels(spark, sf):
     docs = read(spark, sf, "benchmark").withColumn("topic", F.col("item_id") % 5)
     return topics.word_labels(docs, "topic", "text")
+
+
+@query("authorship_classifier")
+def authorship_classifier(spark, sf):
+    labels = ["y0", "y1", "y2"]
+    rows = t.vectors(spark, sf).withColumns({"doc": F.floor(F.col("id") / 2), **{y: (F.col("topic") % 3 == k).cast("int") for k, y in enumerate(labels)}}).withColumn("part", classify.split("doc"))
+    model = classify.fit(rows.where("part <> 'test'"), "vector", labels, "logistic", 8)
+    scored = classify.per_document(model.scores(rows.where("part = 'test'"), "vector"), "doc", labels)
+    return classify.cross_entropy(scored, labels).select("label", "n", F.round("loss", 6).alias("loss"))
+
+
+@query("embedding_store_fill", "SELECT sha256(text) AS uuid, true AS unit FROM (SELECT DISTINCT text FROM benchmark WHERE trim(text) <> '')")
+def embedding_store_fill(spark, sf):
+    parts = embedding.with_segments(read(spark, sf, "benchmark"), "item_id", "text")
+    empty = spark.createDataFrame([], "uuid string, embedding array<double>")
+    filled = embedding.embed_missing(parts, empty)
+    return filled.select("uuid", (F.abs(vectors.dot(F.col("embedding"), F.col("embedding")) - 1) < 1e-9).alias("unit"))
