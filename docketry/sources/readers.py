@@ -7,17 +7,16 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-PAPERS = T.StructType.fromDDL("paper_url string, paper_id string, meeting_year int, meeting_type string, meeting_number int, meeting_name string, party_type string, paper_name string, paper_number int, paper_revision int, agendas array<string>, parties array<string>, paper_language string, payload_json string")
-INSTRUMENTS = T.StructType.fromDDL("Document_Number int, Subject string, Status string, Category string, Topics string, Title string, Content string, Approvals string")
-CHUNKS = T.StructType.fromDDL("document string, chunk_num int, chunk string, year int, mentioned string, intervening string")
+PAPERS = "paper_url string, paper_id string, meeting_year int, meeting_type string, meeting_number int, meeting_name string, party_type string, paper_name string, paper_number int, paper_revision int, agendas array<string>, parties array<string>, paper_language string, payload_json string"
+INSTRUMENTS = "Document_Number int, Subject string, Status string, Category string, Topics string, Title string, Content string, Approvals string"
+CHUNKS = "document string, chunk_num int, chunk string, year int, mentioned string, intervening string"
 # Cells that mean "missing" in a table of text.
 MISSING_CELLS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 
-def csv(spark: SparkSession, path: str, schema: T.StructType | None = None, encoding: str = "UTF-8", header: bool = True, separator: str = ",") -> DataFrame:
+def csv(spark: SparkSession, path: str, schema: str | None = None, encoding: str = "UTF-8", header: bool = True, separator: str = ",") -> DataFrame:
     """A CSV table; cells may hold line ends and doubled quotes."""
     reader = spark.read.options(header=header, multiLine=True, escape='"', encoding=encoding, sep=separator)
     return (reader.schema(schema) if schema else reader).csv(path)
