@@ -31,11 +31,23 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver was started elsewhere."""
+    """Let Python workers import this package when the driver was started elsewhere, and bound their batches."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    small_batches(spark)
+
+
+#: Rows of a batch that goes to a Python worker; Spark's default of 10,000 whole texts can be too much memory for one.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python workers, unless the session has its own bound."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
