@@ -47,7 +47,7 @@ SPACE = "▁"
 _LITERAL = "\udc81"
 UNKNOWN_PENALTY = 10.0
 #: Documented bound of each worker's cache, in parts of texts.
-CACHE_PARTS = 600_000
+CACHE_PARTS = 300_000
 #: Parts up to this length are searched together with others of their length.
 TOGETHER = 24
 CHUNK_CHARS = 1_000_000
@@ -70,9 +70,7 @@ class Lattice:
         self.n_best = n_best
         kinds = proto.ModelProto.SentencePiece
         self.pieces = {p.piece: (k, float(p.score)) for k, p in enumerate(model.pieces) if p.type in (kinds.NORMAL, kinds.USER_DEFINED)}
-        self.text = [p.piece for p in model.pieces]
         self.bytes = {int(p.piece[3:5], 16): k for k, p in enumerate(model.pieces) if p.type == kinds.BYTE}
-        self.byte_of = {k: b for b, k in self.bytes.items()}
         if len(self.bytes) < 256:
             raise ValueError("a model without byte pieces can't give texts back")
         self.unknown = min(s for _, s in self.pieces.values()) - UNKNOWN_PENALTY
@@ -314,23 +312,40 @@ class Lattice:
             kept = self.found[part] = self.search(part)
         return kept
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of a list of ids."""
-        byte_of, text = self.byte_of, self.text
-        if not any(k in byte_of for k in set(ids)):
-            return "".join([text[k] for k in ids]).replace(SPACE, " ")[1:]
-        out, pending = [], bytearray()
-        for k in ids:
-            if k in byte_of:
-                pending.append(byte_of[k])
-                continue
-            if pending:
-                out.append(pending.decode("utf-8", "replace"))
-                pending.clear()
-            out.append(text[k].replace(SPACE, " "))
-        if pending:
-            out.append(pending.decode("utf-8", "replace"))
-        return "".join(out)[1:]
+
+class Decoder:
+    """The bytes of each piece, so that texts come out of one gather over all ids."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        written = [bytes([int(p[3:5], 16)]) if model.is_byte(k) else p.replace(SPACE, " ").encode() for k, p in ((k, model.id_to_piece(k)) for k in range(model.get_piece_size()))]
+        self.length = np.array([len(x) for x in written])
+        self.at = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b"".join(written), np.uint8)
+
+    def texts(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """One text for each run of ids, without the space that the encoder puts in front."""
+        n = self.length[ids]
+        ends = np.cumsum(n)
+        flat = self.bytes[np.repeat(self.at[ids] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[offsets]
+        full = np.diff(offsets) > 0
+        keep = np.ones(len(flat), bool)
+        keep[cuts[:-1][full]] = False
+        whole = flat[keep].tobytes()
+        cuts = cuts - np.concatenate([[0], np.cumsum(full)])
+        try:
+            whole.decode()
+        except UnicodeDecodeError:  # ids that no text gives
+            return pa.array([whole[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.string())
+        return pa.StringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(whole))
+
+
+@lru_cache(maxsize=2)
+def pieces_of(path: str) -> Decoder:
+    return Decoder(path)
 
 
 @lru_cache(maxsize=2)
@@ -367,9 +382,10 @@ def decoder(model_path: str):
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = lattice(model_path, 1)
+        model = pieces_of(model_path)
         for b in batches:
-            yield pa.array([model.decode(x or []) for x in b.to_pylist()], pa.string())
+            offsets = np.concatenate([[0], np.cumsum(np.nan_to_num(b.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))])
+            yield model.texts(b.flatten().to_numpy(), offsets)
 
     return decode
 
