@@ -14,11 +14,19 @@ def summary(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFra
     return rows.groupBy(*(by or [])).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), q(0.05).alias("p05"), q(0.5).alias("p50"), q(0.95).alias("p95"), F.max(value).alias("max"))
 
 
-def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
-    """(bin, n, density): equal bins over a closed range; the last one holds its upper end."""
+def counted_summary(rows: DataFrame, value: str, n: str, by: list[str]) -> DataFrame:
+    """As ``summary`` for values that stand for n rows each."""
+    q = lambda p: F.percentile(value, F.lit(p), F.col(n))
+    total, mean = F.sum(n), F.sum(F.col(value) * F.col(n)) / F.sum(n)
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col(value) * F.col(value) * F.col(n)) / F.sum(n) - mean * mean))
+    return rows.groupBy(*by).agg(total.alias("n"), mean.alias("mean"), spread.alias("std"), F.min(value).alias("min"), q(0.05).alias("p05"), q(0.5).alias("p50"), q(0.95).alias("p95"), F.max(value).alias("max"))
+
+
+def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int, n: str | None = None) -> DataFrame:
+    """(bin, n, density): equal bins over a closed range; the last one holds its upper end. ``n``: a column of counts."""
     width = (high - low) / bins
     at = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1)).cast("int")
-    counts = rows.where(F.col(value).between(low, high)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
+    counts = rows.where(F.col(value).between(low, high)).groupBy(at.alias("bin")).agg((F.sum(n) if n else F.count("*")).alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
     return counts.join(F.broadcast(total)).select("bin", "n", (F.col("n") / (F.col("total") * width)).alias("density"))  # one row
 

@@ -63,6 +63,36 @@ def pairs_above(left: DataFrame, right: DataFrame, threshold: float, backward: b
     return _blocks(left, right).groupBy("lb", "rb").applyInArrow(run, "left_id bigint, right_id bigint, left_year bigint, right_year bigint, sim double")
 
 
+def distance_counts(left: DataFrame, right: DataFrame, decimals: int) -> DataFrame:
+    """(part, distance, n): how many pairs have a cosine distance, rounded to ``decimals`` places, by the left side's ``part``.
+
+    Both sides are (id, year, vector), unit vectors; left has ``part`` too. Each
+    task counts its own block's pairs, so what is shuffled is bounded by the
+    number of rounded values, whatever the number of pairs.
+    """
+    importable(left.sparkSession)
+    scale = 10**decimals
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy(zero_copy_only=False)
+        part, x = table.column("year").to_numpy(), _matrix(table.column("vector"))
+        a, b = np.flatnonzero(side), np.flatnonzero(~side)
+        out = {"part": [], "distance": [], "n": []}
+        for p in np.unique(part[a]):
+            own = a[part[a] == p]
+            counts = np.zeros(2 * scale + 2, np.int64)
+            for k in range(0, len(own), 256):
+                counts += np.bincount(np.clip(np.round((1 - x[own[k : k + 256]] @ x[b].T) * scale), 0, 2 * scale + 1).astype(np.int64).ravel(), minlength=len(counts))
+            full = np.flatnonzero(counts)
+            for name, v in (("part", np.full(len(full), p)), ("distance", full / scale), ("n", counts[full])):
+                out[name].append(v)
+        return pa.table({k: np.concatenate(v) if v else np.zeros(0, np.float64 if k == "distance" else np.int64) for k, v in out.items()})
+
+    marked = left.select("id", F.col("part").alias("year"), "vector")
+    found = _blocks(marked, right.select("id", F.col("year").cast("long").alias("year"), "vector")).groupBy("lb", "rb").applyInArrow(run, "part bigint, distance double, n bigint")
+    return found.groupBy("part", "distance").agg(F.sum("n").alias("n"))
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """(left_id, rank, right_id, left_year, right_year, sim): the k nearest of ``right`` for each of ``left``, ties to the smaller id."""
     importable(left.sparkSession)

@@ -53,12 +53,15 @@ def pages_joined(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     return every.join(own, [doc, page], "left").groupBy(doc).agg(F.count("*").alias("n_pages"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(page).alias("p"), F.coalesce("t", F.lit("")).alias("t")))), lambda e: F.concat(e["t"], F.lit("\n"))), "").alias("text"))
 
 
-def fingerprint(rows: DataFrame, fields: list[Column], buckets: int = 256) -> DataFrame:
+def fingerprint(rows: DataFrame, fields: list[Column]) -> DataFrame:
     """(n, fingerprint): the same for any order of the same rows.
 
-    Rows are hashed and bucketed by their hash; each bucket's sorted hashes are
-    hashed, then the buckets', so no task holds all rows.
+    Equal rows are counted first. Their hashes are then hashed up a tree by
+    ever shorter beginnings (6, 4, 2, 0 digits): a group holds at most 256
+    entries above the first level, and n / 16 million on it.
     """
     h = F.sha2(F.concat_ws("\x1f", *fields), 256)
-    per = rows.select(h.alias("h")).groupBy(F.substring("h", 1, 2 if buckets == 256 else 4).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\x1e"), 256).alias("h"))
-    return per.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", F.lit(":"), "h"))), "\x1e"), 256).alias("fingerprint"))
+    level = rows.select(h.alias("b")).groupBy("b").agg(F.count("*").alias("n")).select("b", F.col("n").cast("string").alias("h"), "n")
+    for digits in (6, 4, 2, 0):
+        level = level.groupBy(F.substring("b", 1, digits).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("b", F.lit(":"), "h"))), "\x1e"), 256).alias("h"), F.sum("n").alias("n"))
+    return level.select("n", F.col("h").alias("fingerprint"))

@@ -380,15 +380,18 @@ def composition_buckets(spark, sf):
     return topics.composition_buckets(topics.composition(t.vectors(spark, sf).withColumn("is_instrument", F.col("id") % 5 == 0)))
 
 
-@query("geometry_summary", f"WITH {VECTORS}, d AS (SELECT left_id % 3 AS part, 1 - sim AS d FROM pairs) SELECT part, count(*) AS n, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std, round(min(d), 6) AS min, round(quantile_cont(d, 0.05), 6) AS p05, round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.95), 6) AS p95, round(max(d), 6) AS max FROM d GROUP BY part")
+@query("geometry_summary", f"WITH {VECTORS}, d AS (SELECT left_id % 3 AS part, round(1 - sim, 6) AS d FROM pairs) SELECT part, count(*) AS n, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std, min(d) AS min, round(quantile_cont(d, 0.05), 6) AS p05, round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.95), 6) AS p95, max(d) AS max FROM d GROUP BY part")
 def geometry_summary(spark, sf):
-    d = similarity.pairs_above(*t.sides(spark, sf), -2.0).select((F.col("left_id") % 3).alias("part"), (1 - F.col("sim")).alias("d"))
-    return geometry.summary(d, "d", ["part"]).select("part", "n", *(F.round(c, 6).alias(c) for c in ("mean", "std", "min", "p05", "p50", "p95", "max")))
+    left, right = t.sides(spark, sf)
+    d = similarity.distance_counts(left.withColumn("part", F.col("id") % 3), right, 6)
+    return geometry.counted_summary(d, "distance", "n", ["part"]).select("part", "n", *(F.round(c, 6).alias(c) for c in ("mean", "std", "min", "p05", "p50", "p95", "max")))
 
 
-@query("similarity_histogram", f"WITH {VECTORS}, h AS (SELECT least(floor((sim + 1) / (2.0::DOUBLE / 60)), 59)::INT AS bin FROM pairs) SELECT bin, count(*) AS n, round(count(*) / ((SELECT count(*) FROM h) * (2.0::DOUBLE / 60)), 6) AS density FROM h GROUP BY bin")
+@query("similarity_histogram", f"WITH {VECTORS}, h AS (SELECT least(floor(round(1 - sim, 6) / (2.0::DOUBLE / 60)), 59)::INT AS bin FROM pairs) SELECT bin, count(*) AS n, round(count(*) / ((SELECT count(*) FROM h) * (2.0::DOUBLE / 60)), 6) AS density FROM h GROUP BY bin")
 def similarity_histogram(spark, sf):
-    return geometry.histogram(similarity.pairs_above(*t.sides(spark, sf), -2.0), "sim", -1.0, 1.0, 60).withColumn("density", F.round("density", 6))
+    left, right = t.sides(spark, sf)
+    d = similarity.distance_counts(left.withColumn("part", F.lit(0).cast("long")), right, 6)
+    return geometry.histogram(d, "distance", 0.0, 2.0, 60, "n").withColumn("density", F.round("density", 6))
 
 
 @query("mean_pool_segments", f"""WITH {VECTORS}, p AS (SELECT id // 4 AS doc, pos, avg(val) AS m, count(*) AS n FROM (SELECT id, unnest(x) AS val, generate_subscripts(x, 1) AS pos FROM v) GROUP BY ALL)
@@ -476,8 +479,11 @@ def store_upsert(spark, sf):
     return store.upsert(store.upsert(old, new, ["k"]), new, ["k"])
 
 
-@query("dataset_fingerprint", """WITH h AS (SELECT sha256(doc_id || chr(31) || lang || chr(31) || source) AS h FROM documents), b AS (SELECT left(h, 2) AS b, count(*) AS n, sha256(string_agg(h, chr(30) ORDER BY h)) AS h FROM h GROUP BY 1)
-SELECT sum(n)::BIGINT AS n, sha256(string_agg(b || ':' || h, chr(30) ORDER BY b || ':' || h)) AS fingerprint FROM b""")
+@query("dataset_fingerprint", """WITH z AS (SELECT sha256(doc_id || chr(31) || lang || chr(31) || source) AS b, count(*) AS n FROM documents GROUP BY 1),
+l6 AS (SELECT left(b, 6) AS c, sha256(string_agg(b || ':' || n, chr(30) ORDER BY b || ':' || n)) AS h, sum(n) AS n FROM z GROUP BY 1),
+l4 AS (SELECT left(c, 4) AS d, sha256(string_agg(c || ':' || h, chr(30) ORDER BY c || ':' || h)) AS h, sum(n) AS n FROM l6 GROUP BY 1),
+l2 AS (SELECT left(d, 2) AS e, sha256(string_agg(d || ':' || h, chr(30) ORDER BY d || ':' || h)) AS h, sum(n) AS n FROM l4 GROUP BY 1)
+SELECT sum(n)::BIGINT AS n, sha256(string_agg(e || ':' || h, chr(30) ORDER BY e || ':' || h)) AS fingerprint FROM l2""")
 def dataset_fingerprint(spark, sf):
     return store.fingerprint(read(spark, sf, "documents"), [F.col("doc_id").cast("string"), F.col("lang"), F.col("source")])
 

@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
-#: Used only where the session names no shared folder (single-machine tests).
-LOCAL_SHARED = "/tmp/checkpoints"
+#: Used only where the session names no shared folder (single-machine tests); it goes when the process ends.
+LOCAL_SHARED = f"/tmp/checkpoints/{uuid.uuid4().hex}"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    atexit.unregister(_clear_local)
+    atexit.register(_clear_local)
+    return LOCAL_SHARED
+
+
+def _clear_local() -> None:
+    shutil.rmtree(LOCAL_SHARED, ignore_errors=True)
+
+
+def forget_tables(spark: SparkSession) -> None:
+    """Remove the tables that ``materialize`` wrote, once nothing reads them any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tables")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
