@@ -296,8 +296,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, key:
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: of each group of near copies the document with the smallest id stays; of rows that repeat id and text, one."""
     found = near_duplicates(docs.select("doc_id", "text"))
-    plan = found.groupBy("id", "text_hash").agg(F.max("kept").alias("__kept"), F.count("kept").alias("__rows")).where(~F.col("__kept") | (F.col("__rows") > 1))
+    plan = found.groupBy(F.col("id").alias("__id"), F.col("text_hash").alias("__text_hash")).agg(F.max("kept").alias("__kept"), F.count("kept").alias("__rows")).where(~F.col("__kept") | (F.col("__rows") > 1))
     hashed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = hashed.join(plan, (hashed["doc_id"].cast("long") == plan["id"]) & (hashed["__hash"] == plan["text_hash"]), "left").where(F.coalesce("__kept", F.lit(True)))
+    joined = hashed.join(plan, (F.col("doc_id").cast("long") == F.col("__id")) & (F.col("__hash") == F.col("__text_hash")), "left").where(F.coalesce("__kept", F.lit(True)))
     repeated = joined.where(F.col("__rows") > 1).dropDuplicates(["doc_id", "__hash"])
-    return joined.where(F.col("__rows").isNull()).select(*(hashed[c] for c in docs.columns)).union(repeated.select(*docs.columns))
+    return joined.where(F.col("__rows").isNull()).select(*docs.columns).union(repeated.select(*docs.columns))
