@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from docketry.session import importable
 
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: U+2581 is how the model writes a space, so a text's own one counts as white space.
+_SAFE = re.compile(r"(?<=[^\s\u2581]) (?=[^\s\u2581])")
 
 
 @lru_cache(maxsize=4)
