@@ -7,7 +7,7 @@ level. Directions come from a seed and medians from a bounded sample
 A query walks all trees through one shared priority queue: the cheapest open
 node of any tree is opened next, where a node costs the squared distances of
 the query to the planes that it had to cross on the way. Leaves are taken
-until they hold ``share`` times all rows. Queries and leaf rows then meet leaf
+until they hold ``share`` times all rows, and more than k of one tree. Queries and leaf rows then meet leaf
 by leaf, and each leaf gives back a query's best rows by the exact inner
 product on the original vectors. Leaves with more rows than a block are
 searched block by block on separate tasks.
@@ -77,12 +77,12 @@ class Forest:
             out[:, t] = node
         return out
 
-    def walk(self, margin: np.ndarray, filled: np.ndarray, need: float) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order of the shared queue until ``need`` rows are reached. margin: trees x nodes of one query."""
+    def walk(self, margin: np.ndarray, filled: np.ndarray, need: float, least: int) -> list[tuple[int, int]]:
+        """(tree, leaf) in the order of the shared queue until ``need`` rows are reached, ``least`` of them in one tree, so different ones. margin: trees x nodes of one query."""
         inner = (1 << self.depth) - 1
         queue = [(0.0, t, 0) for t in range(len(margin))]
-        out, have = [], 0
-        while queue and have < need:
+        out, have, by_tree = [], 0, [0] * len(margin)
+        while queue and (have < need or max(by_tree) < least):
             cost, t, node = heapq.heappop(queue)
             while node < inner:
                 m = margin[t, node]
@@ -92,6 +92,7 @@ class Forest:
             if filled[t, node - inner]:
                 out.append((t, int(node - inner)))
                 have += filled[t, node - inner]
+                by_tree[t] += filled[t, node - inner]
         return out
 
 
@@ -109,7 +110,7 @@ def _indexed(rows: DataFrame, forests: dict[int, Forest]) -> DataFrame:
     return rows.select("id", "vector").mapInArrow(run, f"d int, tree int, leaf int, id bigint, vector {kind}")
 
 
-def _visits(queries: DataFrame, forests: dict[int, Forest], filled: dict[int, np.ndarray], share: float) -> DataFrame:
+def _visits(queries: DataFrame, forests: dict[int, Forest], filled: dict[int, np.ndarray], share: float, k: int) -> DataFrame:
     kind = queries.schema["vector"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +118,8 @@ def _visits(queries: DataFrame, forests: dict[int, Forest], filled: dict[int, np
             for d, at, x in by_dimension(b, "vector"):
                 f = forests[d]
                 margins = np.einsum("qd,tnd->qtn", x, f.w) - f.median
-                need = share * filled[d][0].sum()
-                opened = [f.walk(margins[k], filled[d], need) for k in range(len(x))]
+                rows = int(filled[d][0].sum())
+                opened = [f.walk(m, filled[d], share * rows, min(rows, k + 1)) for m in margins]
                 row = np.repeat(at, [len(o) for o in opened])
                 took = b.take(pa.array(row))
                 pairs = np.array([p for o in opened for p in o], np.int32).reshape(-1, 2)
@@ -147,7 +148,7 @@ def nearest(rows: DataFrame, is_query: Column, *, k: int = 20, key: str = "vec_i
     filled = {d: np.zeros((trees, 1 << depth), np.int64) for d in forests}
     for r in index.groupBy("d", "tree", "leaf").count().collect():  # trees x leaves rows a vector length
         filled[r["d"]][r["tree"], r["leaf"]] = r["count"]
-    visits = _visits(asked, forests, filled, share)
+    visits = _visits(asked, forests, filled, share, k)
     blocks = rows.sparkSession.createDataFrame([(d, t, leaf, int(-(-n // BLOCK))) for d, x in filled.items() for t, leaves in enumerate(x.tolist()) for leaf, n in enumerate(leaves) if n], "d int, tree int, leaf int, blocks int")
     queries_per_leaf = visits.groupBy("d", "tree", "leaf").agg(F.ceil(F.count("id") / F.lit(float(BLOCK))).cast("int").alias("query_blocks"))
     draw = F.xxhash64(F.lit("block"), "id")
