@@ -14,8 +14,9 @@ documents is taken floor(epochs) times, and some once more: documents of a
 source are dealt by a seeded hash to buckets of about ``bucket_rows`` (a hot
 source has many), and in each bucket the fractional repetition is spread by
 error diffusion from the largest to the smallest document, with a seeded
-uniform threshold for each. A bucket's error stays near its smallest
-documents' sizes, each document's chance is the fraction, and reruns agree.
+threshold for each; what is then still owed goes to the document that fits it
+best. A bucket's error stays near its smallest documents' sizes, and reruns
+agree.
 
 Defined cases: a null or blank text has size 0 and is taken 0 words. Null is
 a source of its own. Rows with the same id are separate rows. Sources of
@@ -37,7 +38,7 @@ from docketry.llm.arrays import NOT_SPACE, chunks, words
 from docketry.session import importable, materialize
 
 #: Documented bound of a bucket in ``repetitions``.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def sizes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -102,13 +103,22 @@ def repetitions(sized: DataFrame, planned: DataFrame, *, seed: int = 11, bucket_
         whole = int(np.floor(epochs))
         part = epochs - whole
         pdf = pdf.sort_values(["size", "u", "id"], ascending=[False, True, True], kind="stable")
+        size = pdf["size"].to_numpy()
         once, debt = np.zeros(len(pdf), np.int64), 0.0
-        chance = (pdf["u"].to_numpy().astype(np.uint64) >> np.uint64(11)) / 2.0**53
-        for k, (n, c) in enumerate(zip(pdf["size"].tolist(), chance.tolist(), strict=True)):
+        # A document is taken once more when what is owed passes its threshold, 0.4 to 0.6 of its size.
+        threshold = 0.4 + 0.2 * ((pdf["u"].to_numpy().astype(np.uint64) >> np.uint64(11)) / 2.0**53)
+        for k, (n, c) in enumerate(zip(size.tolist(), threshold.tolist(), strict=True)):
             debt += part * n
             if n and part and debt > c * n:
                 once[k] = 1
                 debt -= n
+        for _ in range(8 if part else 0):  # what is still owed, or too much, goes to the document that fits it best
+            after = np.abs(debt + np.where(once == 1, size, -size))
+            best = int(after.argmin())
+            if after[best] >= abs(debt):
+                break
+            debt += size[best] if once[best] else -size[best]
+            once[best] ^= 1
         return pdf.assign(times=whole + once)[["id", "source", "text_hash", "size", "source_size", "target", "times"]]
 
     return rows.groupBy("source", "bucket").applyInPandas(spread, "id bigint, source string, text_hash bigint, size bigint, source_size bigint, target double, times bigint")
