@@ -1,14 +1,15 @@
 """Main text of web pages by tag-path ratios (operator 7).
 
-A page is read as a sequence of text nodes, each with the path of open tags
-above it. Per path the page's text length, punctuation, link text and number
-of nodes are summed. Two ratios - text per node and punctuation per node -
-are smoothed along the page over neighbouring paths, fused (their geometric
-mean), and damped by the share of link text; the paths above a threshold of
-the page's own distribution are content. The block of paths that share the
-container of the strongest path is then taken whole, so short paragraphs,
-headings and quotes of the article stay, while menus, notices, adverts,
-forms and reader comments, known by their tags, roles or class words, go.
+A page is read as a sequence of text nodes, each with the path of open block
+elements above it. Per path the page's text length, punctuation, link text
+and number of nodes are summed. Two ratios - text per node and punctuation per
+node - are smoothed along the page over neighbouring paths, fused (their
+geometric mean), and damped by the share of link text; the paths above a
+threshold of the page's own distribution are content. The containers of the
+content paths (or the page's article, where it marks one) are then taken
+whole, so short paragraphs, headings and quotes of the article stay, while
+paths that are mostly links, and menus, notices, adverts, forms and reader
+comments, known by their tags, roles or class words, go.
 
 Work is page by page inside Arrow functions, so Spark deals pages out and
 nothing is shuffled. Reading is one pass of a tokenising pattern; end tags
@@ -46,11 +47,15 @@ WHOLE = frozenset("html body main".split())
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising advertorial banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside widget widgets related recommended "
     "footer header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist reply replies respond discussion disqus "
-    "pagination pager copyright legal disclaimer search contentinfo complementary dialog skip hidden".split()
+    "responses reactions teaser teasers pagination pager copyright legal disclaimer search contentinfo complementary dialog skip hidden".split()
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
 _NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role|itemtype|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|[\s\"'/])(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*)display\s*:\s*none)", re.I)
+# Block elements that stand inside a container's flow of text.
+INNER = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre td th tr tbody thead tfoot table figure figcaption caption".split())
+#: A path with a larger share of its text in links isn't text of the article.
+MOSTLY = 0.6
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _BLANK = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、！？；：()\"“”«»¿¡]")
@@ -62,11 +67,16 @@ def _marked(attributes: str) -> bool:
         return False
     if _HIDDEN.search(attributes):
         return True
-    return any(w.lower() in ASIDE_WORDS for m in _NAMED.finditer(attributes) for w in _PART.findall(m[1] or m[2] or m[3] or ""))
+    for m in _NAMED.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            parts = [w.lower() for w in _PART.findall(name)]
+            if any(w in ASIDE_WORDS for w in parts) or "".join(parts) in ASIDE_WORDS or any(x + y in ASIDE_WORDS for x, y in zip(parts, parts[1:], strict=False)):
+                return True
+    return False
 
 
 def text_nodes(page: str, by_class: bool = True) -> list[tuple[str, str, bool, bool, int]]:
-    """(path, text, in a link, marked as not the article, block number) of each shown text node, in page order."""
+    """(path of block elements, text, in a link, marked as not the article, block number) of each text node, in page order."""
     out: list[tuple[str, str, bool, bool, int]] = []
     # An open element: tag, path with it, in a link, marked.
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
@@ -121,7 +131,7 @@ def text_nodes(page: str, by_class: bool = True) -> list[tuple[str, str, bool, b
         if tag in VOID or attributes.endswith("/"):
             continue
         _, path, link, marked = stack[-1]
-        stack.append((tag, f"{path}/{tag}", link or tag == "a", marked or tag in UNSHOWN or (by_class and tag not in WHOLE and _marked(attributes))))
+        stack.append((tag, f"{path}/{tag}" if tag in BLOCK else path, link or tag == "a", marked or tag in UNSHOWN or (by_class and tag not in WHOLE and _marked(attributes))))
     return out
 
 
@@ -131,33 +141,33 @@ def _smooth(values: list[float]) -> list[float]:
     return [sum(values[max(0, k - 1) : k + 2]) / (min(n, k + 2) - max(0, k - 1)) for k in range(n)]
 
 
-def content_paths(nodes: list[tuple[str, str, bool, bool, int]]) -> set[str]:
-    """The tag paths whose fused ratio passes the page's threshold."""
-    length: dict[str, list[float]] = {}
+def content_paths(nodes: list[tuple[str, str, bool, bool, int]]) -> tuple[set[str], set[str]]:
+    """The tag paths whose fused ratio passes the page's threshold, and those that are mostly links."""
+    found: dict[str, list[float]] = {}
     for path, text, link, marked, _ in nodes:
         if marked or not (size := len(text.strip())):
             continue
-        s = length.setdefault(path, [0.0, 0.0, 0.0, 0])
+        s = found.setdefault(path, [0.0, 0.0, 0.0, 0])
         s[0] += size
         s[1] += len(_PUNCTUATION.findall(text))
         s[2] += size if link else 0
         s[3] += 1
-    if not length:
-        return set()
-    paths = list(length)
-    per_text = _smooth([length[p][0] / length[p][3] for p in paths])
-    per_mark = _smooth([length[p][1] / length[p][3] for p in paths])
-    fused = [math.sqrt(t * (1 + c)) * (1 - length[p][2] / length[p][0]) * math.log1p(length[p][0]) for p, t, c in zip(paths, per_text, per_mark, strict=True)]
+    if not found:
+        return set(), set()
+    paths, sums = list(found), list(found.values())
+    per_text = _smooth([s[0] / s[3] for s in sums])
+    per_mark = _smooth([s[1] / s[3] for s in sums])
+    fused = [math.sqrt(t * (1 + c)) * (1 - s[2] / s[0]) * math.log1p(s[0]) for s, t, c in zip(sums, per_text, per_mark, strict=True)]
     mean = sum(fused) / len(fused)
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
     limit = max(mean - spread / 2, 1e-9)
-    return {p for p, x in zip(paths, fused, strict=True) if x >= limit}
+    return {p for p, x in zip(paths, fused, strict=True) if x >= limit}, {p for p, s in zip(paths, sums, strict=True) if s[2] > MOSTLY * s[0]}
 
 
 def _container(path: str) -> str:
-    """The path of the element that holds a text's block: what is left without inline and paragraph tags at its end."""
+    """The path of the element that holds a text's block: without paragraphs, headings, lists and table parts at its end."""
     parts = path.split("/")
-    while len(parts) > 1 and (parts[-1] not in BLOCK or parts[-1] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "td", "th", "tr", "tbody", "thead", "tfoot", "table", "figure", "figcaption", "caption")):
+    while len(parts) > 1 and parts[-1] in INNER:
         parts.pop()
     return "/".join(parts)
 
@@ -171,24 +181,25 @@ def main_text(page: str) -> str:
 
 
 def _main_text(nodes: list[tuple[str, str, bool, bool, int]]) -> str:
-    if any(re.search(r"/(?:article|main)(?:/|$)", n[0]) and not n[3] and n[1].strip() for n in nodes):
-        inside = "article" if any("/article" in n[0] and not n[3] and n[1].strip() for n in nodes) else "main"
-        nodes = [n if re.search(rf"/{inside}(?:/|$)", n[0]) else (n[0], n[1], n[2], True, n[4]) for n in nodes]
-    chosen = content_paths(nodes)
+    shown = [n for n in nodes if not n[3]]
+    inside = next((tag for tag in ("article", "main") if any(f"/{tag}/" in f"{n[0]}/" and n[1].strip() for n in shown)), None)
+    if inside:
+        shown = [n for n in shown if f"/{inside}/" in f"{n[0]}/"]
+    chosen, links = content_paths(shown)
     if not chosen:
         return ""
     weight: dict[str, float] = {}
-    for path, text, link, marked, _ in nodes:
-        if path in chosen and not marked and not link:
+    for path, text, link, _, _ in shown:
+        if path in chosen and not link:
             c = _container(path)
             weight[c] = weight.get(c, 0.0) + len(text.strip())
     if not weight:
         return ""
     strongest = max(weight.values())
-    homes = {c for c, w in weight.items() if w >= 0.1 * strongest}
+    homes = {c for c, w in weight.items() if w >= strongest / 10}
     blocks: list[tuple[int, list[str]]] = []
-    for path, text, _, marked, block in nodes:
-        if marked or _container(path) not in homes:
+    for path, text, _, _, block in shown:
+        if path in links or not (inside or _container(path) in homes):
             continue
         if not blocks or blocks[-1][0] != block:
             blocks.append((block, []))
