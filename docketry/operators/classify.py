@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml import Model, Pipeline
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml import Model, Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LinearSVC, LinearSVCModel, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MODELS = {
@@ -109,3 +109,23 @@ def importance(fitted: Fitted) -> dict[str, list[float]]:
         else:
             out[label] = [abs(c) * s for c, s in zip(m.coefficients.toArray(), spread, strict=True)]
     return out
+
+
+def save(fitted: Fitted, path: str) -> None:
+    """The reduction and all models below a folder."""
+    fitted.reduction.write().overwrite().save(f"{path}/reduction")
+    spark = SparkSession.getActiveSession()
+    rows = [(y, float(m) if isinstance(m, float) else None, "" if isinstance(m, float) else f"{type(m).__module__}.{type(m).__name__}") for y, m in fitted.models.items()]
+    spark.createDataFrame(rows, "label string, constant double, kind string").coalesce(1).write.mode("overwrite").json(f"{path}/labels")
+    for y, m in fitted.models.items():
+        if not isinstance(m, float):
+            m.write().overwrite().save(f"{path}/model_{y}")
+
+
+def load(path: str) -> Fitted:
+    """What ``save`` wrote."""
+    spark = SparkSession.getActiveSession()
+    kinds = {c.__name__: c for c in (GBTClassificationModel, LinearSVCModel, LogisticRegressionModel, RandomForestClassificationModel)}
+    rows = spark.read.schema("label string, constant double, kind string").json(f"{path}/labels").collect()  # one row a label
+    models = {r["label"]: r["constant"] if not r["kind"] else kinds[r["kind"].rpartition(".")[2]].load(f"{path}/model_{r['label']}") for r in rows}
+    return Fitted(PipelineModel.load(f"{path}/reduction"), models)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +78,17 @@ class SubspaceProjection:
         return run(vector)
 
 
+class OrthogonalTo(Transformer):
+    """The projection as a stage of an ML pipeline."""
+
+    def __init__(self, projection: SubspaceProjection, vector: str, out: str):
+        super().__init__()
+        self.projection, self.vector, self.out = projection, vector, out
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.withColumn(self.out, self.projection.column(F.col(self.vector)))
+
+
 def mean_directions(rows: DataFrame, by: str, vector: str) -> dict:
     """The mean vector of each group; groups are few (a label, a country)."""
     parts = rows.select(by, F.posexplode(vector).alias("at", "x")).groupBy(by, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,3 +36,22 @@ def word_labels(documents: DataFrame, topic: str, text: str, top: int = 4, min_d
     score = F.col("n") / F.col("all") * F.ln(1 + F.col("mean") / F.col("uses"))
     scored = counts.join(sizes, topic).join(F.broadcast(mean)).withColumn("score", F.round(score, 9))  # mean: one row
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(topic).orderBy(F.desc("score"), "word"))).where(F.col("rank") <= top).select(topic, "rank", "word", "score")
+
+
+def clustered(documents: DataFrame, vector: str, topics: int, least: int = 5, seed: int = 42) -> DataFrame:
+    """``documents`` with ``topic``: k-means by cosine; clusters of fewer than ``least`` documents are no topic (-1).
+
+    A stand-in for density clustering, which Spark doesn't have: topics are
+    an input everywhere else.
+    """
+    ready = documents.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    model = KMeans(k=topics, featuresCol="_v", predictionCol="topic", distanceMeasure="cosine", seed=seed).fit(ready)
+    found = model.transform(ready).drop("_v")
+    small = found.groupBy("topic").agg(F.count("*").alias("_n")).where(F.col("_n") < least).select("topic", F.lit(True).alias("_small"))
+    return found.join(small, "topic", "left").withColumn("topic", F.when(F.col("_small"), -1).otherwise(F.col("topic"))).drop("_small").select(*documents.columns, "topic")
+
+
+def sizes_with_words(documents: DataFrame, topic: str, text: str) -> DataFrame:
+    """(topic, size, word): each topic's size and its first word."""
+    sizes = documents.groupBy(topic).agg(F.count("*").alias("size"))
+    return sizes.join(word_labels(documents, topic, text, top=1).select(topic, "word"), topic, "left")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,3 +110,40 @@ def manifest(spark: SparkSession, folder: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "modificationTime")
     return fingerprint(files, [F.col("path"), F.col("length").cast("string"), F.col("modificationTime").cast("string")])
+
+
+def sqlite(spark: SparkSession, path: str, table: str, schema: str, rows_per_part: int = 100_000) -> DataFrame:
+    """A table of a SQLite file, by ranges of its row numbers, so no task reads it whole. The file must be on a mount that all executors share.
+
+    Meant to be run once and kept as Parquet.
+    """
+    import sqlite3
+
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+        low, high = db.execute(f'SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM "{table}"').fetchone()
+    columns = [f.name for f in spark.createDataFrame([], schema).schema]
+    listed = ", ".join(f'"{c}"' for c in columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as own:
+            for b in batches:
+                for start in b["start"]:
+                    yield pd.DataFrame(own.execute(f'SELECT {listed} FROM "{table}" WHERE rowid >= ? AND rowid < ?', (int(start), int(start) + rows_per_part)).fetchall(), columns=columns)
+
+    parts = spark.range(low, high + 1, rows_per_part).withColumnRenamed("id", "start")
+    return parts.repartition(max(1, -(-(high + 1 - low) // rows_per_part))).mapInPandas(run, schema)
+
+
+def directions(path: str, name: str) -> np.ndarray:
+    """A small array of an NPZ file: one direction per country."""
+    with np.load(path) as z:
+        return np.asarray(z[name], np.float64)
+
+
+def cached(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The Parquet table at ``path``; it is built first if it isn't there or wasn't finished."""
+    jvm = spark._jvm.org.apache.hadoop.fs
+    done = jvm.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

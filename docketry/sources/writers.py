@@ -50,3 +50,8 @@ def upserted(new: DataFrame, path: str, keys: list[str]) -> None:
 def report(rows: DataFrame, path: str, line: Column) -> None:
     """Lines of text."""
     rows.select(line.alias("value")).write.mode("overwrite").text(path)
+
+
+def json_lines(rows: DataFrame, path: str) -> None:
+    """Rows as JSON, nested columns included: checkpoints that other tools read."""
+    rows.write.mode("overwrite").json(path)

@@ -3,7 +3,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from docketry.operators import classify, embedding, figures, geometry, graph, lookup, similarity, store
+from docketry.operators import classify, embedding, figures, geometry, graph, lookup, similarity, store, topics
 from docketry.plans.ladder import Figure, ladder
 
 
@@ -110,10 +110,23 @@ def test_segments_rebuild_and_store_fills_once(spark):
     assert filled.count() == 1
 
 
-def test_classifier_learns_and_handles_one_class(spark):
+def test_classifier_learns_and_handles_one_class(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = spark.createDataFrame([(k, (rng.normal(size=6) + (k % 2) * 3).tolist(), k % 2, 1) for k in range(120)], "doc long, v array<double>, y int, always int")
     model = classify.fit(rows, "v", ["y", "always"], "logistic", 3)
     scored = classify.per_document(model.scores(rows, "v"), "doc", ["y", "always"])
     assert scored.where("pred_y = y").count() > 110 and scored.where("pred_always = 1").count() == 120
     assert len(classify.importance(model)["y"]) == 3 and classify.dimensions(64, 30) == [2, 4, 8, 16]
+    classify.save(model, str(tmp_path / "m"))
+    again = classify.load(str(tmp_path / "m")).scores(rows, "v").select("doc", F.round("score_y", 9), "score_always")
+    assert again.exceptAll(model.scores(rows, "v").select("doc", F.round("score_y", 9), "score_always")).count() == 0
+
+
+def test_projection_as_a_stage_and_clusters(spark):
+    rows = spark.createDataFrame([(k, [1.0, 0.1 * (k % 3)] if k % 2 else [-0.1, 1.0 + k % 4], "red apple" if k % 2 else "blue sky") for k in range(40)] + [(99, [-1.0, -1.0], "odd")], "k long, v array<double>, t string")
+    away = geometry.OrthogonalTo(geometry.SubspaceProjection([[1.0, 0.0]]), "v", "left")
+    assert all(abs(r["left"][0]) < 1e-12 for r in away.transform(rows).collect())
+    found = topics.clustered(rows, "v", 3)
+    assert {r["topic"] for r in found.where("k = 99").collect()} == {-1} and found.where("topic >= 0").select("topic").distinct().count() == 2
+    words = {r["word"] for r in topics.sizes_with_words(found.where("topic >= 0"), "topic", "t").collect()}
+    assert words <= {"red", "apple", "blue", "sky"} and len(words) == 2

@@ -63,3 +63,28 @@ def test_stream_upserts_match_a_batch(spark, sf, tmp_path):
     last = max(int(p.name) for p in (tmp_path / "out").iterdir())
     got = spark.read.parquet(str(tmp_path / "out" / str(last)))
     assert got.count() == source.count() and got.exceptAll(source).count() == 0
+
+
+def test_sqlite_npz_and_cache(spark, tmp_path):
+    import sqlite3
+
+    import numpy as np
+
+    with sqlite3.connect(tmp_path / "a.db") as db:
+        db.execute("CREATE TABLE t (k INT, v TEXT)")
+        db.executemany("INSERT INTO t VALUES (?, ?)", [(k, f"v{k}") for k in range(25)])
+        db.execute("CREATE TABLE none (k INT)")
+    rows = readers.sqlite(spark, str(tmp_path / "a.db"), "t", "k long, v string", rows_per_part=10)
+    assert sorted(map(tuple, rows.collect())) == [(k, f"v{k}") for k in range(25)]
+    assert readers.sqlite(spark, str(tmp_path / "a.db"), "none", "k long").count() == 0
+    np.savez(tmp_path / "d.npz", d=np.eye(2))
+    assert readers.directions(str(tmp_path / "d.npz"), "d").tolist() == [[1, 0], [0, 1]]
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.range(3)
+
+    assert [readers.cached(spark, str(tmp_path / "c"), build).count() for _ in range(2)] == [3, 3] and made == [1]
+    writers.json_lines(spark.range(2), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
