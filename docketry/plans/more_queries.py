@@ -44,7 +44,7 @@ def path_kinds(spark, sf):
 
 @query("lowest_counts", f"WITH {BASE}, c AS (SELECT party, count(*) AS n, avg(year) AS y FROM wp JOIN authors USING (paper_id) GROUP BY party) SELECT party, n, round(y, 6) AS mean_year FROM c ORDER BY n, y DESC, party LIMIT 6")
 def lowest_counts(spark, sf):
-    rows = t.working_papers(spark, sf).join(t.authors(spark, sf), "paper_id").groupBy("party").agg(F.count("*").alias("n"), F.avg("year").alias("y"))
+    rows = t.authored(spark, sf, t.working_papers(spark, sf).select("paper_id", "year")).groupBy("party").agg(F.count("*").alias("n"), F.avg("year").alias("y"))
     return rows.orderBy("n", F.desc("y"), "party").limit(6).select("party", "n", F.round("y", 6).alias("mean_year"))
 
 

@@ -38,8 +38,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _authorship(spark: SparkSession, sf: str) -> DataFrame:
-    rows = t.working_papers(spark, sf).select("paper_id", "year").join(t.authors(spark, sf), "paper_id")
-    return figures.yearly_counts(rows)
+    return figures.yearly_counts(t.authored(spark, sf, t.working_papers(spark, sf).select("paper_id", "year")))
 
 
 @query("authorship_by_year", f"WITH {BASE} SELECT year, party AS country, count(*) AS value FROM wp JOIN authors USING (paper_id) GROUP BY ALL")
@@ -110,7 +109,7 @@ r AS (SELECT n_name AS first, CASE WHEN paper_id % 7 = 0 THEN NULL WHEN paper_id
 e AS (SELECT first AS country, CASE WHEN second IS NULL OR second = 'nan' THEN value ELSE value * 0.75 END AS value FROM r UNION ALL SELECT second, value * 0.25 FROM r WHERE second <> 'nan')
 SELECT country, round(sum(value::DECIMAL(38,8))::DOUBLE, 4) AS value FROM e GROUP BY country""")
 def weighted_operator_sum(spark, sf):
-    second = t.authors(spark, sf).groupBy("paper_id").agg(F.max("party").alias("party"))
+    second = t.authored(spark, sf, t.papers(spark, sf).select("paper_id")).groupBy("paper_id").agg(F.max("party").alias("party"))
     first = read(spark, sf, "customer").join(read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("first"))
     rows = t.papers(spark, sf).join(second, "paper_id").join(first, F.col("customer") == F.col("c_custkey"))
     rows = rows.withColumn("second", F.when(F.col("paper_id") % 7 == 0, None).when(F.col("paper_id") % 11 == 0, "nan").otherwise(F.col("party")))
@@ -142,7 +141,7 @@ def affiliation_longest_match(spark, sf):
 @query("mention_dense_grid", f"""WITH {BASE}, c AS (SELECT year, party AS country, count(*) AS value FROM papers JOIN authors USING (paper_id) WHERE kind = 'P' AND meeting = '1-URGENT' AND paper_id % 9 = 0 GROUP BY ALL)
 SELECT y.year::INT AS year, n_name AS country, coalesce(value, 0) AS value FROM nation CROSS JOIN (SELECT unnest(range(1994, 2004)) AS year) y LEFT JOIN c ON c.year = y.year AND c.country = n_name""")
 def mention_dense_grid(spark, sf):
-    some = t.papers(spark, sf).where("kind = 'P' and meeting = '1-URGENT' and paper_id % 9 = 0").join(t.authors(spark, sf), "paper_id")
+    some = t.authored(spark, sf, t.papers(spark, sf).where("kind = 'P' and meeting = '1-URGENT' and paper_id % 9 = 0").select("paper_id", "year"))
     return figures.dense_grid(figures.yearly_counts(some), (1994, 2003), read(spark, sf, "nation").select(F.col("n_name").alias("country")))
 
 
@@ -201,12 +200,12 @@ EDGES = f"""WITH {BASE}, e AS (SELECT a.paper_id, wp.year, least(a.party, b.part
 
 @query("coauthor_edges", EDGES + " SELECT source, target, count(*) AS weight FROM e GROUP BY ALL")
 def coauthor_edges(spark, sf):
-    return graph.coauthor_edges(t.with_parties(spark, sf, t.working_papers(spark, sf)))
+    return graph.coauthor_edges(t.with_parties(spark, sf, t.working_papers(spark, sf).select("paper_id")))
 
 
 @query("coauthor_edges_by_period", EDGES + " SELECT CASE WHEN year < 1998 THEN 'early' ELSE 'late' END AS period, source, target, count(*) AS weight FROM e GROUP BY ALL")
 def coauthor_edges_by_period(spark, sf):
-    rows = figures.in_periods(t.with_parties(spark, sf, t.working_papers(spark, sf)), "year", [("early", 1990, 1997), ("late", 1998, 2010)])
+    rows = figures.in_periods(t.with_parties(spark, sf, t.working_papers(spark, sf).select("paper_id", "year")), "year", [("early", 1990, 1997), ("late", 1998, 2010)])
     return graph.coauthor_edges(rows, by=["period"])
 
 
@@ -217,7 +216,7 @@ def edge_weight_normalised(spark, sf):
 
 @query("collaboration_diversity", f"WITH {BASE} SELECT a.party AS country, count(DISTINCT b.party) AS value FROM authors a JOIN authors b ON a.paper_id = b.paper_id AND a.party <> b.party JOIN wp ON wp.paper_id = a.paper_id GROUP BY ALL")
 def collaboration_diversity(spark, sf):
-    return graph.collaborators(t.with_parties(spark, sf, t.working_papers(spark, sf)))
+    return graph.collaborators(t.with_parties(spark, sf, t.working_papers(spark, sf).select("paper_id")))
 
 
 @query("katz_centrality")
@@ -227,7 +226,7 @@ def katz_centrality(spark, sf):
 
 @query("topic_diversity_by_period", f"WITH {BASE}, d AS (SELECT CASE WHEN year < 1998 THEN 'early' ELSE 'late' END AS period, party AS country, topic FROM wp JOIN authors USING (paper_id) WHERE topic <> -1) SELECT period, country, count(DISTINCT topic) AS value FROM d GROUP BY ALL")
 def topic_diversity_by_period(spark, sf):
-    rows = t.working_papers(spark, sf).join(t.authors(spark, sf), "paper_id").withColumnRenamed("party", "country")
+    rows = t.authored(spark, sf, t.working_papers(spark, sf).select("paper_id", "year", "topic")).withColumnRenamed("party", "country")
     return figures.distinct_topics(figures.in_periods(rows, "year", [("early", 1990, 1997), ("late", 1998, 2010)]), ["period", "country"])
 
 
@@ -235,7 +234,7 @@ def topic_diversity_by_period(spark, sf):
 def topic_introduction(spark, sf):
     docs = t.papers(spark, sf).withColumn("sort_string", F.concat_ws("_", "year", "paper_id"))
     first = figures.earliest_per_topic(docs).select("paper_id", "year")
-    return figures.yearly_counts(first.join(t.authors(spark, sf), "paper_id"))
+    return figures.yearly_counts(t.authored(spark, sf, first))
 
 
 KNN = f"WITH {VECTORS}, k AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY round(sim, 12) DESC, right_id) AS rank FROM pairs QUALIFY rank <= 10)"

@@ -20,16 +20,16 @@ def working_papers(spark: SparkSession, sf: str) -> DataFrame:
     return papers(spark, sf).where((F.col("kind") == "F") & F.col("year").between(*WINDOW))
 
 
-def authors(spark: SparkSession, sf: str) -> DataFrame:
-    """(paper_id, party), each once."""
-    s = read(spark, sf, "supplier").join(read(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
-    return read(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(F.col("l_orderkey").alias("paper_id"), F.col("n_name").alias("party")).distinct()
+def authored(spark: SparkSession, sf: str, of: DataFrame) -> DataFrame:
+    """The columns of ``of`` (a few, with paper_id as key) and each of a paper's parties once. Line items meet the chosen papers before anything is made distinct."""
+    s = read(spark, sf, "supplier").join(read(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("party"))
+    items = read(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").join(of, F.col("l_orderkey") == F.col("paper_id"))
+    return items.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(*of.columns, "party").distinct()
 
 
 def with_parties(spark: SparkSession, sf: str, of: DataFrame) -> DataFrame:
     """``of`` with ``parties``, in ascending order."""
-    lists = authors(spark, sf).groupBy("paper_id").agg(F.array_sort(F.collect_list("party")).alias("parties"))
-    return of.join(lists, "paper_id")
+    return authored(spark, sf, of).groupBy(*of.columns).agg(F.array_sort(F.collect_list("party")).alias("parties"))
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
