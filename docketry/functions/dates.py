@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The year of each numbered meeting, from the first on.
+# The year of each numbered meeting, from the first on.
 MEETING_YEARS = [1961, 1962, 1964, 1966, 1968, 1970, 1972, 1975, 1977, 1979, 1981, 1983, 1985, 1987, 1989, 1991, 1992, 1994, 1995, 1996, 1997, 1998, 1999, 2001, 2002, 2003, 2004, 2005, 2006, 2007, 2008, 2009, 2010, 2011, 2012, 2013, 2014, 2015, 2016, 2017, 2018, 2019, 2021, 2022]
 #: What a measure that isn't in force yet is counted up to.
 OPEN_END = 2025
@@ -55,9 +55,13 @@ def instrument_type(title: Column) -> Column:
     return found(title, r"^(Resolution|Decision|Measure|Recommendation)")
 
 
+# Patterns of meeting names, the kind that each stands for, in the order in which they are tried.
+MEETING_KINDS = [("CCAMLR", "CCAMLR"), ("CCAS", "CCAS"), ("SATCM", "SATCM"), ("ATCM|CEP|Antarctic Conference|ATIP", "ATCM")]
+
+
 def meeting_type(name: Column) -> Column:
     """The first of the known kinds of meeting that a name holds."""
-    return F.when(name.contains("CCAMLR"), "CCAMLR").when(name.contains("CCAS"), "CCAS").when(name.contains("SATCM"), "SATCM").when(name.rlike("ATCM|CEP|Antarctic Conference|ATIP"), "ATCM").otherwise("Unknown")
+    return F.coalesce(*(F.when(name.rlike(pattern), kind) for pattern, kind in MEETING_KINDS), F.lit("Unknown"))
 
 
 def decade(year: Column) -> Column:
