@@ -49,7 +49,7 @@ ASIDE_WORDS = frozenset(
     "footer header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist reply replies respond discussion disqus "
     "responses reactions teaser teasers pagination pager copyright legal disclaimer search contentinfo complementary dialog skip hidden".split()
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 _NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role|itemtype|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|[\s\"'/])(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*)display\s*:\s*none)", re.I)
 # Block elements that stand inside a container's flow of text.
@@ -88,7 +88,8 @@ def text_nodes(page: str, by_class: bool = True) -> list[tuple[str, str, bool, b
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
-        tag = m[2]
+        # The second form is for a tag whose last quote is never closed.
+        ends, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if tag is None:
             raw = m[0]
             if raw.startswith("<") and len(raw) > 1:
@@ -99,7 +100,7 @@ def text_nodes(page: str, by_class: bool = True) -> list[tuple[str, str, bool, b
         tag = tag.lower()
         if tag in BLOCK:
             block += 1
-        if m[1]:
+        if ends:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == tag:
                     close(k)
@@ -127,7 +128,6 @@ def text_nodes(page: str, by_class: bool = True) -> list[tuple[str, str, bool, b
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        attributes = m[3] or ""
         if tag in VOID or attributes.endswith("/"):
             continue
         _, path, link, marked = stack[-1]

@@ -34,6 +34,8 @@ LONG = "A paragraph of the article, with commas, that is long enough to count. I
         (f"<div id='side-bar'><p>{LONG}</p></div><div class='postBody'>{LONG}<br><br>{LONG}</div><div class='reader-comments'><div><p>{LONG} {LONG}</p></div></div>", f"{LONG} {LONG}"),
         (f"<table><tr><td class=menu><a href=a>a</a><a href=b>b</a></td><td><p>{LONG}</p><p>Short.</p></td></tr></table>", f"{LONG} Short."),
         (f"<div role=navigation>x, y, z.</div><div><h1>Head</h1><blockquote><p>{LONG}</p></blockquote><pre>code &lt;b&gt;</pre></div><div class=ad>buy, now.</div>", f"Head {LONG} code <b>"),
+        (f"<article><p>{LONG} 1 < 2 <3</p><p title=\"open>{LONG}</p></article>", f"{LONG} 1 < 2 <3 {LONG}"),
+        (f"<ARTICLE><P>{LONG}<BR/>{LONG}</P><img alt='a > b' src=x></ARTICLE>", f"{LONG} {LONG}"),
         (f"<article><p hidden>secret</p><p>{LONG}</p></article>", LONG),
     ],
 )
