@@ -43,7 +43,7 @@ UNKNOWN = "und"
 ORDERS = (1, 2, 3)
 #: Documented bound of the labelled sample.
 ROWS_PER_LANGUAGE = 5_000
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 250_000
 
 
 @lru_cache(maxsize=1)
