@@ -165,12 +165,12 @@ def votes(model: dict, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(0.0, (hits - seen[:, None] * model["fpr"]) / (1 - model["fpr"])), has_letter
 
 
-def identify(docs: DataFrame, model: dict, *, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score`` (0 to 1: the winner's share of all corrected counts)."""
+def identify(docs: DataFrame, model: dict, *, text: str = "text", pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """``docs`` with ``pred`` and ``score`` (0 to 1: the winner's share of all corrected counts), in place of columns of these names."""
     spark = docs.sparkSession
     importable(spark)
     if not model["languages"]:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "lang_score": F.lit(0.0)})
+        return docs.withColumns({pred: F.lit(UNKNOWN), score: F.lit(0.0)})
     shared = spark.sparkContext.broadcast(model)  # its size is fixed by log2_slots
 
     @F.pandas_udf("lang_pred string, lang_score double")
@@ -186,7 +186,8 @@ def identify(docs: DataFrame, model: dict, *, text: str = "text") -> DataFrame:
                 score[here] = np.where(has & (total > 0), v[np.arange(len(v)), best] / np.maximum(total, 1e-300), 0.0)
             yield pd.DataFrame({"lang_pred": pred, "lang_score": score})
 
-    return docs.withColumn("__lang", predict(F.col(text).cast("string"))).select(*docs.columns, "__lang.lang_pred", "__lang.lang_score")
+    kept = [c for c in docs.columns if c not in (pred, score)]
+    return docs.withColumn("__lang", predict(F.col(text).cast("string"))).select(*kept, F.col("__lang.lang_pred").alias(pred), F.col("__lang.lang_score").alias(score))
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -197,4 +198,4 @@ def held_out(key: str = "doc_id") -> Column:
 def with_known_language(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: documents without a language (``und``) go."""
     model = learn(docs.where(~held_out()))
-    return identify(docs, model).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return identify(docs, model, pred="__pred", score="__score").where(F.col("__pred") != UNKNOWN).select(*docs.columns)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 
 @pytest.fixture(scope="session")
@@ -22,7 +23,9 @@ def odd(spark):
         (7, "one", "de", "c", 3, "z"),
         (8, " \t\n ", None, "c", 4, "z"),
     ]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string")
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id string")
+    clashing = ["lang_pred", "lang_score", "pieces", "decoded", "size", "target", "times", "kept", "key", "text_hash", "n_lines", "kept_text", "gone", "h", "k", "n"]
+    return frame.withColumns({c: F.lit(c) for c in clashing})
 
 
 @pytest.fixture(scope="session")
