@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.session import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Space and \x09-\x0D.
 BLANK = " \t\n\x0b\x0c\r"
@@ -40,7 +42,8 @@ def dropped_positions(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), _lines(F.translate(F.col(text), UPPER, LOWER)).alias("lines"))
     lines = rows.select("id", "text_hash", F.posexplode("lines").alias("pos", "line")).select("id", "text_hash", "pos", _key(F.col("line")).alias("k")).where(F.length("k") >= min_chars).select("id", "text_hash", "pos", F.unhex(F.md5("k")).alias("h"))
     hot = lines.groupBy("h", "id").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("one").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs)
-    gone = lines.join(hot.select("h", "keeper"), "h").where(F.col("id") != F.col("keeper"))
+    # As a table of its own it meets the lines in a plain join, whose hot keys Spark splits at run time.
+    gone = lines.join(materialize(hot.select("h", "keeper"), "repeated-lines"), "h").where(F.col("id") != F.col("keeper"))
     return gone.groupBy("id", "text_hash").agg(F.collect_set("pos").alias("gone"))
 
 
