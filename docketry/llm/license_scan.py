@@ -47,6 +47,7 @@ PHRASES = {
 }
 # Short notices and opening sentences of public licenses, in lower case, with their labels.
 TEMPLATES = [
+    ("agpl", "this work is licensed under the gnu affero general public license version 3"),
     ("apache", "licensed under the apache license version 2 0"),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
@@ -57,25 +58,38 @@ TEMPLATES = [
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("lgpl", "licensed under the gnu lesser general public license version 3"),
+    ("lgpl", "this work is licensed under the gnu lesser general public license version 3"),
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
+# The word that tells a license from those with a like notice; where a template has it, its label needs it.
+NAMES = {
+    "agpl": "affero",
+    "apache": "apache",
+    "cc-by-nc": "nc",
+    "cc-by-sa": "sa",
+    "cc0": "cc0",
+    "gpl": "gnu",
+    "lgpl": "lesser",
+    "mit": "mit",
+    "mpl": "mozilla",
+}
 CONTAINMENT = 0.8
 #: Lines of more words than this are seen in windows of so many words, each starting half a window later.
 WINDOW = 256
 
 
-def _index(templates: list[tuple[str, str]], frequency: dict[str, int], containment: float) -> list[dict]:
-    """Each template's word ids in the global order, the words that it needs, and its prefix."""
+def _index(templates: list[tuple[str, str]], frequency: dict[str, int], containment: float, names: dict[str, str]) -> list[dict]:
+    """Each template's word ids in the global order, the words that it needs, its prefix, and the id of its name if it has it."""
     order = {w: k for k, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
     out = []
     for label, text in templates:
         ids = sorted({order[w] for w in text.split()})
         need = max(1, math.ceil(containment * len(ids) - 1e-9))
-        out.append({"label": label, "ids": ids, "need": need, "prefix": ids[: len(ids) - need + 1]})
+        name = names.get(label) if names.get(label) in text.split() else None
+        out.append({"label": label, "ids": ids, "need": need, "prefix": ids[: len(ids) - need + 1], "name": None if name is None else order[name]})
     return out
 
 
@@ -121,13 +135,17 @@ def _blocks(data: np.ndarray, starts: np.ndarray, row: np.ndarray, here: np.ndar
     return np.concatenate([np.arange(len(here)), again]), np.concatenate([base[of] + k, (base[of] + k - 1)[again]]), block_first, block_size
 
 
-def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """Per row: ``key``, n_words, places (label, word) of phrases, blocks (label, first_word, n_words, containment, best) that meet a template; ``best`` marks a block's closest templates."""
+def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT, names: dict[str, str] = NAMES) -> DataFrame:
+    """Per row: ``key``, n_words, places (label, word) of phrases, blocks (label, first_word, n_words, containment, best) that meet a template.
+
+    ``best`` marks the blocks that give their label: those that hold the
+    template's name, if it has one, and no wider template as well or better.
+    """
     importable(docs.sparkSession)
     vocabulary = sorted({w for _, t in templates for w in t.split()})
     frequency = word_frequencies(docs, vocabulary, text=text)
     ordered = sorted(vocabulary, key=lambda w: (frequency[w], w))
-    index = _index(templates, frequency, containment)
+    index = _index(templates, frequency, containment, names)
     starters: dict[int, list[int]] = {}
     for t, x in enumerate(index):
         for w in x["prefix"]:
@@ -141,7 +159,7 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", phrases: d
     sets = [set(x["ids"]) for x in index]
 
     def met(ids: list[int], n_words: int) -> list[tuple[int, float, bool]]:
-        """(template, containment, whether it is the block's best) of a block's distinct known words, in the global order."""
+        """(template, containment, whether it gives its label) of a block's distinct known words, in the global order."""
         out, have = [], set(ids)
         for t in sorted({t for w in ids for t in starters.get(w, ())}):
             x = index[t]
@@ -153,8 +171,9 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", phrases: d
             common = len(have & sets[t])
             if common >= x["need"]:
                 out.append((t, common / len(x["ids"])))
-        best = max((c for _, c in out), default=0.0)
-        return [(t, c, c == best) for t, c in out]
+        named = [(t, c) for t, c in out if index[t]["name"] is None or index[t]["name"] in have]
+        best = {t for t, c in named if not any(sets[t] < sets[u] and d >= c for u, d in named)}
+        return [(t, c, t in best) for t, c in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -61,6 +61,19 @@ def test_long_lines_and_near_notices(spark):
     assert "apache" in got[1] and got[2] == {"gpl"} and not got[4]
 
 
+def test_like_notices_give_no_label_of_another_license(spark):
+    rows = spark.createDataFrame([
+        (1, "Released under the BSD license."),
+        (2, "Licensed under CC BY 4.0."),
+        (3, "Licensed under CC BY-SA 4.0."),
+        (4, "This work is licensed under the GNU Lesser General Public License, version 3."),
+        (5, "This work is licensed under the GNU Affero General Public License, version 3."),
+        (6, "Released under the MIT license. Licensed under the Apache License, version 2.0."),
+    ], "doc_id long, text string")
+    got = {r["doc_id"]: {b["label"] for b in r["blocks"] if b["best"]} for r in check(rows)}
+    assert got == {1: set(), 2: set(), 3: {"cc-by-sa"}, 4: {"lgpl"}, 5: {"agpl"}, 6: {"mit", "apache"}}
+
+
 def test_query_columns(spark, sf):
     rows = op1_license_scan(spark, sf).collect()
     assert all((r["n_base"] == 0) == (r["first_word"] is None) for r in rows)
