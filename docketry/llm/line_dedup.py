@@ -69,7 +69,8 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: columns as before, ``text`` (and ``n_chars``, if there) of what stays; every document stays."""
-    out = dedup_lines(docs).withColumn("text", F.col("kept_text"))
+    aside = {c: f"__own_{c}" for c in ("n_lines", "n_dropped", "kept_text") if c in docs.columns}
+    out = dedup_lines(docs.withColumnsRenamed(aside)).withColumn("text", F.col("kept_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns))

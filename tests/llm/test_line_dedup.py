@@ -1,6 +1,7 @@
 import hashlib
 
 from oracle import connect, rows
+from pyspark.sql import functions as F
 
 from docketry.llm import line_dedup
 from docketry.llm.queries import OP4_SQL, op4_line_dedup
@@ -54,3 +55,9 @@ def test_stage_keeps_documents(odd):
 def test_hash_of_kept_text(spark, sf):
     r = op4_line_dedup(spark, sf).where("n_dropped = 0").join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").first()
     assert r["kept_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
+
+
+def test_stage_keeps_columns_of_the_operator_s_names(odd):
+    rows = line_dedup.without_repeated_lines(odd.withColumn("n_dropped", F.lit("n_dropped"))).collect()
+    assert len(rows) == odd.count()
+    assert {(r["n_lines"], r["n_dropped"], r["kept_text"]) for r in rows} == {("n_lines", "n_dropped", "kept_text")}
