@@ -2,7 +2,11 @@
 
 A block (a line; a longer line in overlapping windows of words) meets a
 template when it holds at least ``containment`` of the template's distinct
-words. The join is exact:
+words. A notice that is wrapped over lines is found beside it: a run of words
+that crosses a newline, at most half as long again as the template (which
+leaves room for a comment word on each line), meets it in the same way. Of
+runs that overlap, the one that holds most of the template, in its order,
+counts, and none counts where a block that it overlaps holds as much. The join is exact:
 
 * global order - the words of all templates are counted over all documents;
   each template's words are ordered from rare to frequent (ties by word);
@@ -57,6 +61,8 @@ TEMPLATES = [
     ("cc0", "no rights reserved this work is dedicated to the public domain under cc0 1 0"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("lgpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("lgpl", "this work is licensed under the gnu lesser general public license version 3"),
     ("mit", "released under the mit license"),
@@ -89,7 +95,9 @@ def _index(templates: list[tuple[str, str]], frequency: dict[str, int], containm
         ids = sorted({order[w] for w in text.split()})
         need = max(1, math.ceil(containment * len(ids) - 1e-9))
         name = names.get(label) if names.get(label) in text.split() else None
-        out.append({"label": label, "ids": ids, "need": need, "prefix": ids[: len(ids) - need + 1], "name": None if name is None else order[name]})
+        n = len(text.split())
+        follow = {(order[v], order[w]) for v, w in zip(text.split(), text.split()[1:], strict=False)}
+        out.append({"label": label, "span": n + n // 2, "follow": follow, "ids": ids, "need": need, "prefix": ids[: len(ids) - need + 1], "name": None if name is None else order[name]})
     return out
 
 
@@ -136,7 +144,7 @@ def _blocks(data: np.ndarray, starts: np.ndarray, row: np.ndarray, here: np.ndar
 
 
 def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT, names: dict[str, str] = NAMES) -> DataFrame:
-    """Per row: ``key``, n_words, places (label, word) of phrases, blocks (label, first_word, n_words, containment, best) that meet a template.
+    """Per row: ``key``, n_words, places (label, word) of phrases, blocks (label, first_word, n_words, containment, best) that meet a template, and ``wrapped``: the same of runs of words over several lines.
 
     ``best`` marks the blocks that give their label: those that hold the
     template's name, if it has one, and no wider template as well or better.
@@ -175,11 +183,45 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", phrases: d
         best = {t for t, c in named if not any(sets[t] < sets[u] and d >= c for u, d in named)}
         return [(t, c, t in best) for t, c in out]
 
+    member = np.zeros((len(index), len(ordered)), bool)
+    leads = np.zeros_like(member)
+    for t, x in enumerate(index):
+        member[t, x["ids"]] = leads[t, x["prefix"]] = True
+
+    def over_lines(here: np.ndarray, token: np.ndarray, line: np.ndarray, row: np.ndarray, first_word: np.ndarray) -> dict[int, list[tuple[int, int, int, int, bool]]]:
+        """By row: (template, first word, end, common words, whether its name is among them) of runs over lines that meet a template."""
+        out: dict[int, list[tuple[int, int, int, int, bool]]] = {}
+        for t, x in enumerate(index):
+            own = np.flatnonzero(member[t][token])
+            at, ids = here[own], token[own]
+            end = np.searchsorted(at, np.minimum(at + x["span"], first_word[row[at] + 1]))
+            lead = np.concatenate([[0], np.cumsum(leads[t][ids])])
+            k = np.arange(len(at))
+            enough = np.flatnonzero((end - k >= x["need"]) & (lead[end] > lead[k]) & (line[at[end - 1]] > line[at]))
+            runs: dict[int, list[tuple[int, bool, int, int, int, int]]] = {}
+            for first in enough.tolist():
+                part = ids[first : end[first]].tolist()
+                have = set(part)
+                if len(have) < x["need"]:
+                    continue
+                last = first + max(part.index(w) for w in have)  # the shortest run with as many words
+                if line[at[last]] > line[at[first]]:
+                    loose = int(at[last] - at[first]) - sum(pair in x["follow"] for pair in zip(part, part[1 : last - first + 1], strict=False))  # of two notices side by side, each keeps its own words
+                    runs.setdefault(int(row[at[first]]), []).append((-len(have), x["name"] is not None and x["name"] not in have, loose, int(at[last] - at[first]), int(at[first]), int(at[last]) + 1))
+            for r, found in runs.items():
+                taken: list[tuple[int, int]] = []
+                for common, nameless, _, _, a, z in sorted(found):
+                    if all(z <= y or a >= w for y, w in taken):
+                        taken.append((a, z))
+                        out.setdefault(r, []).append((t, a, z, -common, not nameless))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words = np.zeros(len(b), np.int64)
             places: dict[int, list] = {}
             blocks: dict[int, list] = {}
+            wrapped: dict[int, list] = {}
             for base, data, offsets in chunks(b.column(1)):
                 low = lowered(data)
                 starts, ends, row = words(low, offsets, ALNUM)
@@ -205,15 +247,24 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", phrases: d
                 pair = np.unique(block[keep] * len(ordered) + token[item[keep]])
                 of, ids = pair // len(ordered), pair % len(ordered)
                 cuts = np.flatnonzero(np.diff(of)) + 1
+                lines: dict[int, list[tuple[int, int, int, float, bool]]] = {}
                 for part_of, part in zip(np.split(of, cuts), np.split(ids, cuts), strict=True) if len(of) else ():
                     k = int(part_of[0])
                     start = int(block_first[k])
                     for t, c, best in met(part.tolist(), int(block_size[k])):
+                        lines.setdefault(int(row[start]), []).append((t, start, start + int(block_size[k]), c, index[t]["name"] is None or index[t]["name"] in part))
                         blocks.setdefault(base + int(row[start]), []).append({"label": index[t]["label"], "first_word": start - int(first_word[row[start]]), "n_words": int(block_size[k]), "containment": c, "best": best})
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words), pa.array([places.get(k, []) for k in range(len(b))], place_type), pa.array([blocks.get(k, []) for k in range(len(b))], block_type)], ["key", "n_words", "places", "blocks"])
+                for r, runs in over_lines(here, token, np.cumsum(low == 10)[starts], row, first_word).items():
+                    near = lines.get(r, [])
+                    runs = [(t, a, z, n / len(sets[t]), named) for t, a, z, n, named in runs]
+                    runs = [x for x in runs if not any(x[0] == u and x[1] < w and y < x[2] and d >= x[3] for u, y, w, d, _ in near)]
+                    for t, a, z, c, named in sorted(runs, key=lambda x: (x[1], x[0])):
+                        best = named and not any(m and sets[t] < sets[u] and d >= c and a < w and y < z for u, y, w, d, m in runs + near)
+                        wrapped.setdefault(base + r, []).append({"label": index[t]["label"], "first_word": a - int(first_word[r]), "n_words": z - a, "containment": c, "best": best})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words), *(pa.array([x.get(k, []) for k in range(len(b))], kind) for x, kind in ((places, place_type), (blocks, block_type), (wrapped, block_type)))], ["key", "n_words", "places", "blocks", "wrapped"])
 
     place_type = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
     block_type = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64()), ("best", pa.bool_())]))
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, n_words bigint, places array<struct<label:string,word:bigint>>, blocks array<struct<label:string,first_word:bigint,n_words:bigint,containment:double,best:boolean>>").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kind}, n_words bigint, places array<struct<label:string,word:bigint>>, blocks array<struct<label:string,first_word:bigint,n_words:bigint,containment:double,best:boolean>>, wrapped array<struct<label:string,first_word:bigint,n_words:bigint,containment:double,best:boolean>>").withColumnRenamed("key", key)

@@ -24,7 +24,7 @@ def tokenizer_path(name: str = PIECE_MODEL) -> str:
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and template notices in every whole text."""
     found = license_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    base, blocks = F.col("places"), F.col("blocks")
+    base, blocks = F.col("places"), F.concat("blocks", "wrapped")
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return found.select(
         "doc_id",

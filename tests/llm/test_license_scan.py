@@ -78,3 +78,34 @@ def test_query_columns(spark, sf):
     rows = op1_license_scan(spark, sf).collect()
     assert all((r["n_base"] == 0) == (r["first_word"] is None) for r in rows)
     assert all(set(filter(None, r["base_labels"].split(","))) <= set(filter(None, r["labels"].split(","))) and 0 <= r["score"] <= 1 for r in rows)
+
+
+APACHE = "You may not use this file except in compliance with the License.\n{}You may obtain a copy of the License at\n{}    http://example.org/LICENSE-2.0"
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy\n{}of this software and associated documentation files (the Software), to deal"
+BSD = "Redistribution and use in source and binary forms, with or without\n{}modification, are permitted provided that the following conditions are met:"
+GPL = "This program is free software; you can redistribute it and/or modify\n{}it under the terms of the GNU {}General Public License as published"
+
+
+def test_notices_wrapped_over_lines(spark):
+    texts = {
+        "apache": APACHE.format("# ", "# "), "mit": MIT.format(" * "), "bsd": BSD.format("dnl "), "gpl": GPL.format("rem ", ""), "lgpl": GPL.format("// ", "Lesser "), "agpl": GPL.format("", "Affero "),
+        "gpl,lgpl": "This work is licensed under the GNU\nGeneral Public License, version 3.\nThis work is licensed under the GNU Lesser\nGeneral Public License, version 3.",
+        "mit,mpl": "x\n" * 300 + "Released under\nthe MIT license.\nThis Source Code Form is subject to the terms\nof the Mozilla Public License, v. 2.0",
+        "": "You may not use this file\n" + "except by law " * 30 + "\nobtain a copy of the License at",
+    }
+    rows = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in check(rows)}
+    for k, want in enumerate(texts):
+        assert ",".join(sorted({b["label"] for b in got[k]["wrapped"] if b["best"]})) == want
+    assert all(not b["n_words"] > 40 for r in got.values() for b in r["wrapped"])
+
+
+def test_a_notice_on_one_line_counts_once(spark):
+    rows = spark.createDataFrame([(1, "the license of\nThis work is licensed under the GNU Lesser General Public License, version 3.\nthe public version")], "doc_id long, text string")
+    assert not check(rows)[0]["wrapped"]
+
+
+def test_query_counts_wrapped_notices(spark, tmp_path):
+    spark.createDataFrame([(1, MIT.format("# "))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = op1_license_scan(spark, str(tmp_path)).first()
+    assert (row["labels"], row["n_blocks"], row["score"]) == ("mit", 1, 1.0)
