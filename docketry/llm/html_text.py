@@ -9,7 +9,9 @@ threshold of the page's own distribution are content. The containers of the
 content paths (or the page's article, where it marks one) are then taken
 whole, so short paragraphs, headings and quotes of the article stay, while
 paths that are mostly links, and menus, notices, adverts, forms and reader
-comments, known by their tags, roles or class words, go.
+comments, known by their tags, roles or class words, go. A class word counts
+where it is what the name stands for ("site-footer", not "has-footer" or
+"footer-design"), and only for elements that don't hold the bulk of the page's plain text.
 
 Work is page by page inside Arrow functions, so Spark deals pages out and
 nothing is shuffled. Reading is one pass of a tokenising pattern; end tags
@@ -49,6 +51,15 @@ ASIDE_WORDS = frozenset(
     "footer header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist reply replies respond discussion disqus "
     "responses reactions teaser teasers pagination pager copyright legal disclaimer search contentinfo complementary dialog skip hidden".split()
 )
+# Those that mark what readers wrote, which is often longer than the article.
+READER_WORDS = frozenset("comment comments commentlist reply replies respond discussion disqus responses reactions".split())
+# Words at the end of a name that say what kind of box it is, not what it holds; and words before a feature that a layout has or lacks.
+BOX_WORDS = frozenset("area author bar body block box button buttons col column container content form group head heading holder icons inner item items leaderboard left link links list main meta outer panel region right row section slot text thread title unit wrap wrapper x".split())
+LAYOUT_WORDS = frozenset("has have no non not with without layout one two three enable enabled supports show shows".split())
+#: A subtree with a larger share of the page's plain text than this isn't ruled out by a class word; one of readers' text is up to the second.
+SMALL, READERS = 0.5, 0.9
+#: Where class words leave a smaller share of the plain text that isn't readers', only those of readers' text count.
+LEFT = 0.25
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 _NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role|itemtype|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|[\s\"'/])(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*)display\s*:\s*none)", re.I)
@@ -61,25 +72,38 @@ _BLANK = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、！？；：()\"“”«»¿¡]")
 
 
-def _marked(attributes: str) -> bool:
-    """Whether an element's class, id or role says that it isn't the article, or it is hidden."""
-    if "=" not in attributes and "hidden" not in attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    for m in _NAMED.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").split():
-            parts = [w.lower() for w in _PART.findall(name)]
-            if any(w in ASIDE_WORDS for w in parts) or "".join(parts) in ASIDE_WORDS or any(x + y in ASIDE_WORDS for x, y in zip(parts, parts[1:], strict=False)):
-                return True
-    return False
+def _role(name: str) -> str:
+    """The word by which a class, id or role says that its element isn't the article: what the name ends in, without words of boxes; else ""."""
+    parts = [w.lower() for w in _PART.findall(name)]
+    if (whole := "".join(parts)) in ASIDE_WORDS:
+        return whole
+    if any(w in LAYOUT_WORDS for w in parts):
+        return ""
+    while parts:
+        for word in (parts[-1], "".join(parts[-2:])):
+            if word in ASIDE_WORDS:
+                return word
+        if not (parts[-1] in BOX_WORDS or parts[-1].isdigit()):
+            return ""
+        parts.pop()
+    return ""
+
 
+def _roles(attributes: str) -> set[str]:
+    """The words by which an element's class, id or role says that it isn't the article."""
+    if "=" not in attributes:
+        return set()
+    return {r for m in _NAMED.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").split() if (r := _role(name))}
 
-def text_nodes(page: str, by_class: bool = True) -> list[tuple[str, str, bool, bool, int]]:
+
+def text_nodes(page: str) -> list[tuple[str, str, bool, bool, int]]:
     """(path of block elements, text, in a link, marked as not the article, block number) of each text node, in page order."""
     out: list[tuple[str, str, bool, bool, int]] = []
-    # An open element: tag, path with it, in a link, marked.
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+    # For each text node: the elements above it whose names say that they aren't the article; and whether such an element holds readers' text.
+    named: list[tuple[int, ...]] = []
+    readers: list[bool] = []
+    # An open element: tag, path with it, in a link, marked, named elements.
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = [("", "", False, False, ())]
     block, at, n = 0, 0, len(page)
 
     def close(k: int) -> None:
@@ -94,8 +118,9 @@ def text_nodes(page: str, by_class: bool = True) -> list[tuple[str, str, bool, b
             raw = m[0]
             if raw.startswith("<") and len(raw) > 1:
                 continue
-            _, path, link, marked = stack[-1]
+            _, path, link, marked, names = stack[-1]
             out.append((path, entities.unescape(raw) if "&" in raw else raw, link, marked, block))
+            named.append(names)
             continue
         tag = tag.lower()
         if tag in BLOCK:
@@ -130,9 +155,28 @@ def text_nodes(page: str, by_class: bool = True) -> list[tuple[str, str, bool, b
             continue
         if tag in VOID or attributes.endswith("/"):
             continue
-        _, path, link, marked = stack[-1]
-        stack.append((tag, f"{path}/{tag}" if tag in BLOCK else path, link or tag == "a", marked or tag in UNSHOWN or (by_class and tag not in WHOLE and _marked(attributes))))
-    return out
+        _, path, link, marked, names = stack[-1]
+        marked = marked or tag in UNSHOWN or (tag not in WHOLE and _HIDDEN.search(attributes) is not None)
+        if not marked and tag not in WHOLE and (roles := _roles(attributes)):
+            names = (*names, len(readers))
+            readers.append(not roles.isdisjoint(READER_WORDS))
+        stack.append((tag, f"{path}/{tag}" if tag in BLOCK else path, link or tag == "a", marked, names))
+    return _without_named(out, named, readers) if readers else out
+
+
+def _without_named(nodes: list[tuple[str, str, bool, bool, int]], named: list[tuple[int, ...]], readers: list[bool]) -> list[tuple[str, str, bool, bool, int]]:
+    """``nodes``, where those of named elements are marked if these don't hold the bulk of the page's plain text."""
+    size = [0 if link or marked else len(text.strip()) for _, text, link, marked, _ in nodes]
+    whole, held = sum(size), [0] * len(readers)
+    for n, names in zip(size, named, strict=True):
+        for k in names:
+            held[k] += n
+    gone = [h <= (READERS if r else SMALL) * whole for h, r in zip(held, readers, strict=True)]
+    theirs = [g and r for g, r in zip(gone, readers, strict=True)]
+    left = sum(n for n, names in zip(size, named, strict=True) if not any(gone[k] for k in names))
+    if left < LEFT * sum(n for n, names in zip(size, named, strict=True) if not any(theirs[k] for k in names)):
+        gone = theirs
+    return [(*x[:3], x[3] or any(gone[k] for k in names), x[4]) for x, names in zip(nodes, named, strict=True)]
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -173,15 +217,8 @@ def _container(path: str) -> str:
 
 
 def main_text(page: str) -> str:
-    """The article of a page: its blocks in page order, joined by one space.
-
-    Where class words rule out everything, they are left aside.
-    """
-    return _main_text(text_nodes(page)) or _main_text(text_nodes(page, by_class=False))
-
-
-def _main_text(nodes: list[tuple[str, str, bool, bool, int]]) -> str:
-    shown = [n for n in nodes if not n[3]]
+    """The article of a page: its blocks in page order, joined by one space."""
+    shown = [n for n in text_nodes(page) if not n[3]]
     inside = next((tag for tag in ("article", "main") if any(f"/{tag}/" in f"{n[0]}/" and n[1].strip() for n in shown)), None)
     if inside:
         shown = [n for n in shown if f"/{inside}/" in f"{n[0]}/"]

@@ -48,3 +48,20 @@ def test_odd_rows(spark):
     got = [r["main_text"] for r in html_text.extract(rows).collect()]
     assert got[:2] == ["", ""] and got[2] == LONG * 3000
     assert html_text.extract(rows.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "layout-one-sidebar", "legal-analysis", "share-price", "social-policy", "search-methods", "widget"])
+def test_class_words_dont_remove_an_article(name):
+    page = f"<p>One more line.</p><div class='{name}'><p>{LONG}</p><p>{LONG}</p><div class=ad-slot>buy, now.</div></div>"
+    assert html_text.main_text(page).endswith(f"{LONG} {LONG}")
+
+
+@pytest.mark.parametrize("name", ["legal-analysis", "share-price", "social-policy", "search-methods"])
+def test_class_words_dont_remove_a_section(name):
+    assert html_text.main_text(f"<article><p>{LONG}</p><section class={name}><p>{LONG}</p></section><p>{LONG}</p></article>") == " ".join([LONG] * 3)
+
+
+def test_a_page_of_named_parts_isnt_lost():
+    parts = "".join(f"<div class=widget><p>{LONG}</p></div>" for _ in range(6))
+    assert html_text.main_text(f"<div><p>One more line.</p></div>{parts}").endswith(" ".join([LONG] * 6))
+    assert html_text.main_text(f"<div><p>{LONG}</p></div><div class=comments-area>{parts}</div>") == LONG
