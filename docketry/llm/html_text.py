@@ -6,8 +6,8 @@ and number of nodes are summed. Two ratios - text per node and punctuation per
 node - are smoothed along the page over neighbouring paths, fused (their
 geometric mean), and damped by the share of link text; the paths above a
 threshold of the page's own distribution are content. The containers of the
-content paths (or the page's article, where it marks one) are then taken
-whole, so short paragraphs, headings and quotes of the article stay, while
+content paths and of sentences, and what stands inside or between them (or
+the page's article or main, where it marks one), are then taken whole, so short paragraphs, headings and quotes of the article stay, while
 paths that are mostly links, and menus, notices, adverts, forms and reader
 comments, known by their tags, roles or class words, go. A class word counts
 where it is what the name stands for ("site-footer", not "has-footer" or
@@ -68,10 +68,17 @@ INNER = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre td th tr
 #: A path with a larger share of its text in links isn't text of the article.
 MOSTLY = 0.6
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: Where articles and main hold a smaller share of the plain text, the page's containers are weighed as if there were none.
+TOLD = 0.25
+_SENTENCE = re.compile(r"\w{2,}[)\"'”’»]*[.!?…](?:\s|[)\"'”’»]|\Z)|[。！？]")
 _BLANK = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、！？；：()\"“”«»¿¡]")
 
 
+#: Path of block elements, text, in a link, marked as not the article, block number, containers above it from the outermost.
+Node = tuple[str, str, bool, bool, int, tuple[int, ...]]
+
+
 def _role(name: str) -> str:
     """The word by which a class, id or role says that its element isn't the article: what the name ends in, without words of boxes; else ""."""
     parts = [w.lower() for w in _PART.findall(name)]
@@ -96,15 +103,15 @@ def _roles(attributes: str) -> set[str]:
     return {r for m in _NAMED.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").split() if (r := _role(name))}
 
 
-def text_nodes(page: str) -> list[tuple[str, str, bool, bool, int]]:
-    """(path of block elements, text, in a link, marked as not the article, block number) of each text node, in page order."""
-    out: list[tuple[str, str, bool, bool, int]] = []
+def text_nodes(page: str) -> list[Node]:
+    """The text nodes, in page order."""
+    out: list[Node] = []
     # For each text node: the elements above it whose names say that they aren't the article; and whether such an element holds readers' text.
     named: list[tuple[int, ...]] = []
     readers: list[bool] = []
-    # An open element: tag, path with it, in a link, marked, named elements.
-    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = [("", "", False, False, ())]
-    block, at, n = 0, 0, len(page)
+    # An open element: tag, path with it, in a link, marked, named elements, containers.
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...], tuple[int, ...]]] = [("", "", False, False, (), (0,))]
+    block, homes, at, n = 0, 0, 0, len(page)
 
     def close(k: int) -> None:
         del stack[k:]
@@ -118,8 +125,8 @@ def text_nodes(page: str) -> list[tuple[str, str, bool, bool, int]]:
             raw = m[0]
             if raw.startswith("<") and len(raw) > 1:
                 continue
-            _, path, link, marked, names = stack[-1]
-            out.append((path, entities.unescape(raw) if "&" in raw else raw, link, marked, block))
+            _, path, link, marked, names, above = stack[-1]
+            out.append((path, entities.unescape(raw) if "&" in raw else raw, link, marked, block, above))
             named.append(names)
             continue
         tag = tag.lower()
@@ -155,18 +162,22 @@ def text_nodes(page: str) -> list[tuple[str, str, bool, bool, int]]:
             continue
         if tag in VOID or attributes.endswith("/"):
             continue
-        _, path, link, marked, names = stack[-1]
+        _, path, link, marked, names, above = stack[-1]
         marked = marked or tag in UNSHOWN or (tag not in WHOLE and _HIDDEN.search(attributes) is not None)
         if not marked and tag not in WHOLE and (roles := _roles(attributes)):
             names = (*names, len(readers))
             readers.append(not roles.isdisjoint(READER_WORDS))
-        stack.append((tag, f"{path}/{tag}" if tag in BLOCK else path, link or tag == "a", marked, names))
+        if tag in BLOCK and tag not in INNER:
+            homes += 1
+            # What stands in the whole page's own element isn't for that part of one text.
+            above = (homes,) if tag in WHOLE else (*above, homes)
+        stack.append((tag, f"{path}/{tag}" if tag in BLOCK else path, link or tag == "a", marked, names, above))
     return _without_named(out, named, readers) if readers else out
 
 
-def _without_named(nodes: list[tuple[str, str, bool, bool, int]], named: list[tuple[int, ...]], readers: list[bool]) -> list[tuple[str, str, bool, bool, int]]:
+def _without_named(nodes: list[Node], named: list[tuple[int, ...]], readers: list[bool]) -> list[Node]:
     """``nodes``, where those of named elements are marked if these don't hold the bulk of the page's plain text."""
-    size = [0 if link or marked else len(text.strip()) for _, text, link, marked, _ in nodes]
+    size = [0 if link or marked else len(text.strip()) for _, text, link, marked, *_ in nodes]
     whole, held = sum(size), [0] * len(readers)
     for n, names in zip(size, named, strict=True):
         for k in names:
@@ -176,7 +187,7 @@ def _without_named(nodes: list[tuple[str, str, bool, bool, int]], named: list[tu
     left = sum(n for n, names in zip(size, named, strict=True) if not any(gone[k] for k in names))
     if left < LEFT * sum(n for n, names in zip(size, named, strict=True) if not any(theirs[k] for k in names)):
         gone = theirs
-    return [(*x[:3], x[3] or any(gone[k] for k in names), x[4]) for x, names in zip(nodes, named, strict=True)]
+    return [(*x[:3], x[3] or any(gone[k] for k in names), *x[4:]) for x, names in zip(nodes, named, strict=True)]
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -185,10 +196,10 @@ def _smooth(values: list[float]) -> list[float]:
     return [sum(values[max(0, k - 1) : k + 2]) / (min(n, k + 2) - max(0, k - 1)) for k in range(n)]
 
 
-def content_paths(nodes: list[tuple[str, str, bool, bool, int]]) -> tuple[set[str], set[str]]:
+def content_paths(nodes: list[Node]) -> tuple[set[str], set[str]]:
     """The tag paths whose fused ratio passes the page's threshold, and those that are mostly links."""
     found: dict[str, list[float]] = {}
-    for path, text, link, marked, _ in nodes:
+    for path, text, link, marked, *_ in nodes:
         if marked or not (size := len(text.strip())):
             continue
         s = found.setdefault(path, [0.0, 0.0, 0.0, 0])
@@ -208,35 +219,58 @@ def content_paths(nodes: list[tuple[str, str, bool, bool, int]]) -> tuple[set[st
     return {p for p, x in zip(paths, fused, strict=True) if x >= limit}, {p for p, s in zip(paths, sums, strict=True) if s[2] > MOSTLY * s[0]}
 
 
-def _container(path: str) -> str:
-    """The path of the element that holds a text's block: without paragraphs, headings, lists and table parts at its end."""
-    parts = path.split("/")
-    while len(parts) > 1 and parts[-1] in INNER:
-        parts.pop()
-    return "/".join(parts)
+def _told(shown: list[Node]) -> set[str]:
+    """The elements by which the page itself marks the article: article, with main where that holds more than a little beside it; none if both hold little of the page."""
+    size = {"article": 0, "main": 0, "": 0}
+    for path, text, link, *_ in shown:
+        tags = path.split("/")
+        size[next((tag for tag in ("article", "main") if tag in tags), "")] += 0 if link else len(text.strip())
+    held = size["article"] + size["main"]
+    if not held or held < TOLD * sum(size.values()):
+        return set()
+    return {"article"} if size["main"] < TOLD * held else {"article", "main"}
+
+
+def content_homes(shown: list[Node], chosen: set[str]) -> set[int]:
+    """The containers of the article where the page marks none.
+
+    Containers with a path of content or a sentence are content, unless they
+    are mostly links; so are those inside them, and those that stand between them.
+    """
+    size: dict[int, list[int]] = {}
+    text_of: dict[int, list[str]] = {}
+    content: set[int] = set()
+    for path, text, link, *_, above in shown:
+        n = len(text.strip())
+        s = size.setdefault(above[-1], [0, 0])
+        s[0] += n
+        s[1] += n if link else 0
+        text_of.setdefault(above[-1], []).append(" " if link else text)
+        if n and not link and path in chosen:
+            content.add(above[-1])
+    plain = {c for c, s in size.items() if s[1] <= MOSTLY * s[0]}
+    content = {c for c in plain if size[c][0] and (c in content or _SENTENCE.search("".join(text_of[c])))}
+    at = [k for k, x in enumerate(shown) if x[5][-1] in content and x[1].strip()]
+    if not at:
+        return set()
+    between = {x[5][-1] for x in shown[at[0] : at[-1] + 1]}
+    inside = {x[5][-1] for x in shown if any(c in content for c in x[5][1:-1])}
+    return content | (plain & (between | inside))
 
 
 def main_text(page: str) -> str:
     """The article of a page: its blocks in page order, joined by one space."""
     shown = [n for n in text_nodes(page) if not n[3]]
-    inside = next((tag for tag in ("article", "main") if any(f"/{tag}/" in f"{n[0]}/" and n[1].strip() for n in shown)), None)
+    inside = _told(shown)
     if inside:
-        shown = [n for n in shown if f"/{inside}/" in f"{n[0]}/"]
+        shown = [n for n in shown if not inside.isdisjoint(n[0].split("/"))]
     chosen, links = content_paths(shown)
-    if not chosen:
-        return ""
-    weight: dict[str, float] = {}
-    for path, text, link, _, _ in shown:
-        if path in chosen and not link:
-            c = _container(path)
-            weight[c] = weight.get(c, 0.0) + len(text.strip())
-    if not weight:
+    if not any(path in chosen and not link and text.strip() for path, text, link, *_ in shown):
         return ""
-    strongest = max(weight.values())
-    homes = {c for c, w in weight.items() if w >= strongest / 10}
+    homes = set() if inside else content_homes(shown, chosen)
     blocks: list[tuple[int, list[str]]] = []
-    for path, text, _, _, block in shown:
-        if path in links or not (inside or _container(path) in homes):
+    for path, text, _, _, block, above in shown:
+        if path in links or not (inside or above[-1] in homes):
             continue
         if not blocks or blocks[-1][0] != block:
             blocks.append((block, []))

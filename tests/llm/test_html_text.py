@@ -65,3 +65,21 @@ def test_a_page_of_named_parts_isnt_lost():
     parts = "".join(f"<div class=widget><p>{LONG}</p></div>" for _ in range(6))
     assert html_text.main_text(f"<div><p>One more line.</p></div>{parts}").endswith(" ".join([LONG] * 6))
     assert html_text.main_text(f"<div><p>{LONG}</p></div><div class=comments-area>{parts}</div>") == LONG
+
+
+def test_short_containers_of_a_long_article_stay():
+    page = f"<div class=lede>A short lede of the story.</div><div class=story>{f'<p>{LONG}</p>' * 40}<div>A pulled quote</div></div><div>Between</div><div>{f'<p>{LONG}</p>' * 40}</div><div>It ends here.</div>"
+    assert html_text.main_text(page) == " ".join(["A short lede of the story.", *[LONG] * 40, "A pulled quote", "Between", *[LONG] * 40, "It ends here."])
+
+
+def test_menus_beside_an_unmarked_article_go():
+    menu = "<div><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></div>"
+    assert html_text.main_text(f"{menu}<div><p>{LONG}</p></div>{menu}<div><p>{LONG}</p></div>{menu}") == f"{LONG} {LONG}"
+
+
+def test_article_and_main_are_chosen_by_weight():
+    cards = "<article><h3>A card</h3><p>Read on.</p></article>" * 3
+    assert html_text.main_text(f"<main><div><p>{LONG}</p><p>{LONG}</p></div>{cards}</main><p>tail").startswith(f"{LONG} {LONG}")
+    assert html_text.main_text(f"<main><article><p>{LONG}</p></article><p>Short.</p></main>") == LONG
+    assert html_text.main_text(f"<main><p>{LONG}</p><article><p>{LONG}</p></article></main>") == f"{LONG} {LONG}"
+    assert html_text.main_text(f"<div>{f'<p>{LONG}</p>' * 9}</div>{cards}").startswith(" ".join([LONG] * 9))
