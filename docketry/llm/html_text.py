@@ -7,9 +7,11 @@ node - are smoothed along the page over neighbouring paths, fused (their
 geometric mean), and damped by the share of link text; the paths above a
 threshold of the page's own distribution are content. The containers of the
 content paths and of sentences, and what stands inside or between them (or
-the page's article or main, where it marks one), are then taken whole, so short paragraphs, headings and quotes of the article stay, while
-paths that are mostly links, and menus, notices, adverts, forms and reader
-comments, known by their tags, roles or class words, go. A class word counts
+the page's article or main, where it marks one), are then taken whole, so
+short paragraphs, headings, quotes and linked text of the article stay, while
+lists of nothing but short links that no text leads to, and menus, notices,
+adverts, forms and reader comments, known by their tags, roles or class
+words, go. A class word counts
 where it is what the name stands for ("site-footer", not "has-footer" or
 "footer-design"), and only for elements that don't hold the bulk of the page's plain text.
 
@@ -65,18 +67,22 @@ _NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role|itemtype|aria-label)\s*=\s*
 _HIDDEN = re.compile(r"(?:^|[\s\"'/])(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*)display\s*:\s*none)", re.I)
 # Block elements that stand inside a container's flow of text.
 INNER = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre td th tr tbody thead tfoot table figure figcaption caption".split())
-#: A path with a larger share of its text in links isn't text of the article.
+#: A container with a larger share of its text in links is a menu, where the page doesn't mark its article.
 MOSTLY = 0.6
+#: A list of nothing but links of so many words at most is a menu, unless the text before it leads to it.
+MENU_WORDS = 3
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Where articles and main hold a smaller share of the plain text, the page's containers are weighed as if there were none.
 TOLD = 0.25
 _SENTENCE = re.compile(r"\w{2,}[)\"'”’»]*[.!?…](?:\s|[)\"'”’»]|\Z)|[。！？]")
+_ENDS = re.compile(r"[.!?…。！？][)\"'”’»]*\Z")
+_PART_OF_WORD = re.compile(r"\w")
 _BLANK = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、！？；：()\"“”«»¿¡]")
 
 
-#: Path of block elements, text, in a link, marked as not the article, block number, containers above it from the outermost.
-Node = tuple[str, str, bool, bool, int, tuple[int, ...]]
+#: Path of block elements, text, in a link, marked as not the article, block number, containers above it from the outermost, its list (0: none).
+Node = tuple[str, str, bool, bool, int, tuple[int, ...], int]
 
 
 def _role(name: str) -> str:
@@ -109,9 +115,9 @@ def text_nodes(page: str) -> list[Node]:
     # For each text node: the elements above it whose names say that they aren't the article; and whether such an element holds readers' text.
     named: list[tuple[int, ...]] = []
     readers: list[bool] = []
-    # An open element: tag, path with it, in a link, marked, named elements, containers.
-    stack: list[tuple[str, str, bool, bool, tuple[int, ...], tuple[int, ...]]] = [("", "", False, False, (), (0,))]
-    block, homes, at, n = 0, 0, 0, len(page)
+    # An open element: tag, path with it, in a link, marked, named elements, containers, list.
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...], tuple[int, ...], int]] = [("", "", False, False, (), (0,), 0)]
+    block, homes, lists, at, n = 0, 0, 0, 0, len(page)
 
     def close(k: int) -> None:
         del stack[k:]
@@ -125,8 +131,8 @@ def text_nodes(page: str) -> list[Node]:
             raw = m[0]
             if raw.startswith("<") and len(raw) > 1:
                 continue
-            _, path, link, marked, names, above = stack[-1]
-            out.append((path, entities.unescape(raw) if "&" in raw else raw, link, marked, block, above))
+            _, path, link, marked, names, above, of = stack[-1]
+            out.append((path, entities.unescape(raw) if "&" in raw else raw, link, marked, block, above, of))
             named.append(names)
             continue
         tag = tag.lower()
@@ -162,7 +168,7 @@ def text_nodes(page: str) -> list[Node]:
             continue
         if tag in VOID or attributes.endswith("/"):
             continue
-        _, path, link, marked, names, above = stack[-1]
+        _, path, link, marked, names, above, of = stack[-1]
         marked = marked or tag in UNSHOWN or (tag not in WHOLE and _HIDDEN.search(attributes) is not None)
         if not marked and tag not in WHOLE and (roles := _roles(attributes)):
             names = (*names, len(readers))
@@ -171,7 +177,10 @@ def text_nodes(page: str) -> list[Node]:
             homes += 1
             # What stands in the whole page's own element isn't for that part of one text.
             above = (homes,) if tag in WHOLE else (*above, homes)
-        stack.append((tag, f"{path}/{tag}" if tag in BLOCK else path, link or tag == "a", marked, names, above))
+        if tag in ("ul", "ol", "dl"):
+            lists += 1
+            of = lists
+        stack.append((tag, f"{path}/{tag}" if tag in BLOCK else path, link or tag == "a", marked, names, above, of))
     return _without_named(out, named, readers) if readers else out
 
 
@@ -196,8 +205,8 @@ def _smooth(values: list[float]) -> list[float]:
     return [sum(values[max(0, k - 1) : k + 2]) / (min(n, k + 2) - max(0, k - 1)) for k in range(n)]
 
 
-def content_paths(nodes: list[Node]) -> tuple[set[str], set[str]]:
-    """The tag paths whose fused ratio passes the page's threshold, and those that are mostly links."""
+def content_paths(nodes: list[Node]) -> set[str]:
+    """The tag paths whose fused ratio passes the page's threshold."""
     found: dict[str, list[float]] = {}
     for path, text, link, marked, *_ in nodes:
         if marked or not (size := len(text.strip())):
@@ -208,7 +217,7 @@ def content_paths(nodes: list[Node]) -> tuple[set[str], set[str]]:
         s[2] += size if link else 0
         s[3] += 1
     if not found:
-        return set(), set()
+        return set()
     paths, sums = list(found), list(found.values())
     per_text = _smooth([s[0] / s[3] for s in sums])
     per_mark = _smooth([s[1] / s[3] for s in sums])
@@ -216,7 +225,7 @@ def content_paths(nodes: list[Node]) -> tuple[set[str], set[str]]:
     mean = sum(fused) / len(fused)
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
     limit = max(mean - spread / 2, 1e-9)
-    return {p for p, x in zip(paths, fused, strict=True) if x >= limit}, {p for p, s in zip(paths, sums, strict=True) if s[2] > MOSTLY * s[0]}
+    return {p for p, x in zip(paths, fused, strict=True) if x >= limit}
 
 
 def _told(shown: list[Node]) -> set[str]:
@@ -240,7 +249,7 @@ def content_homes(shown: list[Node], chosen: set[str]) -> set[int]:
     size: dict[int, list[int]] = {}
     text_of: dict[int, list[str]] = {}
     content: set[int] = set()
-    for path, text, link, *_, above in shown:
+    for path, text, link, _, _, above, _ in shown:
         n = len(text.strip())
         s = size.setdefault(above[-1], [0, 0])
         s[0] += n
@@ -258,19 +267,44 @@ def content_homes(shown: list[Node], chosen: set[str]) -> set[int]:
     return content | (plain & (between | inside))
 
 
+def menus(shown: list[Node]) -> set[int]:
+    """The lists of nothing but short links that no text before them leads to: that text ends a sentence, or there is none."""
+    other = {x[6] for x in shown if not x[2] and _PART_OF_WORD.search(x[1])}
+    length: dict[tuple[int, int], int] = {}
+    for _, text, _, _, block, _, of in shown:
+        length[of, block] = length.get((of, block), 0) + len(text.split())
+    other |= {of for (of, _), n in length.items() if n > MENU_WORDS}
+    found: set[int] = set()
+    seen: set[int] = set()
+    before = ""
+    for _, text, _, _, _, _, of in shown:
+        if not (text := text.strip()):
+            continue
+        if of and of not in seen:
+            seen.add(of)
+            if of not in other and (not before or _ENDS.search(before)):
+                found.add(of)
+        if of not in found:
+            before = text
+    return found
+
+
 def main_text(page: str) -> str:
     """The article of a page: its blocks in page order, joined by one space."""
     shown = [n for n in text_nodes(page) if not n[3]]
     inside = _told(shown)
     if inside:
         shown = [n for n in shown if not inside.isdisjoint(n[0].split("/"))]
-    chosen, links = content_paths(shown)
-    if not any(path in chosen and not link and text.strip() for path, text, link, *_ in shown):
-        return ""
-    homes = set() if inside else content_homes(shown, chosen)
+    if not inside:
+        chosen = content_paths(shown)
+        if not any(path in chosen and not link and text.strip() for path, text, link, *_ in shown):
+            return ""
+        homes = content_homes(shown, chosen)
+        shown = [n for n in shown if n[5][-1] in homes]
+    out = menus(shown)
     blocks: list[tuple[int, list[str]]] = []
-    for path, text, _, _, block, above in shown:
-        if path in links or not (inside or above[-1] in homes):
+    for _, text, _, _, block, _, of in shown:
+        if of in out:
             continue
         if not blocks or blocks[-1][0] != block:
             blocks.append((block, []))

@@ -83,3 +83,14 @@ def test_article_and_main_are_chosen_by_weight():
     assert html_text.main_text(f"<main><article><p>{LONG}</p></article><p>Short.</p></main>") == LONG
     assert html_text.main_text(f"<main><p>{LONG}</p><article><p>{LONG}</p></article></main>") == f"{LONG} {LONG}"
     assert html_text.main_text(f"<div>{f'<p>{LONG}</p>' * 9}</div>{cards}").startswith(" ".join([LONG] * 9))
+
+
+def test_linked_text_of_an_article_stays():
+    sources = "<ul><li><a href=1>The first report on the matter</a></li><li><a href=2>Second source</a></li></ul>"
+    mixed = "<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li>a plain item</li></ul>"
+    linked = f"<p><a href=3>{LONG}</a></p>"
+    want = f"{LONG} Sources One Two Then. The first report on the matter Second source One Two a plain item {LONG}"
+    body = f"<p>{LONG}</p><h2>Sources</h2><ol><li><a href=1>One</a></li><li><a href=2>Two</a></li></ol><p>Then.</p>{sources}{mixed}{linked}"
+    assert html_text.main_text(f"<article>{body}</article>") == want
+    assert html_text.main_text(f"<div><p>{LONG}</p>{body}</div>") == f"{LONG} {want}"
+    assert html_text.main_text(f"<article><nav>{sources}</nav>{body}</article>") == want
