@@ -56,6 +56,13 @@ TEMPLATES = [
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-nc", "licensed under a creative commons attribution non commercial 4 0 international license"),
+    ("cc-by-nd", "licensed under a creative commons attribution noderivatives 4 0 international license"),
+    ("cc-by-nd", "licensed under a creative commons attribution no derivatives 4 0 international license"),
+    ("cc-by-nd", "licensed under cc by nd 4 0"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-sa", "licensed under a creative commons attribution share alike 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc0", "no rights reserved this work is dedicated to the public domain under cc0 1 0"),
@@ -70,12 +77,13 @@ TEMPLATES = [
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
-# The word that tells a license from those with a like notice; where a template has it, its label needs it.
+# The word that tells a license from those with a like notice, or one for each form of its templates; where a template has it, its label needs it.
 NAMES = {
     "agpl": "affero",
     "apache": "apache",
-    "cc-by-nc": "nc",
-    "cc-by-sa": "sa",
+    "cc-by-nc": "nc noncommercial commercial",
+    "cc-by-nd": "nd noderivatives derivatives",
+    "cc-by-sa": "sa sharealike alike",
     "cc0": "cc0",
     "gpl": "gnu",
     "lgpl": "lesser",
@@ -94,7 +102,7 @@ def _index(templates: list[tuple[str, str]], frequency: dict[str, int], containm
     for label, text in templates:
         ids = sorted({order[w] for w in text.split()})
         need = max(1, math.ceil(containment * len(ids) - 1e-9))
-        name = names.get(label) if names.get(label) in text.split() else None
+        name = next((w for w in names.get(label, "").split() if w in text.split()), None)
         n = len(text.split())
         follow = {(order[v], order[w]) for v, w in zip(text.split(), text.split()[1:], strict=False)}
         out.append({"label": label, "span": n + n // 2, "follow": follow, "ids": ids, "need": need, "prefix": ids[: len(ids) - need + 1], "name": None if name is None else order[name]})

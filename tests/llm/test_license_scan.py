@@ -109,3 +109,13 @@ def test_query_counts_wrapped_notices(spark, tmp_path):
     spark.createDataFrame([(1, MIT.format("# "))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     row = op1_license_scan(spark, str(tmp_path)).first()
     assert (row["labels"], row["n_blocks"], row["score"]) == ("mit", 1, 1.0)
+
+
+def test_long_creative_commons_notices(spark):
+    texts = {
+        "Attribution": {"cc-by"}, "Attribution-NonCommercial": {"cc-by-nc"}, "Attribution-ShareAlike": {"cc-by-sa"}, "Attribution-NoDerivatives": {"cc-by-nd"}, "Attribution-Share Alike": {"cc-by-sa"},
+        "Attribution-NonCommercial-ShareAlike": {"cc-by-nc", "cc-by-sa"}, "Attribution-NonCommercial-\nNoDerivatives": {"cc-by-nc", "cc-by-nd"}, "Attribution-Non-Commercial-No Derivatives": {"cc-by-nc", "cc-by-nd"},
+    }
+    rows = spark.createDataFrame([(k, f"This work is licensed under a Creative Commons {t} 4.0 International License.") for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: {b["label"] for b in r["blocks"] + r["wrapped"] if b["best"]} for r in check(rows)}
+    assert list(texts.values()) == [got[k] for k in range(len(texts))]
