@@ -130,3 +130,16 @@ def test_projection_as_a_stage_and_clusters(spark):
     assert {r["topic"] for r in found.where("k = 99").collect()} == {-1} and found.where("topic >= 0").select("topic").distinct().count() == 2
     words = {r["word"] for r in topics.sizes_with_words(found.where("topic >= 0"), "topic", "t").collect()}
     assert words <= {"red", "apple", "blue", "sky"} and len(words) == 2
+
+
+def test_stem_lookup_of_short_strings_equals_brute_force(spark):
+    stems, names = ["a", "ab", "abc", "abcd", "xabcdx", "zz", "", "q", None], ["ab", "b", "xabcd", "abcdefg", "a1b", "zzz"]
+    rows, table = spark.createDataFrame([(s,) for s in stems], "stem string"), spark.createDataFrame([(n, k) for k, n in enumerate(names)] + [(None, 9)], "name string, v int")
+    for extra in ([], [("", 7)]):
+        all_names = [*((n, k) for k, n in enumerate(names)), *extra]
+        known = table.union(spark.createDataFrame(extra, table.schema))
+        got = {r["stem"]: r["v"] for r in lookup.by_stem(rows, known, "stem", "name", "v", merge=True).collect()}
+        for s in stems:
+            same = [v for n, v in all_names if n == s]
+            want = same or [v for n, v in sorted(all_names) if s is not None and (s in n or n in s)]
+            assert (got[s] or []) == want, s
