@@ -33,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docketry.llm.arrays import NOT_SPACE, chunks, words
 from docketry.session import importable, materialize
@@ -132,9 +133,18 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     """The pipeline's stage: each row of ``docs`` as often as the mix takes it; rows without a word as often as their source's whole epochs."""
-    plan = mixed(docs, **options).groupBy("id", "source", "text_hash").agg(F.sum("times").alias("__mix_times"), F.count("times").alias("__mix_rows"))
-    # Rows that agree in id, source and text can't be told apart: they share their takings, rounded down.
+    plan = materialize(mixed(docs, **options).groupBy("id", "source", "text_hash").agg(F.sum("times").alias("__mix_times"), F.count("times").alias("__mix_rows")), "mix-plan")
     taken = docs.withColumn("__mix_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = taken.join(plan, taken["doc_id"].cast("long").eqNullSafe(plan["id"]) & taken["source"].eqNullSafe(plan["source"]) & (taken["__mix_hash"] == plan["text_hash"]), "left")
+    columns = [taken[c] for c in docs.columns]
+
+    def planned(plan: DataFrame, how: str) -> DataFrame:
+        return taken.join(plan, taken["doc_id"].cast("long").eqNullSafe(plan["id"]) & taken["source"].eqNullSafe(plan["source"]) & (taken["__mix_hash"] == plan["text_hash"]), how)
+
     share = F.floor(F.col("__mix_times") / F.col("__mix_rows"))
-    return joined.where(share >= 1).select(*(taken[c] for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), share)).alias("__mix_copy")).drop("__mix_copy")
+    out = planned(plan, "left").where(share >= 1).select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), share)).alias("__mix_copy")).drop("__mix_copy")
+    # Rows that agree in id, source and text share their takings; what that leaves over goes to the first of them.
+    uneven = plan.where("__mix_times % __mix_rows > 0")
+    if uneven.isEmpty():
+        return out
+    place = F.row_number().over(Window.partitionBy(plan["id"], plan["source"], plan["text_hash"]).orderBy(F.xxhash64(*columns)))
+    return out.union(planned(uneven, "inner").withColumn("__mix_place", place).where("__mix_place <= __mix_times % __mix_rows").select(*columns))

@@ -65,3 +65,20 @@ def test_stage_repeats_rows(docs, odd):
     got = {r["doc_id"]: r["n"] for r in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert got == {k: v for k, v in times.items() if v}
     assert mixing.repeat_documents(odd).columns == odd.columns
+
+
+def test_stage_gives_equal_rows_all_their_takings(spark):
+    rows = [(None, f"w {k % 3} " * (5 + k % 3), "a", k) for k in range(40)] + [(1, "one two three", "b", k) for k in range(5)] + [(2, "four five six seven", "b", 9)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, own long")
+    for weights in ((5.0, 2.0, 1.0), (1.0, 3.0)):
+        want = {}
+        for r in mixing.mixed(frame, weights=weights).collect():
+            want[r["id"], r["source"]] = want.get((r["id"], r["source"]), 0) + r["taken"]
+        got, copies = dict.fromkeys(want, 0), {}
+        for r in mixing.repeat_documents(frame, weights=weights).collect():
+            got[r["doc_id"], r["source"]] += len(r["text"].split())
+            copies[r["text"], r["own"]] = copies.get((r["text"], r["own"]), 0) + 1
+        assert got == want
+        for text in {r[1] for r in rows}:
+            n = [copies.get((t, k), 0) for _, t, _, k in rows if t == text]
+            assert max(n) - min(n) <= 1
