@@ -1,7 +1,9 @@
 import random
 import re
 
-from docketry.llm import minhash
+import numpy as np
+
+from docketry.llm import components, minhash
 from docketry.llm.components import connected
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -73,6 +75,39 @@ def test_blocks_of_lists_and_clusters(spark, monkeypatch):
     check(spark, table(2, groups=4, most=60), 3, 85)
 
 
+def test_few_hubs_and_edge_blocks(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "LIST_BLOCK", 5)
+    monkeypatch.setattr(minhash, "CLUSTER_BLOCK", 6)
+    monkeypatch.setattr(minhash, "HUBS", 1)
+    monkeypatch.setattr(components, "EDGE_BLOCK", 7)
+    check(spark, table(3, groups=6, most=40), 3, 85)
+
+
+def test_repeated_ids_with_other_texts(spark):
+    base = [f"word{k}" for k in range(60)]
+    near, other = " ".join([*base, "more"]), " ".join(f"other{k}" for k in range(50))
+    rows = [(7, " ".join(base)), (7, other), (3, near), (7, near), (9, other + " more"), (9, None), (7, " ".join(base))]
+    check(spark, rows, 3, 85)
+
+
+def test_work_on_one_hot_group_grows_with_its_length():
+    rng = np.random.default_rng(0)
+    counted = []
+    for m in (1000, 2000, 4000):
+        sig = np.tile(rng.integers(0, 2**32, 32, dtype=np.uint32), (m, 1))
+        sig[rng.random(sig.shape) < 0.1] = rng.integers(0, 2**32)
+        near, calls = minhash._near_signatures(sig, np.full(m, 100), 15, 85), [0]
+
+        def counting(some, others, near=near, calls=calls):
+            calls[0] += len(some) * len(others)
+            return near(some, others)
+
+        root = minhash.spanning(m, counting)
+        assert (root == 0).all()
+        counted.append(calls[0])
+    assert counted[1] <= 2.2 * counted[0] and counted[2] <= 2.2 * counted[1]
+
+
 def test_odd_rows(spark, odd, none):
     check(spark, [(r["doc_id"], r["text"]) for r in odd.select("doc_id", "text").collect()], 3, 85)
     assert minhash.near_duplicates(odd).count() == odd.count() and minhash.near_duplicates(none).count() == 0
@@ -88,6 +123,11 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{k: 0 for k in range(1, 61)}, **{100 + k: 100 for k in range(1, 50)}, 300: 299}
 
 
+def test_components_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(components, "EDGE_BLOCK", 5)
+    test_components_of_chains_and_stars(spark)
+
+
 def test_stage_keeps_one_of_each_group(spark):
     base = " ".join(f"word{k}" for k in range(100))
     rows = [(3, base, "x"), (1, base, "x"), (2, base + " more", "x"), (5, "alone", "x"), (5, "alone", "x"), (6, None, "x"), (None, base, "x"), (1, "another text of the same id", "x")]
