@@ -281,6 +281,7 @@ def _apart(rows: DataFrame, group: str, found: DataFrame, block: int) -> DataFra
     parts = reached.groupBy(group, "root").agg(F.count("node").alias("size")).groupBy(group)
     parts = parts.agg(F.max_by("root", "size").alias("largest"), (F.sum("size") - F.max("size")).alias("others"))
     parts = parts.where("others > 0").withColumn("ask_blocks", F.ceil(F.col("others") / F.lit(float(block))))
+    parts = materialize(parts, "parts")
     dealt = reached.join(parts, group).withColumn("draw", F.xxhash64(F.lit("block"), "node"))
 
     def each(n: str) -> Column:
@@ -297,7 +298,8 @@ def candidate_clusters(reps: DataFrame, percent: int) -> DataFrame:
     """(node, root): components of what agrees in at least t coordinates."""
     t = least_matches(percent)
     posts = postings(reps, _bucket_counts(reps), COORDINATES - t + 1)
-    many = posts.groupBy("pair").agg(F.count("node").alias("m")).where("m > 1")
+    # Counts are tables of their own, so they meet the rows in plain joins, whose hot keys Spark splits at run time.
+    many = materialize(posts.groupBy("pair").agg(F.count("node").alias("m")).where("m > 1"), "list-lengths")
     lists = posts.join(many, "pair").withColumn("blocks", F.ceil(F.col("m") / F.lit(float(LIST_BLOCK))))
     lists = materialize(lists.select("pair", "node", "m", "blocks"), "lists")
     signed = reps.select("node", "n", "sig")
@@ -343,7 +345,7 @@ def _cluster_sets(docs: DataFrame, reps: DataFrame, candidates: DataFrame, width
     members = reps.join(candidates, "node", "left").withColumn("cluster", F.coalesce("root", "node"))
     sized = members.groupBy("cluster").agg(F.count("node").alias("m"), F.sum("n").alias("all")).where("m > 1")
     blocks = F.ceil(F.greatest(F.col("m") / F.lit(float(CLUSTER_BLOCK)), F.col("all") / F.lit(float(CLUSTER_SHINGLES))))
-    members = members.join(sized.select("cluster", "m", blocks.alias("blocks")), "cluster")
+    members = members.join(materialize(sized.select("cluster", "m", blocks.alias("blocks")), "cluster-sizes"), "cluster")
     members = members.select("node", "cluster", "m", "blocks", "id", "text_hash", "set_hash")
     rows = docs.select(F.col(key).cast("long").alias("id"), _text_hash(text), F.col(text).cast("string").alias("text"))
 
@@ -407,9 +409,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, key:
     # The table is written once, so the numbers stay.
     reps = materialize(one.select(F.monotonically_increasing_id().alias("node"), "one.id", "one.text_hash", "set_hash", "n", "sig"), "classes")
     found = links(docs, reps.drop("sig"), candidate_clusters(reps, percent), width, percent, key=key, text=text)
-    linked = reps.join(found, "node", "left").select("id", "set_hash", F.coalesce("root", "node").alias("root"))
-    least = linked.groupBy("root").agg(F.min("id").alias("component_id"))
-    classes = linked.join(least, "root").select("set_hash", "component_id")
+    named = reps.select("node", "id", "set_hash")
+    least = named.join(found, "node").groupBy("root").agg(F.min("id").alias("low"))
+    least = least.join(named.select(F.col("node").alias("root"), "id"), "root").select("root", F.least("low", "id").alias("low"))
+    linked = named.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = linked.join(materialize(least, "least-ids"), "root", "left").select("set_hash", F.coalesce("low", "id").alias("component_id"))
     joined = full.select("id", "text_hash", "n", "set_hash").join(classes, "set_hash").select("id", "text_hash", "n", "component_id")
     alone = signed.where(~whole).select("id", "text_hash", "n", F.col("id").alias("component_id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept")
