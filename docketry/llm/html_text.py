@@ -1,17 +1,23 @@
 """Main text of web pages by tag-path ratios (operator 7).
 
-A page is read as a sequence of text nodes, each with the path of open block
-elements above it. Per path the page's text length, punctuation, link text
+A page is read as a sequence of text nodes, each with the path of all open elements
+above it, from the root to the leaf. Per path the page's text length, punctuation, link text
 and number of nodes are summed. Two ratios - text per node and punctuation per
-node - are smoothed along the page over neighbouring paths, fused (their
-geometric mean), and damped by the share of link text; the paths above a
-threshold of the page's own distribution are content. The containers of the
-content paths and of sentences, and what stands inside or between them (or
-the page's article or main, where it marks one), are then taken whole, so
-short paragraphs, headings, quotes and linked text of the article stay, while
-lists of nothing but short links that no text leads to, and menus, notices,
-adverts, forms and reader comments, known by their tags, roles or class
-words, go. A class word counts
+node - are smoothed along the page, node by node, fused (the product of
+their logarithms), damped by the path's share of link text and by what its markup says, and
+held against a share of the page's largest value. The paths that pass are the content;
+they, and nothing else, say where the article is:
+
+* every text on a content path is content;
+* the containers (div, section, article ...) of content paths are taken whole, with what
+  stands inside or between them, so short paragraphs, headings, quotes and linked text of
+  the article stay; containers that are mostly links, and lists of nothing but short
+  links that no text leads to, go.
+
+Markup damps a path's ratio and doesn't decide alone: elements whose tag, role or class
+word is that of a menu, notice, advert, comment or form (``AGAINST``), and what stands outside
+the page's article or main, where that holds more than a little of it (``OUTSIDE``). A path with
+both kinds of elements counts as two. A class word counts
 where it is what the name stands for ("site-footer", not "has-footer" or
 "footer-design"), and only for elements that don't hold the bulk of the page's plain text.
 
@@ -20,10 +26,9 @@ nothing is shuffled. Reading is one pass of a tokenising pattern; end tags
 that are missing are supplied (a new block ends an open paragraph), and end
 tags without a start are ignored.
 
-Defined cases: null or empty html gives empty text. A page without any
-candidate path gives empty text. Equal scores go to the path that comes
-first. Repeated rows are handled each; extra columns are ignored unless named
-in ``keep``. Empty tables give empty results.
+Defined cases: null or empty html gives empty text. A page whose paths all stay
+below ``FLOOR`` gives empty text. Equal values pass alike. Repeated rows are handled each;
+extra columns are ignored unless named in ``keep``. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -74,14 +79,17 @@ MENU_WORDS = 3
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 #: Where articles and main hold a smaller share of the plain text, the page's containers are weighed as if there were none.
 TOLD = 0.25
-_SENTENCE = re.compile(r"\w{2,}[)\"'”’»]*[.!?…](?:\s|[)\"'”’»]|\Z)|[。！？]")
+#: What a path's ratio is multiplied with if its markup speaks against it, and outside the page's own article.
+AGAINST, OUTSIDE = 0.02, 0.02
+#: A path of content has at least this share of the page's largest fused ratio, and at least this ratio.
+SHARE, FLOOR = 0.4, 0.4
 _ENDS = re.compile(r"[.!?…。！？][)\"'”’»]*\Z")
 _PART_OF_WORD = re.compile(r"\w")
 _BLANK = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、！？；：()\"“”«»¿¡]")
 
 
-#: Path of block elements, text, in a link, marked as not the article, block number, containers above it from the outermost, its list (0: none).
+#: Path of elements, text, in a link, marked as not the article, block number, containers above it from the outermost, its list (0: none).
 Node = tuple[str, str, bool, bool, int, tuple[int, ...], int]
 
 
@@ -180,7 +188,7 @@ def text_nodes(page: str) -> list[Node]:
         if tag in ("ul", "ol", "dl"):
             lists += 1
             of = lists
-        stack.append((tag, f"{path}/{tag}" if tag in BLOCK else path, link or tag == "a", marked, names, above, of))
+        stack.append((tag, f"{path}/{tag}", link or tag == "a", marked, names, above, of))
     return _without_named(out, named, readers) if readers else out
 
 
@@ -200,32 +208,44 @@ def _without_named(nodes: list[Node], named: list[tuple[int, ...]], readers: lis
 
 
 def _smooth(values: list[float]) -> list[float]:
-    """Mean with both neighbours along the page."""
-    n = len(values)
-    return [sum(values[max(0, k - 1) : k + 2]) / (min(n, k + 2) - max(0, k - 1)) for k in range(n)]
+    """Mean with both neighbours along the page, which weigh half of the value itself."""
+    padded = [values[0], *values, values[-1]]
+    return [(x + 2 * y + z) / 4 for x, y, z in zip(padded, values, padded[2:], strict=False)]
 
 
-def content_paths(nodes: list[Node]) -> set[str]:
-    """The tag paths whose fused ratio passes the page's threshold."""
-    found: dict[str, list[float]] = {}
-    for path, text, link, marked, *_ in nodes:
-        if marked or not (size := len(text.strip())):
+#: A path, and what its markup multiplies its ratio with.
+Key = tuple[str, float]
+
+
+def path_ratios(nodes: list[Node], keys: list[Key]) -> dict[Key, float]:
+    """The fused ratio of each path: text and punctuation per node, smoothed along the page, times the path's own weights."""
+    sums: dict[Key, list[float]] = {}
+    sequence: list[Key] = []
+    for (_, text, link, *_), key in zip(nodes, keys, strict=True):
+        if not (size := len(text.strip())):
             continue
-        s = found.setdefault(path, [0.0, 0.0, 0.0, 0])
+        s = sums.setdefault(key, [0.0, 0.0, 0.0, 0])
         s[0] += size
         s[1] += len(_PUNCTUATION.findall(text))
         s[2] += size if link else 0
         s[3] += 1
-    if not found:
-        return set()
-    paths, sums = list(found), list(found.values())
-    per_text = _smooth([s[0] / s[3] for s in sums])
-    per_mark = _smooth([s[1] / s[3] for s in sums])
-    fused = [math.sqrt(t * (1 + c)) * (1 - s[2] / s[0]) * math.log1p(s[0]) for s, t, c in zip(sums, per_text, per_mark, strict=True)]
-    mean = sum(fused) / len(fused)
-    spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
-    limit = max(mean - spread / 2, 1e-9)
-    return {p for p, x in zip(paths, fused, strict=True) if x >= limit}
+        sequence.append(key)
+    if not sequence:
+        return {}
+    smoothed: dict[Key, list[float]] = {key: [0.0, 0.0] for key in sums}
+    for which in (0, 1):
+        for key, x in zip(sequence, _smooth([sums[k][which] / sums[k][3] for k in sequence]), strict=True):
+            smoothed[key][which] += x / sums[key][3]
+    return {
+        key: math.log1p(smoothed[key][0]) * math.log(2 + smoothed[key][1]) * (1 - s[2] / s[0]) * key[1] for key, s in sums.items()
+    }
+
+
+def content_paths(nodes: list[Node], keys: list[Key]) -> set[Key]:
+    """The paths whose fused ratio passes the page's threshold."""
+    fused = path_ratios(nodes, keys)
+    limit = max(FLOOR, SHARE * max(fused.values(), default=0.0))
+    return {key for key, x in fused.items() if x >= limit}
 
 
 def _told(shown: list[Node]) -> set[str]:
@@ -240,31 +260,25 @@ def _told(shown: list[Node]) -> set[str]:
     return {"article"} if size["main"] < TOLD * held else {"article", "main"}
 
 
-def content_homes(shown: list[Node], chosen: set[str]) -> set[int]:
-    """The containers of the article where the page marks none.
-
-    Containers with a path of content or a sentence are content, unless they
-    are mostly links; so are those inside them, and those that stand between them.
-    """
+def content_homes(shown: list[Node], content: list[bool]) -> set[int]:
+    """The containers of content paths that aren't mostly links, and those inside them or between them."""
     size: dict[int, list[int]] = {}
-    text_of: dict[int, list[str]] = {}
-    content: set[int] = set()
-    for path, text, link, _, _, above, _ in shown:
+    found: set[int] = set()
+    for (_, text, link, _, _, above, _), is_content in zip(shown, content, strict=True):
         n = len(text.strip())
         s = size.setdefault(above[-1], [0, 0])
         s[0] += n
         s[1] += n if link else 0
-        text_of.setdefault(above[-1], []).append(" " if link else text)
-        if n and not link and path in chosen:
-            content.add(above[-1])
+        if n and not link and is_content:
+            found.add(above[-1])
     plain = {c for c, s in size.items() if s[1] <= MOSTLY * s[0]}
-    content = {c for c in plain if size[c][0] and (c in content or _SENTENCE.search("".join(text_of[c])))}
-    at = [k for k, x in enumerate(shown) if x[5][-1] in content and x[1].strip()]
+    found &= plain
+    at = [k for k, x in enumerate(shown) if x[5][-1] in found and x[1].strip()]
     if not at:
         return set()
     between = {x[5][-1] for x in shown[at[0] : at[-1] + 1]}
-    inside = {x[5][-1] for x in shown if any(c in content for c in x[5][1:-1])}
-    return content | (plain & (between | inside))
+    inside = {x[5][-1] for x in shown if any(c in found for c in x[5][1:-1])}
+    return found | (plain & (between | inside))
 
 
 def menus(shown: list[Node]) -> set[int]:
@@ -291,16 +305,20 @@ def menus(shown: list[Node]) -> set[int]:
 
 def main_text(page: str) -> str:
     """The article of a page: its blocks in page order, joined by one space."""
-    shown = [n for n in text_nodes(page) if not n[3]]
-    inside = _told(shown)
-    if inside:
-        shown = [n for n in shown if not inside.isdisjoint(n[0].split("/"))]
-    if not inside:
-        chosen = content_paths(shown)
-        if not any(path in chosen and not link and text.strip() for path, text, link, *_ in shown):
-            return ""
-        homes = content_homes(shown, chosen)
-        shown = [n for n in shown if n[5][-1] in homes]
+    nodes = text_nodes(page)
+    told = _told([x for x in nodes if not x[3]])
+    within = [not told or not told.isdisjoint(x[0].split("/")) for x in nodes]
+    keys = [(x[0], (AGAINST if x[3] else 1.0) * (1.0 if here else OUTSIDE)) for x, here in zip(nodes, within, strict=True)]
+    chosen = content_paths(nodes, keys)
+    content = [key in chosen for key in keys]
+    if not any(c and not x[2] and x[1].strip() for c, x in zip(content, nodes, strict=True)):
+        return ""
+    # What markup speaks against is there only by its own path's ratio; the rest may come with its container.
+    at = [k for k, x in enumerate(nodes) if content[k] or (within[k] and not x[3])]
+    shown = [nodes[k] for k in at]
+    if not (told and any(content[k] and within[k] for k in at)):
+        homes = content_homes(shown, [content[k] for k in at])
+        shown = [x for x in shown if x[5][-1] in homes]
     out = menus(shown)
     blocks: list[tuple[int, list[str]]] = []
     for _, text, _, _, block, _, of in shown:

@@ -1,4 +1,5 @@
 import html
+import math
 import re
 
 import pytest
@@ -94,3 +95,49 @@ def test_linked_text_of_an_article_stays():
     assert html_text.main_text(f"<article>{body}</article>") == want
     assert html_text.main_text(f"<div><p>{LONG}</p>{body}</div>") == f"{LONG} {want}"
     assert html_text.main_text(f"<article><nav>{sources}</nav>{body}</article>") == want
+
+
+def plain_ratios(nodes, keys):
+    """The ratios node by node: for each path all nodes are looked through again."""
+    shown = [(k, x) for k, x in zip(keys, nodes, strict=True) if x[1].strip()]
+    own = []
+    for key, _ in shown:
+        same = [x for k, x in shown if k == key]
+        own.append((sum(len(x[1].strip()) for x in same) / len(same), sum(sum(c in '.,;:!?…。、！？；：()"“”«»¿¡' for c in x[1]) for x in same) / len(same)))
+    out = {}
+    for key in dict.fromkeys(k for k, _ in shown):
+        smooth = [[(own[max(0, i - 1)][w] + 2 * own[i][w] + own[min(len(own) - 1, i + 1)][w]) / 4 for w in (0, 1)] for i, (k, _) in enumerate(shown) if k == key]
+        same = [x for k, x in shown if k == key]
+        links = sum(len(x[1].strip()) for x in same if x[2]) / sum(len(x[1].strip()) for x in same)
+        t, c = (sum(s[w] for s in smooth) / len(smooth) for w in (0, 1))
+        out[key] = math.log(1 + t) * math.log(2 + c) * (1 - links) * key[1]
+    return out
+
+
+def some_pages(spark, sf):
+    return [r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").orderBy("page_id").limit(60).collect()]
+
+
+def test_ratios_equal_a_plain_version(spark, sf):
+    for page in [*some_pages(spark, sf), "<p>a<b>b.</b>", "text", f"<div class=ad>x, y</div><main><p>{LONG}</p><a>z</a></main>"]:
+        nodes = html_text.text_nodes(page)
+        keys = [(x[0], html_text.AGAINST if x[3] else 1.0) for x in nodes]
+        got, want = html_text.path_ratios(nodes, keys), plain_ratios(nodes, keys)
+        assert list(got) == list(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_paths_go_from_root_to_leaf():
+    assert [x[0] for x in html_text.text_nodes("<html><body><div><p>a<b>c</b></p></div>")] == ["/html/body/div/p", "/html/body/div/p/b"]
+
+
+def test_ratios_select_the_content(spark, sf, monkeypatch):
+    pages = some_pages(spark, sf)
+    before = [html_text.main_text(p) for p in pages]
+    monkeypatch.setattr(html_text, "content_paths", lambda nodes, keys: set(keys))
+    assert sum(html_text.main_text(p) != b for p, b in zip(pages, before, strict=True)) >= 0.9 * len(pages)
+
+
+def test_pages_of_neutral_divs():
+    menu = "<div class=x1><div><a href=a>One</a></div><div><a href=b>Two</a></div><div><a href=c>Three</a></div></div>"
+    story = "".join(f"<div>{LONG}</div>" for _ in range(5))
+    assert html_text.main_text(f"<div>{menu}<div class=x2>{story}</div><div class=x3><span>A</span> <span>B</span></div></div>") == " ".join([LONG] * 5)
