@@ -1,25 +1,24 @@
 """License scans (operator 1): an exact set-similarity join of text blocks with license templates.
 
-A block (a line; a longer line in overlapping windows of words) meets a
-template when it holds at least ``containment`` of the template's distinct
-words. A notice that is wrapped over lines is found beside it: a run of words
-that crosses a newline, at most half as long again as the template (which
-leaves room for a comment word on each line), meets it in the same way. Of
-runs that overlap, the one that holds most of the template, in its order,
-counts, and none counts where a block that it overlaps holds as much. The join is exact:
+A block is a run of words anywhere in a whole text, over lines or not, at most half as long
+again as the template (which leaves room for a comment word on each line). It
+meets the template when it holds at least ``containment`` of the template's distinct
+words. All runs of all texts are joined, whatever the text's length; of runs of one template
+that overlap, the one that holds most of the template, in its order, counts. The join is exact:
 
 * global order - the words of all templates are counted over all documents;
   each template's words are ordered from rare to frequent (ties by word);
 * prefix filter - a block with enough of the template's words must hold one
-  of the template's first ``n - need + 1`` words, so only blocks with such a
-  word are looked at;
-* length filter - a block with fewer words than ``need`` can't match;
-* positional filter - the words of template and block that come after the
-  first common one in the global order bound the overlap from above;
+  of the template's first ``n - need + 1`` words, so only the words that stand within a
+  block's length of such a word are looked at;
+* length filter - a run with fewer known words than ``need`` can't match;
+* positional filter - the template's words from the run's first one in the
+  global order on bound the overlap from above;
 * what is left is verified by counting the whole overlap.
 
-The templates are a fixed list of this module, so their index is of fixed
-size and goes to the tasks with the function; counts of its words come back
+Templates are rows of a table (label, text): the packaged ``license_templates.tsv``, or any
+other. Their prefix postings go to the tasks with the function, so the table is bounded:
+more than ``MOST_WORDS`` words are refused, and can be scanned in parts. Counts of its words come back
 as one number per word. Texts never leave their row: no text is shuffled.
 
 Phrases are found beside it: places where a phrase's words stand consecutively.
@@ -33,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -49,34 +49,15 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-# Short notices and opening sentences of public licenses, in lower case, with their labels.
-TEMPLATES = [
-    ("agpl", "this work is licensed under the gnu affero general public license version 3"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by-nc", "licensed under a creative commons attribution non commercial 4 0 international license"),
-    ("cc-by-nd", "licensed under a creative commons attribution noderivatives 4 0 international license"),
-    ("cc-by-nd", "licensed under a creative commons attribution no derivatives 4 0 international license"),
-    ("cc-by-nd", "licensed under cc by nd 4 0"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("cc-by-sa", "licensed under a creative commons attribution share alike 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc0", "no rights reserved this work is dedicated to the public domain under cc0 1 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
-    ("lgpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("lgpl", "this work is licensed under the gnu lesser general public license version 3"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-]
+
+
+def packaged_templates() -> list[tuple[str, str]]:
+    """(label, text): short notices and opening sentences of public licenses, in lower case."""
+    lines = Path(__file__).with_name("license_templates.tsv").read_text(encoding="utf-8").splitlines()[1:]
+    return [tuple(x.split("\t")) for x in lines]
+
+
+TEMPLATES = packaged_templates()
 # The word that tells a license from those with a like notice, or one for each form of its templates; where a template has it, its label needs it.
 NAMES = {
     "agpl": "affero",
@@ -91,27 +72,68 @@ NAMES = {
     "mpl": "mozilla",
 }
 CONTAINMENT = 0.8
-#: Lines of more words than this are seen in windows of so many words, each starting half a window later.
-WINDOW = 256
+#: Documented bound of a template table.
+MOST_WORDS = 1_000_000
+
 
+class _Template:
+    """A template's distinct word ids in the global order, what it needs of them, its prefix, and its name."""
 
-def _index(templates: list[tuple[str, str]], frequency: dict[str, int], containment: float, names: dict[str, str]) -> list[dict]:
-    """Each template's word ids in the global order, the words that it needs, its prefix, and the id of its name if it has it."""
-    order = {w: k for k, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
-    out = []
-    for label, text in templates:
-        ids = sorted({order[w] for w in text.split()})
-        need = max(1, math.ceil(containment * len(ids) - 1e-9))
-        name = next((w for w in names.get(label, "").split() if w in text.split()), None)
-        n = len(text.split())
-        follow = {(order[v], order[w]) for v, w in zip(text.split(), text.split()[1:], strict=False)}
-        out.append({"label": label, "span": n + n // 2, "follow": follow, "ids": ids, "need": need, "prefix": ids[: len(ids) - need + 1], "name": None if name is None else order[name]})
-    return out
+    def __init__(self, label: str, text: str, order: dict[str, int], containment: float, names: dict[str, str]):
+        said = text.split()
+        self.label = label
+        self.ids = sorted({order[w] for w in said})
+        self.need = max(1, math.ceil(containment * len(self.ids) - 1e-9))
+        self.prefix = self.ids[: len(self.ids) - self.need + 1]
+        self.span = len(said) + len(said) // 2
+        self.follow = {(order[v], order[w]) for v, w in zip(said, said[1:], strict=False)}
+        name = next((w for w in names.get(label, "").split() if w in said), None)
+        self.name = None if name is None else order[name]
+        self.place = {w: k for k, w in enumerate(self.ids)}
+
+    def blocks(self, at: list[int], ids: list[int], text_end: list[int]) -> list[tuple[int, int, int, bool]]:
+        """(first word, end, common words, whether its name is among them) of the runs that meet it.
+
+        at, ids: places and ids of its words, in order; text_end: where each one's text ends.
+        """
+        found, count, distinct, end = [], dict.fromkeys(self.ids, 0), 0, 0
+        for k, first in enumerate(at):
+            limit = min(first + self.span, text_end[k])
+            while end < len(at) and at[end] < limit:
+                count[ids[end]] += 1
+                distinct += count[ids[end]] == 1
+                end += 1
+            if distinct >= self.need:
+                rarest = next(w for w in self.ids if count[w])
+                if len(self.ids) - self.place[rarest] >= self.need:
+                    found.append(self._shortest(at, ids, k, end, distinct))
+            count[ids[k]] -= 1
+            distinct -= count[ids[k]] == 0
+        out: list[tuple[int, int, int, bool]] = []
+        for common, nameless, _, _, a, z in sorted(found):
+            if all(z <= x or a >= y for x, y, *_ in out):
+                out.append((a, z, -common, not nameless))
+        return out
+
+    def _shortest(self, at: list[int], ids: list[int], first: int, end: int, distinct: int) -> tuple[int, bool, int, int, int, int]:
+        """The shortest run from ``first`` with as many of its words, as a key that sorts the best first."""
+        seen: set[int] = set()
+        last = first
+        while len(seen) < distinct:
+            seen.add(ids[last])
+            last += 1
+        part = ids[first:last]
+        width = at[last - 1] - at[first]
+        # Of two notices side by side, each keeps its own words.
+        loose = width - sum(pair in self.follow for pair in zip(part, part[1:], strict=False))
+        return -distinct, self.name is not None and self.name not in seen, loose, width, at[first], at[last - 1] + 1
 
 
 def word_frequencies(docs: DataFrame, vocabulary: list[str], *, text: str = "text") -> dict[str, int]:
     """How often each word of a fixed vocabulary stands in all texts."""
     importable(docs.sparkSession)
+    if not vocabulary:
+        return {}
     hashes = np.array([hash_of(w) for w in vocabulary], np.uint64)
     sort = np.argsort(hashes)
     known = hashes[sort]
@@ -132,98 +154,83 @@ def word_frequencies(docs: DataFrame, vocabulary: list[str], *, text: str = "tex
     return {w: found.get(k, 0) for k, w in enumerate(vocabulary)}
 
 
-def _blocks(data: np.ndarray, starts: np.ndarray, row: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For the words at ``here``: (index into here, block); and for all blocks: first word and number of words."""
-    n = len(starts)
-    line = np.cumsum(data == 10)[starts]
-    new = np.ones(n, bool)
-    new[1:] = (line[1:] != line[:-1]) | (row[1:] != row[:-1])
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, n))
-    half = WINDOW // 2
-    made = np.where(size <= WINDOW, 1, -(-(size - half) // half))
-    base = np.concatenate([[0], np.cumsum(made)])
-    block_first = np.repeat(first, made) + (np.arange(base[-1]) - np.repeat(base[:-1], made)) * half
-    block_size = np.minimum(np.repeat(first + size, made) - block_first, np.where(np.repeat(made, made) == 1, np.repeat(size, made), WINDOW))
-    of = np.searchsorted(first, here, "right") - 1
-    k = np.minimum((here - first[of]) // half, made[of] - 1)
-    again = np.flatnonzero((k > 0) & (here - first[of] < (k - 1) * half + WINDOW))
-    return np.concatenate([np.arange(len(here)), again]), np.concatenate([base[of] + k, (base[of] + k - 1)[again]]), block_first, block_size
-
-
-def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT, names: dict[str, str] = NAMES) -> DataFrame:
-    """Per row: ``key``, n_words, places (label, word) of phrases, blocks (label, first_word, n_words, containment, best) that meet a template, and ``wrapped``: the same of runs of words over several lines.
+def _near(places: np.ndarray, here: np.ndarray, span: int) -> np.ndarray:
+    """Indexes into ``here`` (sorted) of what stands less than ``span`` words from one of ``places``."""
+    low, high = np.searchsorted(here, places - span, "right"), np.searchsorted(here, places + span)
+    step = np.zeros(len(here) + 1, np.int64)
+    np.add.at(step, low, 1)
+    np.add.at(step, high, -1)
+    return np.flatnonzero(np.cumsum(step)[:-1] > 0)
+
+
+BLOCK_TYPE = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64()), ("best", pa.bool_())]))
+PLACE_TYPE = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
+_BLOCKS = "array<struct<label:string,first_word:bigint,n_words:bigint,containment:double,best:boolean>>"
 
+
+def scan(
+    docs: DataFrame,
+    *,
+    key: str = "doc_id",
+    text: str = "text",
+    phrases: dict[str, str] = PHRASES,
+    templates: list[tuple[str, str]] | DataFrame = TEMPLATES,
+    containment: float = CONTAINMENT,
+    names: dict[str, str] = NAMES,
+) -> DataFrame:
+    """Per row: ``key``, n_words, places (label, word) of phrases, blocks (label, first_word, n_words, containment, best) that meet a template, and ``wrapped``: those of them that go over lines.
+
+    ``templates`` are (label, text) rows, texts in lower case with one space between words.
     ``best`` marks the blocks that give their label: those that hold the
-    template's name, if it has one, and no wider template as well or better.
+    template's name, if it has one, and overlap no block of a wider template that holds as much of its own.
     """
     importable(docs.sparkSession)
+    if isinstance(templates, DataFrame):
+        held = templates.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
+        if held > MOST_WORDS:
+            raise ValueError(f"{held} words of templates; at most {MOST_WORDS} go into one scan")
+        templates = [(r["label"], r["text"]) for r in templates.select("label", "text").orderBy("label", "text").collect()]
     vocabulary = sorted({w for _, t in templates for w in t.split()})
     frequency = word_frequencies(docs, vocabulary, text=text)
     ordered = sorted(vocabulary, key=lambda w: (frequency[w], w))
-    index = _index(templates, frequency, containment, names)
-    starters: dict[int, list[int]] = {}
+    order = {w: k for k, w in enumerate(ordered)}
+    index = [_Template(label, t, order, containment, names) for label, t in templates]
+    postings: dict[int, list[int]] = {}
     for t, x in enumerate(index):
-        for w in x["prefix"]:
-            starters.setdefault(w, []).append(t)
+        for w in x.prefix:
+            postings.setdefault(w, []).append(t)
     hashes = np.array([hash_of(w) for w in ordered], np.uint64)
     sort = np.argsort(hashes)
     known = hashes[sort]
-    is_prefix = np.zeros(len(ordered), bool)
-    is_prefix[list(starters)] = True
+    member = np.zeros((len(index), len(ordered)), bool)
+    for t, x in enumerate(index):
+        member[t, x.ids] = True
+    sets = [set(x.ids) for x in index]
     sought = [(label, [np.uint64(hash_of(w)) for w in phrase.split()]) for phrase, label in phrases.items()]
-    sets = [set(x["ids"]) for x in index]
 
-    def met(ids: list[int], n_words: int) -> list[tuple[int, float, bool]]:
-        """(template, containment, whether it gives its label) of a block's distinct known words, in the global order."""
-        out, have = [], set(ids)
-        for t in sorted({t for w in ids for t in starters.get(w, ())}):
+    def met(here: np.ndarray, token: np.ndarray, text_end: np.ndarray) -> list[tuple[int, int, int, float, bool]]:
+        """(template, first word, end, containment, named) of the blocks of a chunk of texts; here, token: places and ids of known words."""
+        leads: dict[int, list[np.ndarray]] = {}
+        by_word = np.argsort(token, kind="stable")
+        cuts = np.searchsorted(token[by_word], np.arange(len(ordered) + 1))
+        for w, of in postings.items():
+            if cuts[w] < cuts[w + 1]:
+                for t in of:
+                    leads.setdefault(t, []).append(here[by_word[cuts[w] : cuts[w + 1]]])
+        out = []
+        for t, places in leads.items():
             x = index[t]
-            if n_words < x["need"]:
-                continue
-            first = next(w for w in x["prefix"] if w in have)
-            if 1 + min(len(x["ids"]) - x["ids"].index(first) - 1, len(ids) - ids.index(first) - 1) < x["need"]:
-                continue
-            common = len(have & sets[t])
-            if common >= x["need"]:
-                out.append((t, common / len(x["ids"])))
-        named = [(t, c) for t, c in out if index[t]["name"] is None or index[t]["name"] in have]
-        best = {t for t, c in named if not any(sets[t] < sets[u] and d >= c for u, d in named)}
-        return [(t, c, t in best) for t, c in out]
-
-    member = np.zeros((len(index), len(ordered)), bool)
-    leads = np.zeros_like(member)
-    for t, x in enumerate(index):
-        member[t, x["ids"]] = leads[t, x["prefix"]] = True
-
-    def over_lines(here: np.ndarray, token: np.ndarray, line: np.ndarray, row: np.ndarray, first_word: np.ndarray) -> dict[int, list[tuple[int, int, int, int, bool]]]:
-        """By row: (template, first word, end, common words, whether its name is among them) of runs over lines that meet a template."""
-        out: dict[int, list[tuple[int, int, int, int, bool]]] = {}
-        for t, x in enumerate(index):
-            own = np.flatnonzero(member[t][token])
-            at, ids = here[own], token[own]
-            end = np.searchsorted(at, np.minimum(at + x["span"], first_word[row[at] + 1]))
-            lead = np.concatenate([[0], np.cumsum(leads[t][ids])])
-            k = np.arange(len(at))
-            enough = np.flatnonzero((end - k >= x["need"]) & (lead[end] > lead[k]) & (line[at[end - 1]] > line[at]))
-            runs: dict[int, list[tuple[int, bool, int, int, int, int]]] = {}
-            for first in enough.tolist():
-                part = ids[first : end[first]].tolist()
-                have = set(part)
-                if len(have) < x["need"]:
-                    continue
-                last = first + max(part.index(w) for w in have)  # the shortest run with as many words
-                if line[at[last]] > line[at[first]]:
-                    loose = int(at[last] - at[first]) - sum(pair in x["follow"] for pair in zip(part, part[1 : last - first + 1], strict=False))  # of two notices side by side, each keeps its own words
-                    runs.setdefault(int(row[at[first]]), []).append((-len(have), x["name"] is not None and x["name"] not in have, loose, int(at[last] - at[first]), int(at[first]), int(at[last]) + 1))
-            for r, found in runs.items():
-                taken: list[tuple[int, int]] = []
-                for common, nameless, _, _, a, z in sorted(found):
-                    if all(z <= y or a >= w for y, w in taken):
-                        taken.append((a, z))
-                        out.setdefault(r, []).append((t, a, z, -common, not nameless))
+            near = _near(np.concatenate(places), here, x.span)
+            near = near[member[t][token[near]]]
+            if len(near) >= x.need:
+                for a, z, common, named in x.blocks(here[near].tolist(), token[near].tolist(), text_end[near].tolist()):
+                    out.append((t, a, z, common / len(x.ids), named))
         return out
 
+    def best(block: tuple[int, int, int, float, bool], others: list[tuple[int, int, int, float, bool]]) -> bool:
+        t, a, z, c, named = block
+        return named and not any(m and sets[t] < sets[u] and d >= c and a < y and b < z for u, b, y, d, m in others)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n_words = np.zeros(len(b), np.int64)
@@ -245,34 +252,23 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text", phrases: d
                         at = at[h[at + k] == phrase[k]]
                     for k in at[row[at] == row[at + len(phrase) - 1]].tolist():
                         places.setdefault(base + int(row[k]), []).append({"label": label, "word": int(k - first_word[row[k]])})
+                if not len(known):
+                    continue
                 found = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 here = np.flatnonzero(known[found] == h)
-                token = sort[found[here]]
-                item, block, block_first, block_size = _blocks(low, starts, row, here)
-                wanted = np.zeros(len(block_first), bool)
-                wanted[block[is_prefix[token[item]]]] = True
-                keep = wanted[block]
-                pair = np.unique(block[keep] * len(ordered) + token[item[keep]])
-                of, ids = pair // len(ordered), pair % len(ordered)
-                cuts = np.flatnonzero(np.diff(of)) + 1
-                lines: dict[int, list[tuple[int, int, int, float, bool]]] = {}
-                for part_of, part in zip(np.split(of, cuts), np.split(ids, cuts), strict=True) if len(of) else ():
-                    k = int(part_of[0])
-                    start = int(block_first[k])
-                    for t, c, best in met(part.tolist(), int(block_size[k])):
-                        lines.setdefault(int(row[start]), []).append((t, start, start + int(block_size[k]), c, index[t]["name"] is None or index[t]["name"] in part))
-                        blocks.setdefault(base + int(row[start]), []).append({"label": index[t]["label"], "first_word": start - int(first_word[row[start]]), "n_words": int(block_size[k]), "containment": c, "best": best})
-                for r, runs in over_lines(here, token, np.cumsum(low == 10)[starts], row, first_word).items():
-                    near = lines.get(r, [])
-                    runs = [(t, a, z, n / len(sets[t]), named) for t, a, z, n, named in runs]
-                    runs = [x for x in runs if not any(x[0] == u and x[1] < w and y < x[2] and d >= x[3] for u, y, w, d, _ in near)]
-                    for t, a, z, c, named in sorted(runs, key=lambda x: (x[1], x[0])):
-                        best = named and not any(m and sets[t] < sets[u] and d >= c and a < w and y < z for u, y, w, d, m in runs + near)
-                        wrapped.setdefault(base + r, []).append({"label": index[t]["label"], "first_word": a - int(first_word[r]), "n_words": z - a, "containment": c, "best": best})
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words), *(pa.array([x.get(k, []) for k in range(len(b))], kind) for x, kind in ((places, place_type), (blocks, block_type), (wrapped, block_type)))], ["key", "n_words", "places", "blocks", "wrapped"])
-
-    place_type = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
-    block_type = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("containment", pa.float64()), ("best", pa.bool_())]))
+                by_row: dict[int, list[tuple[int, int, int, float, bool]]] = {}
+                for block in met(here, sort[found[here]], first_word[row[here] + 1]):
+                    by_row.setdefault(int(row[block[1]]), []).append(block)
+                for r, own in by_row.items():
+                    for block in sorted(own, key=lambda x: (x[1], x[0])):
+                        t, a, z, c, _ = block
+                        over = (low[starts[a] : starts[z - 1]] == 10).any()
+                        told = {"label": index[t].label, "first_word": a - int(first_word[r]), "n_words": z - a, "containment": c, "best": best(block, own)}
+                        (wrapped if over else blocks).setdefault(base + r, []).append(told)
+            columns = [pa.array([x.get(k, []) for k in range(len(b))], kind) for x, kind in ((places, PLACE_TYPE), (blocks, BLOCK_TYPE), (wrapped, BLOCK_TYPE))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words), *columns], ["key", "n_words", "places", "blocks", "wrapped"])
+
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(run, f"key {kind}, n_words bigint, places array<struct<label:string,word:bigint>>, blocks array<struct<label:string,first_word:bigint,n_words:bigint,containment:double,best:boolean>>, wrapped array<struct<label:string,first_word:bigint,n_words:bigint,containment:double,best:boolean>>").withColumnRenamed("key", key)
+    out = rows.mapInArrow(run, f"key {kind}, n_words bigint, places array<struct<label:string,word:bigint>>, blocks {_BLOCKS}, wrapped {_BLOCKS}")
+    return out.withColumnRenamed("key", key)

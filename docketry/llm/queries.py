@@ -25,6 +25,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and template notices in every whole text."""
     found = license_scan.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
     base, blocks = F.col("places"), F.concat("blocks", "wrapped")
+    best = F.filter(blocks, lambda b: b["best"])
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return found.select(
         "doc_id",
@@ -33,8 +34,8 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min(base["word"]).alias("first_word"),
         F.array_max(base["word"]).alias("last_word"),
         joined(base["label"]).alias("base_labels"),
-        joined(F.concat(base["label"], F.filter(blocks, lambda b: b["best"])["label"])).alias("labels"),
-        F.when(F.size(base) > 0, 1.0).otherwise(F.coalesce(F.array_max(blocks["containment"]), F.lit(0.0))).alias("score"),
+        joined(F.concat(base["label"], best["label"])).alias("labels"),
+        F.when(F.size(base) > 0, 1.0).otherwise(F.coalesce(F.array_max(best["containment"]), F.lit(0.0))).alias("score"),
         F.size(blocks).cast("long").alias("n_blocks"),
     )
 

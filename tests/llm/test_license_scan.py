@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from docketry.llm import license_scan
 from docketry.llm.queries import op1_license_scan
 
@@ -14,18 +16,32 @@ def brute(text):
 
 
 def brute_blocks(text):
-    out = set()
-    for line in (text or "").translate(LOWER).split("\n"):
-        words = WORD.findall(line)
-        half = license_scan.WINDOW // 2
-        starts = [0] if len(words) <= license_scan.WINDOW else range(0, len(words) - half, half)
-        for s in starts:
-            have = set(words[s : s + license_scan.WINDOW])
-            for label, t in license_scan.TEMPLATES:
-                need = set(t.split())
-                if len(have & need) / len(need) >= license_scan.CONTAINMENT:
-                    out.add((label, round(len(have & need) / len(need), 9)))
-    return out
+    """All runs of every length and place; of those of one template that overlap, the one that holds most of it, in its order."""
+    low = (text or "").translate(LOWER)
+    found = [(m[0], m.start()) for m in WORD.finditer(low)]
+    words = [w for w, _ in found]
+    lines, over = set(), set()
+    for label, t in license_scan.TEMPLATES:
+        said = t.split()
+        need, width = set(said), len(said) + len(said) // 2
+        if len(need & set(words)) < license_scan.CONTAINMENT * len(need):
+            continue
+        name = next((w for w in license_scan.NAMES.get(label, "").split() if w in said), None)
+        runs = []
+        for a in range(len(words)):
+            for z in range(a + 1, min(a + width, len(words)) + 1):
+                have = need & set(words[a:z])
+                if words[a] in need and words[z - 1] in need and len(have) / len(need) >= license_scan.CONTAINMENT:
+                    part = [w for w in words[a:z] if w in need]
+                    loose = z - 1 - a - sum(p in list(zip(said, said[1:])) for p in zip(part, part[1:]))
+                    runs.append((-len(have), name is not None and name not in have, loose, z - 1 - a, a, z))
+        taken = []
+        for common, _, _, _, a, z in sorted(runs):
+            if all(z <= x or a >= y for x, y in taken):
+                taken.append((a, z))
+                wraps = "\n" in low[found[a][1] : found[z - 1][1]]
+                (over if wraps else lines).add((label, a, z - a, round(-common / len(need), 9)))
+    return lines, over
 
 
 def check(frame):
@@ -35,7 +51,8 @@ def check(frame):
     rows = license_scan.scan(frame).collect()
     assert len(rows) == sum(map(len, want.values()))
     for r in rows:
-        got = ((r["n_words"], sorted((p["label"], p["word"]) for p in r["places"])), {(b["label"], round(b["containment"], 9)) for b in r["blocks"]})
+        told = lambda blocks: {(b["label"], b["first_word"], b["n_words"], round(b["containment"], 9)) for b in blocks}
+        got = ((r["n_words"], sorted((p["label"], p["word"]) for p in r["places"])), (told(r["blocks"]), told(r["wrapped"])))
         assert got in want[r["doc_id"]]
     return rows
 
@@ -119,3 +136,35 @@ def test_long_creative_commons_notices(spark):
     rows = spark.createDataFrame([(k, f"This work is licensed under a Creative Commons {t} 4.0 International License.") for k, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: {b["label"] for b in r["blocks"] + r["wrapped"] if b["best"]} for r in check(rows)}
     assert list(texts.values()) == [got[k] for k in range(len(texts))]
+
+
+def test_one_rule_for_every_length(spark):
+    notice = "This work is licensed under the GNU General Public License, version 3"
+    rows = spark.createDataFrame([(k, " ".join(["w"] * k + [notice] + ["w"] * 5)) for k in (0, 238, 239, 240, 500, 5000)], "doc_id long, text string")
+    got = [[(b["label"], b["n_words"]) for b in r["blocks"] if b["best"]] for r in check(rows)]
+    assert got == [[("gpl", 12)]] * 6
+
+
+def test_templates_of_a_table(spark, monkeypatch):
+    table = spark.createDataFrame([("own", "all rights go to the house of words"), ("other", "nothing of this may be copied at all")], "label string, text string")
+    rows = spark.createDataFrame([(1, "All rights\ngo to the House, of Words."), (2, "all rights to words")], "doc_id long, text string")
+    got = {r["doc_id"]: [b["label"] for b in r["wrapped"] + r["blocks"]] for r in license_scan.scan(rows, templates=table).collect()}
+    assert got == {1: ["own"], 2: []}
+    assert all(not r["blocks"] for r in license_scan.scan(rows, templates=table.where("false")).collect())
+    monkeypatch.setattr(license_scan, "MOST_WORDS", 10)
+    with pytest.raises(ValueError):
+        license_scan.scan(rows, templates=table)
+
+
+def test_score_is_that_of_the_labels(spark, tmp_path):
+    rows = [(1, "Released under the BSD license."), (2, "licensed under the apache license version 2"), (3, None), (4, "the MIT License")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 3)) for r in op1_license_scan(spark, str(tmp_path)).collect()}
+    assert got == {1: ("", 0.0), 2: ("apache", 1.0), 3: ("", 0.0), 4: ("mit", 1.0)}
+
+
+def test_closing_notices_of_the_gnu_licenses(spark):
+    line = "You should have received a copy of the GNU {}General Public License along with this {}."
+    rows = [(k, line.format(*x)) for k, x in enumerate([("", "program"), ("Lesser ", "library"), ("Lesser ", "program"), ("Affero ", "program")])]
+    got = {r["doc_id"]: {b["label"] for b in r["blocks"] if b["best"]} for r in check(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert got == {0: {"gpl"}, 1: {"lgpl"}, 2: {"lgpl"}, 3: {"agpl"}}
