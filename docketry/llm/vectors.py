@@ -33,9 +33,13 @@ def by_dimension(batch: pa.RecordBatch, vector: str) -> list[tuple[int, np.ndarr
     return out
 
 
-def sample_by_dimension(rows: DataFrame, key: str, vector: str, most: int, seed: str) -> dict[int, np.ndarray]:
+def count_by_dimension(rows: DataFrame, vector: str) -> dict[int, int]:
+    return {r["d"]: r["count"] for r in rows.groupBy(F.size(vector).alias("d")).count().collect()}  # one row per dimension
+
+
+def sample_by_dimension(rows: DataFrame, key: str, vector: str, most: int, seed: str, have: dict[int, int] | None = None) -> dict[int, np.ndarray]:
     """At most about ``most`` rows of each dimension, chosen by a hash of the key: a bounded, repeatable sample."""
-    have = {r["d"]: r["count"] for r in rows.groupBy(F.size(vector).alias("d")).count().collect()}  # one row per dimension
+    have = count_by_dimension(rows, vector) if have is None else have
     draw = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1_000_000_000))
     bound: Column = F.lit(1_000_000_000)
     for d, n in have.items():
