@@ -9,7 +9,7 @@ lies within r of the great circle between both pivots. A vector visits
 just the cells that pass both tests, so each cell joins alone: its home
 vectors with home vectors and visitors.
 
-Identical vectors of a label are one class with a count before anything else,
+Identical vectors of a label are one class with a number and a count before anything else,
 so a hot vector costs one row. A cell with more rows than a block is joined
 block by block on separate tasks; no task holds an unbounded group. A task
 sends out one row per vector (its number of links and the smallest linked
@@ -20,8 +20,9 @@ grows with the vectors up to that documented bound.
 
 Defined cases: a vector that is null, empty, zero, or holds null or non-finite
 components, or has no label, links with nothing, nor do vectors of different
-length. Rows with the same id are vectors of their own and count as links of
-each other; a row with a null id takes no part. Extra columns are ignored.
+length. Rows with the same id are vectors of their own, each with its own links and component
+(under different labels they never meet, near ones under one label are links of
+each other); a row with a null id takes no part. Extra columns are ignored.
 Empty tables give empty results. Cosines are computed in double precision.
 """
 
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.components import connected
-from docketry.llm.vectors import by_dimension, matrix, sample_by_dimension, usable
+from docketry.llm.vectors import by_dimension, count_by_dimension, matrix, sample_by_dimension, usable
 from docketry.session import importable, materialize
 
 COSINE = 0.98
@@ -108,18 +109,24 @@ def near_duplicates(rows: DataFrame, *, key: str = "vec_id", vector: str = "embe
     table = rows.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("vector"))
     takes_part = usable("vector") & F.col("label").isNotNull() & F.col("id").isNotNull()
     good = table.where(takes_part)
-    classes = materialize(good.groupBy("label", "vector").agg(F.min("id").alias("least"), F.count("id").alias("n")), "vector-classes")
-    # A class is named by its smallest id; where two classes share one, ids repeat in the table, and a joint component is right.
-    named = classes.select("label", "vector", F.col("least").alias("id"), "n")
-    many = named.count()
-    pivots = sample_by_dimension(named, "id", "vector", min(MOST_PIVOTS, max(1, math.ceil(many / ROWS_PER_PIVOT))), "pivots") if many else {}
-    if many:
-        pivots |= {r["d"]: np.array([r["v"]], np.float64) for r in named.groupBy(F.size("vector").alias("d")).agg(F.min_by("vector", "id").alias("v")).collect() if r["d"] not in pivots}
-    assigned = materialize(_assigned(named, pivots, cosine), "cells")
+    classes = good.groupBy("label", "vector").agg(F.min("id").alias("least"), F.count("id").alias("n"))
+    # The table is written once, so the numbers of classes stay.
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
+    have = count_by_dimension(classes, "vector")
+    many = sum(have.values())
+    pivots = sample_by_dimension(classes, "id", "vector", min(MOST_PIVOTS, max(1, math.ceil(many / ROWS_PER_PIVOT))), "pivots", have) if many else {}
+    if set(have) - set(pivots):
+        first = classes.groupBy(F.size("vector").alias("d")).agg(F.min_by("vector", "id").alias("v"))
+        pivots |= {r["d"]: np.array([r["v"]], np.float64) for r in first.collect() if r["d"] not in pivots}  # one row per dimension
+    assigned = materialize(_assigned(classes, pivots, cosine), "cells")
     found = materialize(_joined(assigned, cosine), "links")
     links = found.groupBy("id").agg(F.sum("n").alias("linked"))
     roots = connected(found.where(F.col("root") != F.col("id")), "id", "root")
-    per_class = named.join(links, "id", "left").join(roots, named["id"] == roots["node"], "left").select("label", "vector", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
+    low = classes.join(roots, classes["id"] == roots["node"]).groupBy("root").agg(F.min("least").alias("low"))
+    low = low.join(classes.select(F.col("id").alias("root"), "least"), "root").select("root", F.least("low", "least").alias("low"))
+    named = classes.join(links, "id", "left").join(roots, classes["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
+    named = named.join(materialize(low, "least-ids"), "root", "left")
+    per_class = named.select("label", "vector", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("low", "least").alias("component_id"))
     linked = good.join(per_class, ["label", "vector"]).select("id", "n_links", "component_id")
     alone = table.where(~takes_part).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.union(alone).select("id", "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -54,5 +54,18 @@ def test_equals_brute_force(spark, monkeypatch):
     assert all(r["kept"] == (r["id"] == r["component_id"]) for r in got if r["id"] is not None)
 
 
+def test_repeated_ids_under_labels(spark):
+    near = [[1.0, 0.01 * k] for k in range(5)]
+    rows = [(1, near[0], 0, "x"), (2, near[1], 0, "x"), (3, near[2], 0, "x"), (1, near[3], 1, "x"), (4, near[4], 1, "x"), (7, near[0], 2, "x"), (7, near[1], 2, "x"), (7, near[1], 2, "x"), (1, [0.0, 1.0], 3, "x"), (5, [0.01, 1.0], 4, "x")]
+    got = sorted((r["id"], r["n_links"], r["component_id"], r["kept"]) for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 1, False), (5, 0, 5, True), (7, 2, 7, True), (7, 2, 7, True), (7, 2, 7, True)]
+
+
+def test_a_component_of_one_label_doesnt_name_rows_of_another(spark):
+    rows = [(9, [1.0, 0.0], 0, "x"), (3, [1.0, 0.01], 0, "x"), (9, [1.0, 0.0], 1, "x"), (12, [1.0, 0.01], 1, "x")]
+    got = sorted((r["id"], r["component_id"]) for r in vector_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(3, 3), (9, 3), (9, 9), (12, 9)]
+
+
 def test_empty(spark):
     assert vector_dedup.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
