@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docketry.llm.arrays import mix
-from docketry.session import importable
+from docketry.session import importable, materialize
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -117,7 +117,8 @@ def learn(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
                         grams, n = np.unique(h[of[at] == k], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([x] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    counts = rows.where(chosen < bound).select("lang", "text").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    counts = rows.where(chosen < bound).select("lang", "text").mapInArrow(count, "lang string, gram bigint, n bigint")
+    counts = materialize(counts.groupBy("gram", "lang").agg(F.sum("n").alias("n")), "gram-counts")
     total = {r["lang"]: float(r["t"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("t")).collect()}
     share, bit = F.lit(0.0), F.lit(0)
     for k, x in enumerate(languages):
@@ -129,8 +130,8 @@ def learn(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
     at = F.explode(F.array(*(F.shiftrightunsigned("gram", 64 - log2_slots - j * log2_slots if 64 - log2_slots - j * log2_slots > 0 else 0).bitwiseAND(F.lit(slots - 1)) for j in range(n_hashes))))
     filled = kept.select(at.alias("slot"), F.floor(F.col("bit") / 64).cast("int").alias("plane"), F.expr("shiftleft(1L, bit % 64)").alias("mask")).groupBy("plane", "slot").agg(F.bit_or("mask").alias("mask"))
     planes = np.zeros((-(-len(languages) // 64), slots), np.uint64)
-    for r in filled.toLocalIterator():  # at most a row per slot and plane
-        planes[r["plane"], r["slot"]] = np.uint64(r["mask"] & 0xFFFFFFFFFFFFFFFF)
+    held = filled.toArrow()  # at most a row per slot and plane
+    planes[held["plane"].to_numpy(), held["slot"].to_numpy()] = held["mask"].to_numpy().view(np.uint64)
     fill = np.array([np.mean((planes[k // 64] >> np.uint64(k % 64)) & np.uint64(1)) for k in range(len(languages))])
     return {"languages": languages, "prior": max(languages, key=lambda x: have[x]), "planes": planes, "log2_slots": log2_slots, "n_hashes": n_hashes, "fpr": np.minimum(fill**n_hashes, 0.999)}
 
@@ -196,6 +197,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def with_known_language(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: documents without a language (``und``) go."""
+    """The pipeline's stage: documents without a language (``und``) go; ``lang`` of the others is the language found."""
     model = learn(docs.where(~held_out()))
-    return identify(docs, model, pred="__pred", score="__score").where(F.col("__pred") != UNKNOWN).select(*docs.columns)
+    found = identify(docs, model, pred="__pred", score="__score").where(F.col("__pred") != UNKNOWN)
+    return found.select(*(F.col("__pred").alias(c) if c == "lang" else F.col(c) for c in docs.columns))

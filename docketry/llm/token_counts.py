@@ -67,7 +67,7 @@ def split_safely(text: str, most: int) -> list[str]:
     return [*parts, text[start:]]
 
 
-def _counts(texts: list[str], path: str, batch_bytes: int, piece_bytes: int) -> list[int]:
+def _counts(texts: list[str], sizes: list[int], path: str, batch_bytes: int, piece_bytes: int) -> list[int]:
     count, cut = _encoder(path)
     out, owners, batch, load = [0] * len(texts), [], [], 0
 
@@ -78,10 +78,10 @@ def _counts(texts: list[str], path: str, batch_bytes: int, piece_bytes: int) ->
         batch.clear()
 
     for k, text in enumerate(texts):
-        for part in split_safely(text, piece_bytes) if cut and len(text) > piece_bytes else [text]:
+        for part in split_safely(text, piece_bytes) if cut and sizes[k] > piece_bytes else [text]:
             owners.append(k)
             batch.append(part)
-            load += len(part)
+            load += sizes[k] if part is text else len(part.encode())
             if load >= batch_bytes:
                 flush()
                 load = 0
@@ -96,7 +96,9 @@ def token_counts(docs: DataFrame, model_path: str, *, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x.encode()) for x in texts], pa.int64()), pa.array(_counts(texts, model_path, batch_bytes, piece_bytes), pa.int64())], ["key", "n_bytes", "n_tokens"])
+            sizes = [len(x.encode()) for x in texts]
+            counts = _counts(texts, sizes, model_path, batch_bytes, piece_bytes)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64())], ["key", "n_bytes", "n_tokens"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
