@@ -19,7 +19,7 @@ from docketry.session import importable, materialize, read
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, whose language is ``und``, go; all others stay."""
+    """Documents without a letter, whose language is ``und``, go; all others stay, and ``lang`` is from here on the language found."""
     return language_id.with_known_language(docs)
 
 
