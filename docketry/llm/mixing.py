@@ -96,7 +96,11 @@ def repetitions(sized: DataFrame, planned: DataFrame, *, seed: int = 11, bucket_
     """(id, source, text_hash, size, source_size, target, times): how often each row is taken."""
     importable(sized.sparkSession)
     plan = planned.select(F.col("source").alias("_s"), "source_size", "target", F.ceil(F.col("n_rows") / F.lit(float(bucket_rows))).alias("n_buckets"))
-    rows = sized.withColumn("u", F.xxhash64(F.lit(seed), "id", "text_hash")).join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    # Rows that repeat id, source and text are told apart by a number, so they spread over buckets like all others.
+    counted = sized.groupBy("id", "source", "text_hash", "size").agg(F.count(F.lit(1)).alias("rows"))
+    numbered = counted.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))).drop("rows")
+    rows = numbered.withColumn("u", F.xxhash64(F.lit(seed), "id", "text_hash", "nth")).drop("nth")
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed + 1), "u"), F.col("n_buckets"))).drop("n_buckets")
 
     def spread(pdf: pd.DataFrame) -> pd.DataFrame:

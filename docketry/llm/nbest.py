@@ -47,7 +47,7 @@ SPACE = "▁"
 _LITERAL = "\udc81"
 UNKNOWN_PENALTY = 10.0
 #: Documented bound of each worker's cache, in parts of texts.
-CACHE_PARTS = 300_000
+CACHE_PARTS = 150_000
 #: Parts up to this length are searched together with others of their length.
 TOGETHER = 24
 CHUNK_CHARS = 1_000_000
@@ -186,9 +186,11 @@ class Lattice:
             place = np.where(place > 0, start[place, np.arange(many)], 0)
         ids = np.stack(walked[::-1], 1)
         count, flat = (ids != -2).sum(1), ids[ids != -2]
-        if (flat < 0).any():  # a character without a piece is written as bytes
-            whole = [self._viterbi(x)[2] for x in parts]
-            count, flat = np.array([len(x) for x in whole]), np.fromiter(chain.from_iterable(whole), np.int32)
+        for k in np.flatnonzero((ids == -1).any(1))[::-1].tolist():  # a character without a piece is written as bytes
+            at = int(count[:k].sum())
+            written = self._viterbi(parts[k])[2]
+            flat = np.concatenate([flat[:at], written, flat[at + count[k] :]])
+            count[k] = len(written)
         return first[n], first[n] - second[n], count, flat.astype(np.int32)
 
     def _viterbi(self, part: str) -> tuple[float, float, tuple[int, ...]]:
@@ -361,6 +363,23 @@ _TYPE = pa.struct([
 ])
 
 
+def _nested(lengths: list[int], values: pa.Array, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), pa.int32()), values, type=kind)
+
+
+def _alternatives(found: list[list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]) -> pa.Array:
+    """The alternatives of each text, level by level, without a Python object for every edit."""
+    whole = _TYPE.field("alternatives").type
+    edits, edit = whole.value_type.field("edits").type, whole.value_type.field("edits").type.value_type
+    flat = list(chain.from_iterable(found))
+    made = list(chain.from_iterable(e for _, e in flat))
+    ids = _nested([len(x[2]) for x in made], pa.array(np.fromiter(chain.from_iterable(x[2] for x in made), np.int32)), edit.field("ids").type)
+    places = [pa.array([x[k] for x in made], pa.int32()) for k in (0, 1)]
+    each = _nested([len(e) for _, e in flat], pa.StructArray.from_arrays([*places, ids], fields=list(edit)), edits)
+    scored = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.float64()), each], fields=list(whole.value_type))
+    return _nested([len(x) for x in found], scored, whole)
+
+
 def encoder(model_path: str, n_best: int = 4):
     """A column function: text -> (score, ids, alternatives). ``model_path`` must exist on every executor."""
 
@@ -371,8 +390,8 @@ def encoder(model_path: str, n_best: int = 4):
             done = list(model.encode_all([x or "" for x in b.to_pylist()]))
             offsets = np.concatenate([[0], np.cumsum([len(x[1]) for x in done])])
             ids = np.concatenate([x[1] for x in done] or [np.zeros(0, np.int32)])
-            other = pa.array([[{"score": s, "edits": [{"at": a, "n": n, "ids": i} for a, n, i in e]} for s, e in x[2]] for x in done], _TYPE.field("alternatives").type)
-            yield pa.StructArray.from_arrays([pa.array([x[0] for x in done], pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)), other], fields=list(_TYPE))
+            best = [pa.array([x[0] for x in done], pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))]
+            yield pa.StructArray.from_arrays([*best, _alternatives([x[2] for x in done])], fields=list(_TYPE))
 
     return encode
 

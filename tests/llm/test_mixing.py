@@ -82,3 +82,11 @@ def test_stage_gives_equal_rows_all_their_takings(spark):
         for text in {r[1] for r in rows}:
             n = [copies.get((t, k), 0) for _, t, _, k in rows if t == text]
             assert max(n) - min(n) <= 1
+
+
+def test_rows_that_repeat_much_spread_over_buckets(spark):
+    rows = [(1, "w " * 10, "hot")] * 900 + [(k, "w " * (1 + k % 20), "hot") for k in range(2, 900)]
+    sized = mixing.sizes(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = mixing.repetitions(sized, mixing.targets(mixing.source_totals(sized)), bucket_rows=100).withColumn("taken", F.col("size") * F.col("times")).collect()
+    assert len(got) == len(rows) and abs(sum(r["taken"] for r in got) - got[0]["target"]) <= 0.03 * got[0]["target"]
+    assert {r["times"] for r in got if r["id"] == 1} == {1, 2}
