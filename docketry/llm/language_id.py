@@ -188,7 +188,8 @@ def identify(docs: DataFrame, model: dict, *, text: str = "text", pred: str = "l
             yield pd.DataFrame({"lang_pred": pred, "lang_score": score})
 
     kept = [c for c in docs.columns if c not in (pred, score)]
-    return docs.withColumn("__lang", predict(F.col(text).cast("string"))).select(*kept, F.col("__lang.lang_pred").alias(pred), F.col("__lang.lang_score").alias(score))
+    # Marked non-deterministic so that the optimiser never evaluates it twice.
+    return docs.withColumn("__lang", predict.asNondeterministic()(F.col(text).cast("string"))).select(*kept, F.col("__lang.lang_pred").alias(pred), F.col("__lang.lang_score").alias(score))
 
 
 def held_out(key: str = "doc_id") -> Column:
