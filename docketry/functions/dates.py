@@ -39,9 +39,10 @@ def year_of_meeting_name(name: Column) -> Column:
     return F.coalesce(F.when(roman.isNotNull(), meeting_year(roman_value(roman))), F.when(arabic.isNotNull(), meeting_year(arabic)), bracketed)
 
 
-def adoption_year(status: Column) -> Column:
-    """Year of the first dd/mm/yyyy in a status; null for an impossible date."""
-    return F.year(F.try_to_timestamp(found(status, r"(\d{1,2}/\d{1,2}/\d{4})"), F.lit("d/M/yyyy")))
+def adoption_year(status: Column, two_digits: bool = False) -> Column:
+    """Year of the first day/month/year in a status; null for an impossible date. two_digits: a day or month of one digit is no date, as in the corpus's own statuses."""
+    digits = "[0-9]{2}" if two_digits else "[0-9]{1,2}"
+    return F.year(F.try_to_timestamp(found(status, f"({digits}/{digits}/[0-9]{{4}})"), F.lit("dd/MM/yyyy" if two_digits else "d/M/yyyy")))
 
 
 def end_year(status: Column) -> Column:

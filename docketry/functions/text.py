@@ -36,11 +36,17 @@ def without_invisible(text: Column) -> Column:
     return F.regexp_replace(text, r"[\p{Cc}\p{Cf}\p{Cs}\p{Co}\p{Cn}&&[^\n\r\t]]", "")
 
 
-def is_garbled(text: Column, head: int = 500, most: float = 0.1) -> Column:
-    """Whether more than a tenth of the first characters are control characters other than white space; blank text isn't."""
-    start = F.substring(text, 1, head)
-    left = F.regexp_replace(start, r"[\x00-\x08\x0E-\x1F\x7F]", "")
-    return F.coalesce((F.trim(start) != "") & ((F.length(start) - F.length(left)) > F.length(start) * F.lit(most)), F.lit(False))
+#: The bytes below a space but for tab and line ends.
+UNPRINTABLE = "".join(chr(b) for b in range(32) if b not in (9, 10, 13))
+
+
+def is_garbled(content: Column, head: int = 500, most: float = 0.1) -> Column:
+    """Whether more than a tenth of the first bytes (of a file, or of a text's UTF-8) are unprintable; content that starts blank isn't."""
+    # Each byte as one character.
+    start = F.decode(F.substring(content.cast("binary"), 1, head), "ISO-8859-1")
+    bad = F.length(start) - F.length(F.translate(start, UNPRINTABLE, ""))
+    blank = F.trim(start, F.lit(" \t\n\r\x0b\x0c")) == ""
+    return F.coalesce(~blank & (bad > F.length(start) * F.lit(most)), F.lit(False))
 
 
 def one_line(text: Column, most: int) -> Column:

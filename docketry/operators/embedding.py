@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,19 +18,31 @@ from docketry.operators.store import insert_missing, pending
 MOST_TOKENS, MOST_CHARS = 32_000, 131_072
 
 
-def segments(text: str, most_tokens: int = MOST_TOKENS, most_chars: int = MOST_CHARS, tokens: Callable[[str], int] = lambda x: len(x.split())) -> list[str]:
-    """Parts of a text within both limits, cut at white space where there is some; joined they are the text."""
-    out, rest = [], text
-    while rest:
-        size = min(len(rest), most_chars - 1)
-        while size > 1 and tokens(rest[:size]) > most_tokens:
-            size //= 2
-        if size < len(rest):
-            space = rest.rfind(" ", size // 2, size)
-            size = space + 1 if space > 0 else size
-        out.append(rest[:size])
-        rest = rest[size:]
-    return out
+_WORD = re.compile(r"\s*\S+(?:\s+\Z)?|\s+")
+
+
+def segments(
+    text: str,
+    most_tokens: int = MOST_TOKENS,
+    most_chars: int = MOST_CHARS,
+    encode: Callable[[str], list] = _WORD.findall,
+    decode: Callable[[list], str] = "".join,
+) -> list[str]:
+    """Parts of a text within both limits, of equally many tokens each; joined they are the text.
+
+    A text of fewer than three characters for each allowed token is one part. Else there are as few parts as both
+    limits need, and one more as long as any of them reaches the limit of characters; in the end every token stands alone.
+    Without a tokenizer of the embedder's own a token is a word with the white space before it.
+    """
+    if len(text) < 3 * most_tokens:
+        return [text] if text else []
+    tokens = encode(text)
+    for n in range(max(math.ceil(len(tokens) / most_tokens), math.ceil(len(text) / most_chars)), len(tokens)):
+        size = math.ceil(len(tokens) / n)
+        parts = [decode(tokens[k : k + size]) for k in range(0, len(tokens), size)]
+        if all(len(p) < most_chars for p in parts):
+            return parts
+    return [decode([x]) for x in tokens]
 
 
 def with_segments(documents: DataFrame, key: str, text: str) -> DataFrame:

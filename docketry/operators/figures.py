@@ -70,12 +70,16 @@ def dense_grid(counts: DataFrame, years: tuple[int, int], countries: DataFrame)
     return grid.join(counts, ["year", "country"], "left").select("year", "country", F.coalesce("value", F.lit(0)).cast("long").alias("value"))
 
 
-def approval_pairs(rows: DataFrame, key: str, approvals: str) -> DataFrame:
-    """(key, country, year): a line that starts with a digit dates the country in the line before it; others have no year."""
-    lines = rows.select(key, F.posexplode(F.transform(F.split(approvals, "\n"), lambda x: F.trim(x))).alias("pos", "line")).where("line <> ''")
-    order = Window.partitionBy(key).orderBy("pos")
-    dated = lines.withColumn("following", F.lead("line").over(order)).where(~F.col("line").rlike("^[0-9]"))
-    return dated.select(key, F.col("line").alias("country"), F.when(F.col("following").rlike("^[0-9]"), F.right("following", F.lit(4)).cast("int")).alias("year"))
+def approval_pairs(rows: DataFrame, key: str, approvals: str, keep: list[str] | None = None) -> DataFrame:
+    """(key, country, year) and ``keep``: a line that starts with a digit dates the country in the line before it; others have no year."""
+    keep = keep or []
+    lines = F.filter(F.transform(F.split(approvals, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    # Each line meets the next in its own row, so nothing is shuffled.
+    with_next = F.transform("_lines", lambda x, k: F.struct(x.alias("line"), F.get("_lines", k + 1).alias("following")))
+    dated = rows.select(key, *keep, lines.alias("_lines")).select(key, *keep, F.explode(with_next).alias("_e")).select(key, *keep, "_e.*")
+    dated = dated.where(~F.col("line").rlike("^[0-9]"))
+    year = F.when(F.col("following").rlike("^[0-9]"), F.right("following", F.lit(4)).cast("int"))
+    return dated.select(key, F.col("line").alias("country"), year.alias("year"), *keep)
 
 
 def approval_delays(pairs: DataFrame, adopted: str = "adopted", ended: Column | None = None) -> DataFrame:

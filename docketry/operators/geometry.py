@@ -99,13 +99,34 @@ def mean_directions(rows: DataFrame, by: str, vector: str) -> dict:
 def shift_decomposition(rows: DataFrame, doc: str, variant: str, base: str, shifted: str) -> DataFrame:
     """(variant, n, shift, fraction, consistency): how far a variant moves a document, and how much of that is its own.
 
-    A document's moves have a mean common to its variants; the rest is the
+    shift: mean cosine distance of both vectors. A document's moves have a mean common to its variants; the rest is the
     variant's. fraction: length of the rest by length of the move. consistency:
     mean cosine of all pairs of a variant's rests.
     """
-    moves = rows.select(doc, variant, base, shifted, F.posexplode(F.zip_with(shifted, base, lambda a, b: a.cast("double") - b.cast("double"))).alias("at", "d"))
-    common = moves.groupBy(doc, "at").agg(F.avg("d").alias("g"))
-    rest = moves.join(common, [doc, "at"]).groupBy(doc, variant).agg(F.sqrt(F.sum((F.col("d") - F.col("g")) ** 2)).alias("own"), F.sqrt(F.sum(F.col("d") ** 2)).alias("move"), F.array_sort(F.collect_list(F.struct("at", (F.col("d") - F.col("g")).alias("x")))).alias("v"))
-    vectors = rest.select(variant, "own", "move", F.transform("v", lambda e: e["x"]).alias("v"))
+    vectors = _rests(rows, doc, variant, base, shifted)
     stable = mean_pairwise_cosine(vectors.where("own > 0"), variant, "v").select(variant, F.col("value").alias("consistency"))
-    return vectors.groupBy(variant).agg(F.count("*").alias("n"), F.avg("move").alias("shift"), F.avg(F.try_divide("own", "move")).alias("fraction")).join(stable, variant, "left")
+    out = vectors.groupBy(variant).agg(F.count("*").alias("n"), F.avg("shift").alias("shift"), F.avg(F.try_divide("own", "move")).alias("fraction"))
+    return out.join(stable, variant, "left")
+
+
+def direction_cosines(rows: DataFrame, doc: str, variant: str, base: str, shifted: str) -> DataFrame:
+    """(left, right, value): cosine of the mean rests of each pair of variants, which are few."""
+    parts = _rests(rows, doc, variant, base, shifted).select(variant, F.posexplode("v").alias("at", "x")).groupBy(variant, "at").agg(F.avg("x").alias("x"))
+    length = parts.groupBy(variant).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+    unit = parts.join(length, variant).select(F.col(variant).alias("left"), "at", F.try_divide("x", "length").alias("a"))
+    other = unit.select(F.col("left").alias("right"), "at", F.col("a").alias("b"))
+    return unit.join(other, "at").groupBy("left", "right").agg(F.sum(F.col("a") * F.col("b")).alias("value"))
+
+
+def _rests(rows: DataFrame, doc: str, variant: str, base: str, shifted: str) -> DataFrame:
+    """(variant, shift, own, move, v) of each document and variant: cosine distance, lengths of the rest and the move, the rest."""
+    d = lambda x: x.cast("double")
+    both = F.zip_with(shifted, base, lambda a, b: F.struct(d(a).alias("s"), d(b).alias("b")))
+    moves = rows.select(doc, variant, F.posexplode(both).alias("at", "e")).select(doc, variant, "at", F.col("e.s").alias("s"), F.col("e.b").alias("b"), (F.col("e.s") - F.col("e.b")).alias("d"))
+    common = moves.groupBy(doc, "at").agg(F.avg("d").alias("g"))
+    left = F.col("d") - F.col("g")
+    cosine = F.try_divide(F.sum(F.col("s") * F.col("b")), F.sqrt(F.sum(F.col("s") ** 2)) * F.sqrt(F.sum(F.col("b") ** 2)))
+    rest = moves.join(common, [doc, "at"]).groupBy(doc, variant).agg(
+        (1 - cosine).alias("shift"), F.sqrt(F.sum(left**2)).alias("own"), F.sqrt(F.sum(F.col("d") ** 2)).alias("move"), F.array_sort(F.collect_list(F.struct("at", left.alias("x")))).alias("v")
+    )
+    return rest.select(variant, "shift", "own", "move", F.transform("v", lambda e: e["x"]).alias("v"))

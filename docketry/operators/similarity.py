@@ -102,11 +102,19 @@ def nearest(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
         ids, year, x = table.column("id").to_numpy(), table.column("year").to_numpy(), _matrix(table.column("vector"))
         a, b = np.flatnonzero(side), np.flatnonzero(~side)
         b = b[np.argsort(ids[b], kind="stable")]
+        y, most = x[b], min(k, len(b))
+        far = np.sqrt((y * y).sum(1)).max(initial=0.0)
         parts = []
-        for i in a:
-            sim = np.round((x[b] * x[i]).sum(1), 12)
-            top = np.argsort(-sim, kind="stable")[:k]
-            parts.append((np.full(len(top), ids[i]), ids[b][top], np.full(len(top), year[i]), year[b][top], sim[top]))
+        for first in range(0, len(a), 256):
+            for i, rough in zip(a[first : first + 256], x[a[first : first + 256]] @ y.T, strict=True):
+                if not most:
+                    continue
+                # What ties after rounding, or what the product of matrices may have moved, is kept and scored row by row.
+                slack = 2e-12 * max(1.0, far * float(np.sqrt((x[i] * x[i]).sum())))
+                near = np.flatnonzero(rough >= np.partition(rough, len(rough) - most)[len(rough) - most] - slack)
+                sim = np.round((y[near] * x[i]).sum(1), 12)
+                top = np.argsort(-sim, kind="stable")[:k]
+                parts.append((np.full(len(top), ids[i]), ids[b][near[top]], np.full(len(top), year[i]), year[b][near[top]], sim[top]))
         cols = list(zip(*parts, strict=True)) or [[np.zeros(0, np.int64)]] * 4 + [[np.zeros(0)]]
         return pa.table({n: np.concatenate(v) for n, v in zip(("left_id", "right_id", "left_year", "right_year", "sim"), cols, strict=True)})
 
@@ -115,6 +123,26 @@ def nearest(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def real_parties(rows: DataFrame, parties: str, bodies: list[str]) -> DataFrame:
+    """``rows`` with ``parties`` without the bodies that aren't parties; order and repeats stay."""
+    return rows.withColumn(parties, F.filter(parties, lambda p: ~p.isin(bodies)))
+
+
+def introduction_credit(candidates: DataFrame, kept: int = 3) -> DataFrame:
+    """(left_id, year, party, weight): credit for what an instrument is nearest to.
+
+    candidates: (left_id, left_year, rank, sim, right_year, parties). Of those with a party and a year not later
+    than the instrument's, the first ``kept`` count; each weighs its inverse distance by the sum of theirs, and every party of it gets the
+    whole weight. A party's weights for an instrument are added up and rounded to 10 places. A distance of 0 gives a null weight.
+    """
+    fit = candidates.where((F.size("parties") > 0) & (F.col("right_year") <= F.col("left_year")))
+    top = fit.withColumn("_n", F.row_number().over(Window.partitionBy("left_id").orderBy("rank"))).where(F.col("_n") <= kept)
+    inverse = F.try_divide(F.lit(1.0), 1 - F.col("sim"))
+    top = top.withColumn("_i", inverse).withColumn("weight", F.try_divide("_i", F.sum("_i").over(Window.partitionBy("left_id"))))
+    each = top.select("left_id", F.col("left_year").alias("year"), F.explode("parties").alias("party"), "weight")
+    return each.groupBy("left_id", "year", "party").agg(F.round(F.sum("weight"), 10).alias("weight"))
+
+
 def earliest_match(left: DataFrame, right: DataFrame, threshold: float, label: str = "right_id") -> DataFrame:
     """Every row of ``left`` with its earliest match of at least ``threshold`` among ``right`` not later than itself; ties: more similar, then ``label``."""
     pairs = pairs_above(left, right, threshold, backward=True)
@@ -138,7 +166,7 @@ def inverse_distance_credit(candidates: DataFrame, kept: int = 3) -> DataFrame:
     order = Window.partitionBy("left_id").orderBy("rank")
     top = candidates.withColumn("n", F.row_number().over(order)).where(F.col("n") <= kept)
     inverse = F.try_divide(F.lit(1.0), 1 - F.col("sim"))
-    return top.withColumn("inverse", inverse).withColumn("weight", F.try_divide("inverse", F.sum("inverse").over(Window.partitionBy("left_id")))).select("left_id", "right_id", "rank", "weight")
+    return top.withColumn("inverse", inverse).withColumn("weight", F.try_divide("inverse", F.sum("inverse").over(Window.partitionBy("left_id")))).drop("n", "inverse")
 
 
 def chance_latency(instruments: DataFrame, papers: DataFrame) -> DataFrame:

@@ -138,10 +138,10 @@ def affiliation_longest_match(spark, sf):
     return found.where("country is not null").groupBy("country").agg(F.count("*").alias("value"))
 
 
-@query("mention_dense_grid", f"""WITH {BASE}, c AS (SELECT year, party AS country, count(*) AS value FROM papers JOIN authors USING (paper_id) WHERE kind = 'P' AND meeting = '1-URGENT' AND paper_id % 9 = 0 GROUP BY ALL)
+@query("mention_dense_grid", f"""WITH {BASE}, c AS (SELECT year, party AS country, count(*) AS value FROM papers JOIN authors USING (paper_id) WHERE kind = 'P' AND meeting = '1-URGENT' GROUP BY ALL)
 SELECT y.year::INT AS year, n_name AS country, coalesce(value, 0) AS value FROM nation CROSS JOIN (SELECT unnest(range(1994, 2004)) AS year) y LEFT JOIN c ON c.year = y.year AND c.country = n_name""")
 def mention_dense_grid(spark, sf):
-    some = t.authored(spark, sf, t.papers(spark, sf).where("kind = 'P' and meeting = '1-URGENT' and paper_id % 9 = 0").select("paper_id", "year"))
+    some = t.authored(spark, sf, t.papers(spark, sf).where("kind = 'P' and meeting = '1-URGENT'").select("paper_id", "year"))
     return figures.dense_grid(figures.yearly_counts(some), (1994, 2003), read(spark, sf, "nation").select(F.col("n_name").alias("country")))
 
 
@@ -151,8 +151,7 @@ delays AS (SELECT paper_id, adopted, left(country, length(country) - 2) AS count
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = t.approvals(spark, sf)
-    return figures.approval_pairs(rows, "paper_id", "approvals").join(rows.select("paper_id", "adopted"), "paper_id")
+    return figures.approval_pairs(t.approvals(spark, sf), "paper_id", "approvals", keep=["adopted"])
 
 
 @query("approval_pairs", APPROVALS + " SELECT paper_id, country, year FROM pairs")
@@ -192,7 +191,7 @@ def title_enrichment(spark, sf):
     size = F.col("p_size")
     status = F.when(F.col("p_partkey") % 3 == 0, "Not yet effective").when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("Effective 01/02/1970. No longer current:D 1 ("), (size + 1990).cast("string"), F.lit(")"))).otherwise(F.concat(F.lit("Effective 11/05/"), (size + 1950).cast("string")))
     dated = F.concat(F.lit("Effective "), F.format_string("%02d/02/%d", size, size + 2000))
-    return p.select("p_partkey", dates.instrument_type(F.concat(pick(5, "Measure", "Decision", "Resolution", "Recommendation", "Minutes"), F.lit(" 5 (2001)"))).alias("type"), dates.meeting_type(F.concat(pick(4, "CCAS (Bonn)", "SATCM IV", "CEP II", "Workshop"), F.lit(" - Town"))).alias("meeting"), dates.adoption_year(dated).alias("adopted"), dates.end_year(status).alias("ended"))
+    return p.select("p_partkey", dates.instrument_type(F.concat(pick(5, "Measure", "Decision", "Resolution", "Recommendation", "Minutes"), F.lit(" 5 (2001)"))).alias("type"), dates.meeting_type(F.concat(pick(4, "CCAS (Bonn)", "SATCM IV", "CEP II", "Workshop"), F.lit(" - Town"))).alias("meeting"), dates.adoption_year(dated, two_digits=True).alias("adopted"), dates.end_year(status).alias("ended"))
 
 
 EDGES = f"""WITH {BASE}, e AS (SELECT a.paper_id, wp.year, least(a.party, b.party) AS source, greatest(a.party, b.party) AS target FROM authors a JOIN authors b ON a.paper_id = b.paper_id AND a.party < b.party JOIN wp ON wp.paper_id = a.paper_id)"""
@@ -249,7 +248,7 @@ def knn_join_k10(spark, sf):
 SELECT year, party, round(sum(weight), 6) AS value FROM w GROUP BY ALL""")
 def inverse_distance_credit(spark, sf):
     survivors = similarity.nearest(*t.sides(spark, sf), 10).where("right_year <= left_year")
-    credit = similarity.inverse_distance_credit(survivors).join(survivors.select("left_id", "left_year").distinct(), "left_id")
+    credit = similarity.inverse_distance_credit(survivors)
     return credit.groupBy(F.col("left_year").alias("year"), (F.col("right_id") % 7).alias("party")).agg(F.round(F.sum("weight"), 6).alias("value"))
 
 
@@ -415,13 +414,15 @@ def subspace_projection(spark, sf):
 
 @query("shift_decomposition", f"""WITH {VECTORS}, s AS (SELECT p.id AS doc, k.variant, q.x AS shifted, p.x AS base FROM v p CROSS JOIN (VALUES (1), (2), (3)) k(variant) JOIN v q ON q.id = p.id + k.variant WHERE p.id % 4 = 0),
 d AS (SELECT doc, variant, unnest(shifted) - unnest(base) AS d, generate_subscripts(base, 1) AS pos FROM s), g AS (SELECT *, d - avg(d) OVER (PARTITION BY doc, pos) AS r FROM d),
-l AS (SELECT doc, variant, sqrt(sum(r * r)) AS own, sqrt(sum(d * d)) AS move FROM g GROUP BY ALL)
-SELECT variant, count(*) AS n, round(avg(move), 6) AS shift, round(avg(own / move), 6) AS fraction FROM l GROUP BY variant""")
+l AS (SELECT doc, variant, sqrt(sum(r * r)) AS own, sqrt(sum(d * d)) AS move FROM g GROUP BY ALL),
+c AS (SELECT doc, variant, 1 - list_dot_product(base, shifted) / sqrt(list_dot_product(base, base) * list_dot_product(shifted, shifted)) AS cosine FROM s),
+u AS (SELECT g.variant, pos, sum(r / own) AS s FROM g JOIN l USING (doc, variant) WHERE own > 0 GROUP BY ALL), q AS (SELECT variant, sum(s * s) AS q FROM u GROUP BY variant)
+SELECT variant, count(*) AS n, round(avg(cosine), 6) AS shift, round(avg(own / move), 6) AS fraction, round((any_value(q) - count(*)) / (count(*) * (count(*) - 1)), 6) AS consistency FROM l JOIN c USING (doc, variant) JOIN q USING (variant) GROUP BY variant""")
 def shift_decomposition(spark, sf):
     v = t.vectors(spark, sf)
     base = v.where("id % 4 = 0").select(F.col("id").alias("doc"), F.col("vector").alias("base"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("variant"))
     rows = base.join(v.select("id", F.col("vector").alias("shifted")), F.col("id") == F.col("doc") + F.col("variant"))
-    return geometry.shift_decomposition(rows, "doc", "variant", "base", "shifted").select("variant", "n", F.round("shift", 6).alias("shift"), F.round("fraction", 6).alias("fraction"))
+    return geometry.shift_decomposition(rows, "doc", "variant", "base", "shifted").select("variant", "n", *(F.round(c, 6).alias(c) for c in ("shift", "fraction", "consistency")))
 
 
 @query("latest_per_key", "SELECT user_id, event_id, event_type FROM events QUALIFY rank() OVER (PARTITION BY user_id ORDER BY date_trunc('hour', ts) DESC) = 1")
@@ -430,10 +431,11 @@ def latest_per_key(spark, sf):
     return store.latest(hours, ["user_id"], "hour").select("user_id", "event_id", "event_type")
 
 
-@query("paged_text_concat", """WITH p AS (SELECT conv_id, turn, text FROM conversations WHERE turn % 3 <> 1), l AS (SELECT conv_id, unnest(range(0, max(turn) + 1)) AS turn FROM p GROUP BY conv_id)
+@query("paged_text_concat", """WITH p AS (SELECT conv_id, turn * 2 + turn % 3 AS turn, text FROM conversations), l AS (SELECT conv_id, unnest(range(0, max(turn) + 1)) AS turn FROM p GROUP BY conv_id)
 SELECT conv_id, count(*) AS n_pages, sha256(string_agg(coalesce(p.text, '') || chr(10), '' ORDER BY l.turn)) AS text_sha FROM l LEFT JOIN (SELECT conv_id, turn, max(text) AS text FROM p GROUP BY ALL) p USING (conv_id, turn) GROUP BY conv_id""")
 def paged_text_concat(spark, sf):
-    pages = read(spark, sf, "conversations").where("turn % 3 <> 1")
+    # Page numbers with gaps: the pages in between are missing.
+    pages = read(spark, sf, "conversations").select("conv_id", (F.col("turn") * 2 + F.col("turn") % 3).cast("long").alias("turn"), "text")
     return store.pages_joined(pages, "conv_id", "turn", "text").select("conv_id", "n_pages", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"))
 
 
@@ -458,10 +460,10 @@ def tag_merge(spark, sf):
     return store.merged_tags(docs, "uuid", F.array("lang", "source")).withColumn("tags", F.array_join("tags", ","))
 
 
-@query("all_or_nothing", "SELECT source, count(*) AS n FROM documents LEFT JOIN (SELECT DISTINCT doc_id AS k FROM labels) ON doc_id = k WHERE doc_id % 3 = 0 GROUP BY source, lang HAVING count(*) = count(k)")
+@query("all_or_nothing", "SELECT source, n_chars, count(*) AS n FROM documents LEFT JOIN (SELECT DISTINCT doc_id AS k FROM labels) ON doc_id = k GROUP BY source, n_chars HAVING count(*) = count(k)")
 def all_or_nothing(spark, sf):
-    docs = read(spark, sf, "documents").where("doc_id % 3 = 0").select(F.concat_ws("\x1f", "source", "lang").alias("g"), "doc_id")
-    return store.complete_groups(docs, read(spark, sf, "labels"), "g", "doc_id").select(F.split_part("g", F.lit("\x1f"), F.lit(1)).alias("source"), "n")
+    docs = read(spark, sf, "documents").select(F.struct("source", "n_chars").alias("g"), "doc_id")
+    return store.complete_groups(docs, read(spark, sf, "labels"), "g", "doc_id").select("g.source", "g.n_chars", "n")
 
 
 @query("patch_metadata", "SELECT c_custkey, CASE WHEN k IS NOT NULL THEN s ELSE c_mktsegment END AS segment FROM customer LEFT JOIN (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE s_name END AS s FROM supplier) ON c_custkey = k")
@@ -471,10 +473,11 @@ def patch_metadata(spark, sf):
     return store.patched(rows, patch, "key", ["segment"]).select(F.col("key").alias("c_custkey"), "segment")
 
 
-@query("store_upsert", "WITH n AS (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 3 = 0) SELECT s_suppkey AS k, s_name AS v FROM supplier WHERE s_suppkey NOT IN (SELECT k FROM n) UNION ALL SELECT * FROM n")
+@query("store_upsert", "WITH n AS (SELECT c_custkey * 2 AS k, c_name AS v FROM customer) SELECT s_suppkey AS k, s_name AS v FROM supplier WHERE s_suppkey NOT IN (SELECT k FROM n) UNION ALL SELECT * FROM n")
 def store_upsert(spark, sf):
     old = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))
-    new = read(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"))
+    # Every other key of the store, and keys that it lacks.
+    new = read(spark, sf, "customer").select((F.col("c_custkey") * 2).alias("k"), F.col("c_name").alias("v"))
     return store.upsert(store.upsert(old, new, ["k"]), new, ["k"])
 
 
@@ -487,9 +490,12 @@ def dataset_fingerprint(spark, sf):
     return store.fingerprint(read(spark, sf, "documents"), [F.col("doc_id").cast("string"), F.col("lang"), F.col("source")])
 
 
-@query("garbled_detection", "WITH h AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN repeat(chr(1), 40) || left(text, 300) ELSE text END AS t FROM documents) SELECT doc_id, trim(left(t, 500)) <> '' AND length(left(t, 500)) - length(regexp_replace(left(t, 500), '[\\x00-\\x08\\x0E-\\x1F\\x7F]', '', 'g')) > length(left(t, 500)) * 0.1 AS garbled FROM h")
+@query("garbled_detection", """WITH h AS (SELECT doc_id, regexp_extract_all(left(hex(encode(CASE n_chars % 3 WHEN 0 THEN repeat(chr(1), 40) || text WHEN 1 THEN repeat(chr(11) || chr(127), 26) || text ELSE text END)), 1000), '..') AS b FROM documents)
+SELECT doc_id, coalesce(len(list_filter(b, lambda x: NOT list_contains(['09', '0A', '0B', '0C', '0D', '20'], x))) > 0 AND len(list_filter(b, lambda x: x < '20' AND NOT list_contains(['09', '0A', '0D'], x))) > len(b) * 0.1, false) AS garbled FROM h""")
 def garbled_detection(spark, sf):
-    docs = read(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 10 == 0, F.concat(F.repeat(F.lit("\x01"), F.lit(40)), F.left("text", F.lit(300)))).otherwise(F.col("text")).alias("t"))
+    kind = F.col("n_chars") % 3
+    junk = F.when(kind == 0, F.lit("\x01" * 40)).when(kind == 1, F.lit("\x0b\x7f" * 26)).otherwise("")
+    docs = read(spark, sf, "documents").select("doc_id", F.concat(junk, "text").alias("t"))
     return docs.select("doc_id", text.is_garbled(F.col("t")).alias("garbled"))
 
 
