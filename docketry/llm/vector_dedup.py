@@ -15,8 +15,8 @@ block by block on separate tasks; no task holds an unbounded group. A task
 sends out one row per vector (its number of links and the smallest linked
 vector that it reaches there), never its pairs.
 
-Pivots are at most ``MOST_PIVOTS`` vectors, chosen by a hash; their number
-grows with the vectors up to that documented bound.
+Pivots are at most about ``MOST_PIVOTS`` vectors, chosen by a hash and shared by all labels; their number
+grows with the largest label up to that documented bound.
 
 Defined cases: a vector that is null, empty, zero, or holds null or non-finite
 components, or has no label, links with nothing, nor do vectors of different
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.components import connected
-from docketry.llm.vectors import by_dimension, count_by_dimension, matrix, sample_by_dimension, usable
+from docketry.llm.vectors import by_dimension, matrix, sample_by_dimension, usable
 from docketry.session import importable, materialize
 
 COSINE = 0.98
@@ -112,9 +112,13 @@ def near_duplicates(rows: DataFrame, *, key: str = "vec_id", vector: str = "embe
     classes = good.groupBy("label", "vector").agg(F.min("id").alias("least"), F.count("id").alias("n"))
     # The table is written once, so the numbers of classes stay.
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
-    have = count_by_dimension(classes, "vector")
-    many = sum(have.values())
-    pivots = sample_by_dimension(classes, "id", "vector", min(MOST_PIVOTS, max(1, math.ceil(many / ROWS_PER_PIVOT))), "pivots", have) if many else {}
+    sizes = classes.groupBy("label", F.size("vector").alias("d")).count().groupBy("d").agg(F.sum("count").alias("n"), F.max("count").alias("most"))
+    sizes = {r["d"]: (r["n"], r["most"]) for r in sizes.collect()}  # one row per dimension
+    # Cells are joined label by label, so the largest label says how many of them are of use.
+    largest = max((most for _, most in sizes.values()), default=0)
+    have = {d: n for d, (n, _) in sizes.items()}
+    wanted = min(MOST_PIVOTS, max(1, math.ceil(largest / ROWS_PER_PIVOT)))
+    pivots = sample_by_dimension(classes, "id", "vector", wanted, "pivots", have) if have else {}
     if set(have) - set(pivots):
         first = classes.groupBy(F.size("vector").alias("d")).agg(F.min_by("vector", "id").alias("v"))
         pivots |= {r["d"]: np.array([r["v"]], np.float64) for r in first.collect() if r["d"] not in pivots}  # one row per dimension
