@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,14 +26,39 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def _blocks(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(lb, rb, left, id, year, vector) of both sides; a row goes to each block of the other side."""
-    nl, nr = (max(1, math.ceil(x.count() / BLOCK)) for x in (left, right))
-    draw = F.xxhash64(F.lit("block"), "id")
+def _blocks(left: DataFrame, right: DataFrame, backward: bool = False) -> DataFrame:
+    """(lb, rb, left, id, year, vector) of both sides; a row goes to each block of the other side.
+
+    backward: only pairs with the right side not later than the left are of use. Blocks then follow the years, and a row
+    goes to those blocks of the other side that hold a year of use to it; rows without a year go nowhere.
+    """
     cols = ["lb", "rb", "side", "id", "year", "vector"]
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    a = left.withColumns({"lb": F.pmod(draw, F.lit(nl)).cast("int"), "rb": every(nr), "side": F.lit(True)}).select(*cols)
-    b = right.withColumns({"rb": F.pmod(draw, F.lit(nr)).cast("int"), "lb": every(nl), "side": F.lit(False)}).select(*cols)
+    draw = F.xxhash64(F.lit("block"), "id")
+    if not backward:
+        nl, nr = (max(1, math.ceil(x.count() / BLOCK)) for x in (left, right))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        a = left.withColumns({"lb": F.pmod(draw, F.lit(nl)).cast("int"), "rb": every(nr), "side": F.lit(True)}).select(*cols)
+        b = right.withColumns({"rb": F.pmod(draw, F.lit(nr)).cast("int"), "lb": every(nl), "side": F.lit(False)}).select(*cols)
+        return a.union(b)
+    # A row per calendar year.
+    counts = [{r["year"]: r["count"] for r in x.where("year is not null").groupBy("year").count().collect()} for x in (left, right)]
+    years = sorted({*counts[0], *counts[1]})
+    plan, before = [], [0, 0]
+    for y in years:
+        n = [c.get(y, 0) for c in counts]
+        # The first left block that reaches this year, and the last right block that begins by it.
+        plan.append((y, before[0], n[0], before[1], n[1], before[0] // BLOCK, max(0, before[1] + n[1] - 1) // BLOCK))
+        before = [p + k for p, k in zip(before, n, strict=True)]
+    last = max(0, before[0] - 1) // BLOCK
+    schema = "year long, l_before long, l_n long, r_before long, r_n long, l_first int, r_last int"
+    table = F.broadcast(left.sparkSession.createDataFrame(plan, schema))
+
+    def own(side: str) -> Column:
+        return F.floor((F.col(f"{side}_before") + F.pmod(draw, F.col(f"{side}_n"))) / F.lit(BLOCK)).cast("int")
+
+    a = left.join(table, "year").withColumns({"lb": own("l"), "rb": F.explode(F.sequence(F.lit(0), "r_last")), "side": F.lit(True)}).select(*cols)
+    b = right.join(table, "year").where(F.col("l_first") <= last)
+    b = b.withColumns({"rb": own("r"), "lb": F.explode(F.sequence("l_first", F.lit(last))), "side": F.lit(False)}).select(*cols)
     return a.union(b)
 
 
@@ -60,7 +85,58 @@ def pairs_above(left: DataFrame, right: DataFrame, threshold: float, backward: b
                 out[name].append(v)
         return pa.table({k: np.concatenate(v) if v else np.zeros(0, np.float64 if k == "sim" else np.int64) for k, v in out.items()})
 
-    return _blocks(left, right).groupBy("lb", "rb").applyInArrow(run, "left_id bigint, right_id bigint, left_year bigint, right_year bigint, sim double")
+    return _blocks(left, right, backward).groupBy("lb", "rb").applyInArrow(run, "left_id bigint, right_id bigint, left_year bigint, right_year bigint, sim double")
+
+
+def matches_by_threshold(left: DataFrame, right: DataFrame, thresholds: list[float]) -> DataFrame:
+    """(threshold, left_id, left_year, n, first, nearest): what each of ``left`` finds among ``right`` not later than itself, per threshold.
+
+    n: matches; first: the earliest one, then the more similar, then the smaller id; nearest: the most similar, then the smaller id;
+    both (id, year, sim). Each pair of blocks is reduced in its own task, so what is shuffled doesn't grow with the number of pairs.
+    """
+    importable(left.sparkSession)
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy(zero_copy_only=False)
+        ids, year, x = table.column("id").to_numpy(), table.column("year").to_numpy(), _matrix(table.column("vector"))
+        a, b = np.flatnonzero(side), np.flatnonzero(~side)
+        b = b[np.argsort(ids[b], kind="stable")]
+        out: dict[str, list[np.ndarray]] = {c: [] for c in _REDUCED}
+        for k in range(0, len(a) if len(b) else 0, 512):
+            some = a[k : k + 512]
+            sim = x[some] @ x[b].T
+            place = np.round(sim, 9)
+            fits = year[b][None, :] <= year[some][:, None]
+            for t in thresholds:
+                hit = fits & (sim >= t)
+                n = hit.sum(1)
+                row = np.flatnonzero(n)
+                if not len(row):
+                    continue
+                hit, low = hit[row], place[row]
+                near = np.where(hit, low, -np.inf).argmax(1)
+                first_year = np.where(hit, year[b][None, :], np.iinfo(np.int64).max).min(1)
+                first = np.where(hit & (year[b][None, :] == first_year[:, None]), low, -np.inf).argmax(1)
+                at = np.arange(len(row))
+                values = (np.full(len(row), t), ids[some][row], year[some][row], n[row], *(v for j in (first, near) for v in (ids[b][j], year[b][j], sim[row][at, j])))
+                for c, v in zip(_REDUCED, values, strict=True):
+                    out[c].append(v)
+        return pa.table({c: np.concatenate(v) if v else np.zeros(0, np.float64 if kind == "double" else np.int64) for (c, kind), v in zip(_REDUCED.items(), out.values(), strict=True)})
+
+    each = _blocks(left, right, backward=True).groupBy("lb", "rb").applyInArrow(run, ", ".join(f"{c} {kind}" for c, kind in _REDUCED.items()))
+    found = lambda p: F.struct(F.col(f"{p}_id").alias("id"), F.col(f"{p}_year").alias("year"), F.col(f"{p}_sim").alias("sim"))
+    less = lambda p: -F.round(F.col(f"{p}_sim"), 9)
+    return each.groupBy("threshold", "left_id", "left_year").agg(
+        F.sum("n").alias("n"),
+        F.min_by(found("first"), F.struct(F.col("first_year"), less("first").alias("s"), F.col("first_id"))).alias("first"),
+        F.min_by(found("near"), F.struct(less("near").alias("s"), F.col("near_id"))).alias("nearest"),
+    )
+
+
+_REDUCED = {
+    "threshold": "double", "left_id": "bigint", "left_year": "bigint", "n": "bigint",
+    "first_id": "bigint", "first_year": "bigint", "first_sim": "double", "near_id": "bigint", "near_year": "bigint", "near_sim": "double",
+}
 
 
 def distance_counts(left: DataFrame, right: DataFrame, decimals: int) -> DataFrame:
@@ -143,11 +219,9 @@ def introduction_credit(candidates: DataFrame, kept: int = 3) -> DataFrame:
     return each.groupBy("left_id", "year", "party").agg(F.round(F.sum("weight"), 10).alias("weight"))
 
 
-def earliest_match(left: DataFrame, right: DataFrame, threshold: float, label: str = "right_id") -> DataFrame:
-    """Every row of ``left`` with its earliest match of at least ``threshold`` among ``right`` not later than itself; ties: more similar, then ``label``."""
-    pairs = pairs_above(left, right, threshold, backward=True)
-    order = Window.partitionBy("left_id").orderBy("right_year", F.round(F.col("sim"), 9).desc(), label)
-    first = pairs.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n", "left_year")
+def earliest_match(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Every row of ``left`` with its earliest match of at least ``threshold`` among ``right`` not later than itself; ties: more similar, then the smaller id."""
+    first = matches_by_threshold(left, right, [threshold]).select("left_id", F.col("first.id").alias("right_id"), F.col("first.year").alias("right_year"), F.col("first.sim").alias("sim"))
     return left.select(F.col("id").alias("instrument"), F.col("year").alias("instrument_year")).join(first, F.col("instrument") == F.col("left_id"), "left").drop("left_id")
 
 
@@ -179,12 +253,20 @@ def chance_latency(instruments: DataFrame, papers: DataFrame) -> DataFrame:
     return instruments.where("topic <> -1").join(per_year, "year").groupBy("topic").agg(F.percentile("m", F.lit(0.5)).alias("chance"))
 
 
-def threshold_sweep(pairs: DataFrame, left: DataFrame, history: DataFrame, thresholds: list[float]) -> DataFrame:
+def threshold_sweep(left: DataFrame, right: DataFrame, thresholds: list[float]) -> DataFrame:
     """Per threshold: coverage, matches, lags to the earliest and to the most similar paper, history and candidates."""
     many = left.agg(F.count("*").alias("total"))
-    each = pairs.select("left_id", "right_id", "left_year", "right_year", "sim", F.explode(F.array(*(F.lit(t) for t in thresholds))).alias("threshold")).where(F.col("sim") >= F.col("threshold"))
-    nearest_year = F.max_by("right_year", F.struct(F.round("sim", 9), -F.col("right_id")))
-    per = each.groupBy("threshold", "left_id").agg((F.first("left_year") - F.min("right_year")).alias("earliest"), (F.first("left_year") - nearest_year).alias("nearest"), F.count("*").alias("n")).join(history.withColumnRenamed("instrument", "left_id"), "left_id")
+    history = available_history(left, right).withColumnRenamed("instrument", "left_id")
+    per = matches_by_threshold(left, right, thresholds).join(history, "left_id")
+    per = per.select("threshold", "n", "available", (F.col("left_year") - F.col("first.year")).alias("earliest"), (F.col("left_year") - F.col("nearest.year")).alias("nearest"))
     half = lambda c: F.percentile(c, F.lit(0.5))
-    out = per.groupBy("threshold").agg(F.count("*").alias("n_covered"), half("earliest").alias("median_lag_earliest"), F.avg("earliest").alias("mean_lag_earliest"), half("nearest").alias("median_lag_nearest"), half("available").alias("median_available_history"), half(F.try_divide("earliest", F.nullif("available", F.lit(0)))).alias("degeneracy_ratio"), half("n").alias("median_candidates"))
+    out = per.groupBy("threshold").agg(
+        F.count("*").alias("n_covered"),
+        half("earliest").alias("median_lag_earliest"),
+        F.avg("earliest").alias("mean_lag_earliest"),
+        half("nearest").alias("median_lag_nearest"),
+        half("available").alias("median_available_history"),
+        half(F.try_divide("earliest", F.nullif("available", F.lit(0)))).alias("degeneracy_ratio"),
+        half("n").alias("median_candidates"),
+    )
     return out.join(F.broadcast(many)).withColumn("coverage", F.col("n_covered") / F.col("total")).drop("total")  # one row

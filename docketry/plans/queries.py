@@ -293,15 +293,15 @@ q AS (SELECT threshold, left_id, left_year - right_year AS nearest FROM e QUALIF
 SELECT threshold, count(*) AS n_covered, quantile_cont(earliest, 0.5) AS median_lag_earliest, round(avg(earliest), 6) AS mean_lag_earliest, quantile_cont(nearest, 0.5) AS median_lag_nearest, quantile_cont(available, 0.5) AS median_available_history, round(quantile_cont(earliest / nullif(available, 0), 0.5), 6) AS degeneracy_ratio, quantile_cont(n, 0.5) AS median_candidates, round(count(*) / (SELECT count(*) FROM a), 6) AS coverage FROM p JOIN q USING (threshold, left_id) JOIN h USING (left_id) GROUP BY threshold""")
 def threshold_sweep(spark, sf):
     left, right = t.sides(spark, sf)
-    out = similarity.threshold_sweep(similarity.pairs_above(left, right, min(SWEEP), backward=True), left, similarity.available_history(left, right), SWEEP)
+    out = similarity.threshold_sweep(left, right, SWEEP)
     return out.withColumns({c: F.round(c, 6) for c in ("mean_lag_earliest", "degeneracy_ratio", "coverage")})
 
 
 @query("decade_lag_family", f"""WITH {VECTORS}, e AS (SELECT t.threshold, left_id, any_value(left_year) AS left_year, any_value(left_year) - min(right_year) AS lag FROM pairs JOIN (SELECT unnest([0.15, 0.2, 0.25]::DOUBLE[]) AS threshold) t ON sim >= threshold WHERE right_year <= left_year GROUP BY ALL)
 SELECT (left_year // 10 * 10)::INT AS decade, quantile_cont(lag, 0.5) FILTER (WHERE threshold = 0.15) AS lag_015, quantile_cont(lag, 0.5) FILTER (WHERE threshold = 0.2) AS lag_020, quantile_cont(lag, 0.5) FILTER (WHERE threshold = 0.25) AS lag_025 FROM e GROUP BY 1""")
 def decade_lag_family(spark, sf):
-    pairs = similarity.pairs_above(*t.sides(spark, sf), min(SWEEP), backward=True)
-    each = pairs.withColumn("threshold", F.explode(F.array(*map(F.lit, SWEEP)))).where("sim >= threshold").groupBy("threshold", "left_id").agg(F.first("left_year").alias("y"), (F.first("left_year") - F.min("right_year")).alias("lag"))
+    found = similarity.matches_by_threshold(*t.sides(spark, sf), SWEEP)
+    each = found.select("threshold", F.col("left_year").alias("y"), (F.col("left_year") - F.col("first.year")).alias("lag"))
     wide = each.groupBy(dates.decade(F.col("y")).alias("decade")).pivot("threshold", SWEEP).agg(F.percentile("lag", F.lit(0.5)))
     return wide.toDF("decade", "lag_015", "lag_020", "lag_025")
 

@@ -1,5 +1,6 @@
 """Rules of the inventory's source, case by case."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +82,19 @@ def test_stems_of_a_hot_piece_and_repeats(spark):
 def test_found_and_missing(spark):
     rows, have = spark.createDataFrame([(1, "a"), (2, "a"), (2, "b"), (None, "b")], "k long, g string"), spark.createDataFrame([(2,), (2,)], "k long")
     assert {tuple(r) for r in lookup.found_and_missing(rows, have, "k", ["g"]).collect()} == {("a", 2, 1, 1), ("b", 2, 1, 1)}
+
+
+def test_year_blocks_give_the_same_matches(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    schema = "id long, year long, vector array<double>"
+    side = lambda n, first: [(first + k, None if k == 3 else int(1990 + rng.integers(0, 6)), rng.normal(size=3).tolist()) for k in range(n)]
+    a, b = side(40, 0), side(60, 100)
+    left, right = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    pairs = {(i, j): float(np.dot(x, y)) for i, p, x in a for j, q, y in b if p is not None and q is not None and q <= p and np.dot(x, y) >= 1.0}
+    assert {(r["left_id"], r["right_id"]) for r in similarity.pairs_above(left, right, 1.0, backward=True).collect()} == set(pairs)
+    year = {j: q for j, q, _ in b}
+    for r in similarity.matches_by_threshold(left, right, [1.0]).collect():
+        own = {j: s for (i, j), s in pairs.items() if i == r["left_id"]}
+        assert r["n"] == len(own) and r["first"]["id"] == min(own, key=lambda j: (year[j], -round(own[j], 9), j)) and r["nearest"]["id"] == min(own, key=lambda j: (-round(own[j], 9), j))
+    assert similarity.matches_by_threshold(left.where("false"), right, [1.0]).count() == 0 == similarity.matches_by_threshold(left, right.where("false"), [1.0]).count()
