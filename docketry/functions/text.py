@@ -135,16 +135,24 @@ def censor_spans(mark: str = "[CENSORED]"):
     return run
 
 
-def _ratio(a: str, b: str) -> float:
-    """100 times the share of characters in a longest common subsequence of two strings."""
+def _places(a: str) -> dict[str, int]:
+    """Where each character stands in a string, as bits."""
+    out: dict[str, int] = {}
+    for k, c in enumerate(a):
+        out[c] = out.get(c, 0) | 1 << k
+    return out
+
+
+def _ratio(a: str, b: str, places: dict[str, int]) -> float:
+    """100 times the share of characters in a longest common subsequence of two strings; all of a row's cells are one number's bits."""
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for k, y in enumerate(b, 1):
-            before, row[k] = row[k], before + 1 if x == y else max(row[k], row[k - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    every = (1 << len(a)) - 1
+    row = every
+    for c in b:
+        hit = row & places.get(c, 0)
+        row = (row + hit | row - hit) & every
+    return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
 def partial_ratio(a: str, b: str) -> int:
@@ -154,13 +162,16 @@ def partial_ratio(a: str, b: str) -> int:
         return 100 if not long else 0
     if short in long:
         return 100
-    n, best = len(short), 0.0
-    letters = set(short)
+    n, best, places = len(short), 0.0, _places(short)
+    # How many characters before each place are letters of the short string.
+    known = [0]
+    for c in long:
+        known.append(known[-1] + (c in places))
     for k in range(1 - n, len(long)):
-        window = long[max(0, k) : k + n]
+        first, last = max(0, k), min(k + n, len(long))
         # A window's ratio can't pass what its letters allow.
-        if 200.0 * sum(c in letters for c in window) / (n + len(window)) > best:
-            best = max(best, _ratio(short, window))
+        if 200.0 * (known[last] - known[first]) / (n + last - first) > best:
+            best = max(best, _ratio(short, long[first:last], places))
     return round(best)
 
 

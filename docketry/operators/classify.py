@@ -7,6 +7,7 @@ equality of their figures is claimed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import Model, Pipeline, PipelineModel
@@ -15,6 +16,7 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 MODELS = {
     "logistic": lambda y: LogisticRegression(featuresCol="x", labelCol=y, maxIter=30),
@@ -50,7 +52,14 @@ class Fitted:
 
     def scores(self, rows: DataFrame, vector: str) -> DataFrame:
         """``rows`` with ``score_<label>`` from 0 to 1."""
-        out = self.reduction.transform(rows.withColumn("v", array_to_vector(F.transform(vector, lambda x: x.cast("double")))))
+        return self.scored(self.reduced(rows, vector)).drop("x")
+
+    def reduced(self, rows: DataFrame, vector: str) -> DataFrame:
+        """``rows`` with their components ``x``."""
+        return self.reduction.transform(rows.withColumn("v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))).drop("v")
+
+    def scored(self, out: DataFrame) -> DataFrame:
+        """Rows of components ``x`` with ``score_<label>``."""
         for label, m in self.models.items():
             if isinstance(m, float):
                 out = out.withColumn(f"score_{label}", F.lit(m))
@@ -58,37 +67,58 @@ class Fitted:
             out = m.transform(out)
             score = F.get(vector_to_array("probability"), 1) if "probability" in out.columns else 1 / (1 + F.exp(-F.get(vector_to_array("rawPrediction"), 1)))
             out = out.withColumn(f"score_{label}", score).drop("rawPrediction", "probability", "prediction")
-        return out.drop("v", "x")
+        return out
 
 
-def fit(rows: DataFrame, vector: str, labels: list[str], kind: str = "logistic", dims: int = 8) -> Fitted:
-    """Fit PCA on the rows, then a binary model of each label."""
+def fit(rows: DataFrame, vector: str, labels: list[str], kind: str = "logistic", dims: int = 8, params: dict | None = None) -> Fitted:
+    """Fit PCA on the rows, then a binary model of each label; ``params`` are set on the model of this kind."""
     ready = rows.withColumn("v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
     reduction = Pipeline(stages=[PCA(k=dims, inputCol="v", outputCol="x")]).fit(ready)
     reduced = reduction.transform(ready).drop("v").cache()
     rates = reduced.agg(*(F.avg(F.col(y).cast("double")).alias(y) for y in labels)).first()
-    models = {y: float(rates[y]) if rates[y] in (0.0, 1.0) else MODELS[kind](y).fit(reduced.withColumn(y, F.col(y).cast("double"))) for y in labels}
+    models = {y: float(rates[y]) if rates[y] in (0.0, 1.0) else MODELS[kind](y).setParams(**params or {}).fit(reduced.withColumn(y, F.col(y).cast("double"))) for y in labels}
     reduced.unpersist()
     return Fitted(reduction, models)
 
 
-def cross_entropy(rows: DataFrame, labels: list[str]) -> DataFrame:
-    """(label, n, loss): mean cross-entropy of the scores."""
-    long = rows.select(F.explode(F.array(*(F.struct(F.lit(y).alias("label"), F.col(y).cast("double").alias("y"), F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col(f"score_{y}"))).alias("p")) for y in labels))).alias("e")).select("e.*")
-    return long.groupBy("label").agg(F.count("*").alias("n"), F.avg(-(F.col("y") * F.ln("p") + (1 - F.col("y")) * F.ln(1 - F.col("p")))).alias("loss"))
+def cross_entropy(rows: DataFrame, labels: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., label, n, loss): mean cross-entropy of the scores."""
+    within = lambda p: F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), p))
+    each = F.array(*(F.struct(F.lit(y).alias("label"), F.col(y).cast("double").alias("y"), within(F.col(f"score_{y}")).alias("p")) for y in labels))
+    long = rows.select(*by, F.explode(each).alias("e")).select(*by, "e.*")
+    lost = -(F.col("y") * F.ln("p") + (1 - F.col("y")) * F.ln(1 - F.col("p")))
+    return long.groupBy(*by, "label").agg(F.count("*").alias("n"), F.avg(lost).alias("loss"))
 
 
-def cross_validated(rows: DataFrame, group: str, vector: str, labels: list[str], kind: str, dims: list[int], folds: int = 3) -> list[tuple[int, float]]:
-    """(dimensions, mean loss) by grouped folds, best first; ties to fewer dimensions."""
-    marked = rows.withColumn("_fold", fold(group, folds))
+Scorer = Callable[[DataFrame, list[str]], float]
+
+
+def mean_entropy(scored: DataFrame, labels: list[str]) -> float:
+    """The scorer of a search: the mean of the labels' losses; smaller is better."""
+    return cross_entropy(scored, labels).agg(F.avg("loss")).first()[0]
+
+
+def searched(rows: DataFrame, group: str, vector: str, labels: list[str], kind: str, grid: list[dict], folds: int = 3, scorer: Scorer = mean_entropy) -> list[tuple[dict, float]]:
+    """(choice, mean score) by grouped folds, best first; ties to the earlier choice.
+
+    A choice has ``dims`` and any parameters of the model. The fits themselves are Spark jobs over all rows of their folds.
+    """
+    marked = rows.withColumn("_fold", fold(group, folds)).cache()
     out = []
-    for d in dims:
-        losses = []
+    for choice in grid:
+        params = {k: v for k, v in choice.items() if k != "dims"}
+        scores = []
         for f in range(folds):
-            model = fit(marked.where(F.col("_fold") != f), vector, labels, kind, d)
-            losses.append(cross_entropy(model.scores(marked.where(F.col("_fold") == f), vector), labels).agg(F.avg("loss")).first()[0])
-        out.append((d, sum(losses) / len(losses)))
-    return sorted(out, key=lambda x: (x[1], x[0]))
+            model = fit(marked.where(F.col("_fold") != f), vector, labels, kind, choice["dims"], params)
+            scores.append(scorer(model.scores(marked.where(F.col("_fold") == f), vector), labels))
+        out.append((choice, sum(scores) / len(scores)))
+    marked.unpersist()
+    return sorted(out, key=lambda x: x[1])
+
+
+def cross_validated(rows: DataFrame, group: str, vector: str, labels: list[str], kind: str, dims: list[int], folds: int = 3) -> list[tuple[int, float]]:
+    """(dimensions, mean loss) by grouped folds, best first; ties to fewer dimensions."""
+    return [(c["dims"], loss) for c, loss in searched(rows, group, vector, labels, kind, [{"dims": d} for d in sorted(dims)], folds)]
 
 
 def per_document(scored: DataFrame, group: str, labels: list[str], cut: float = 0.5) -> DataFrame:
@@ -111,6 +141,27 @@ def importance(fitted: Fitted) -> dict[str, list[float]]:
     return out
 
 
+def permutation_importance(fitted: Fitted, rows: DataFrame, vector: str, labels: list[str], key: str, seed: int = 99, bucket: int = 10_000) -> DataFrame:
+    """(component, label, importance): how much the loss grows when a component's values change places among the rows.
+
+    For a model without weights of its own. Rows change places inside buckets of about ``bucket`` rows by a hash of
+    ``key``, so no sort passes through one task; all components are scored in one job.
+    """
+    names = [f"_{y}" for y in labels]
+    reduced = fitted.reduced(rows, vector).select(F.col(key).alias("_k"), *(F.col(y).alias(n) for y, n in zip(labels, names, strict=True)), vector_to_array("x").alias("_x"))
+    buckets = max(1, -(-rows.count() // bucket))
+    home = reduced.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), "_k"), F.lit(buckets)))
+    home = home.withColumn("_n", F.row_number().over(Window.partitionBy("_b").orderBy("_k"))).withColumn("component", F.explode(F.sequence(F.lit(0), F.size("_x") - 1)))
+    drawn = Window.partitionBy("_b", "component").orderBy(F.xxhash64(F.lit(seed), "component", "_k"))
+    donors = home.select("_b", "component", F.row_number().over(drawn).alias("_n"), F.get("_x", F.col("component")).alias("_v"))
+    moved = F.transform("_x", lambda v, k: F.when(k == F.col("component"), F.col("_v")).otherwise(v))
+    own = [F.col(n).alias(y) for y, n in zip(labels, names, strict=True)]
+    mixed = home.join(donors, ["_b", "component", "_n"]).select("component", *own, array_to_vector(moved).alias("x"))
+    before = cross_entropy(fitted.scored(reduced.select(*own, array_to_vector("_x").alias("x"))), labels).select("label", F.col("loss").alias("_before"))
+    after = cross_entropy(fitted.scored(mixed), labels, by=("component",))
+    return after.join(before, "label").select("component", "label", (F.col("loss") - F.col("_before")).alias("importance"))
+
+
 def save(fitted: Fitted, path: str) -> None:
     """The reduction and all models below a folder."""
     fitted.reduction.write().overwrite().save(f"{path}/reduction")

@@ -139,9 +139,11 @@ _REDUCED = {
 }
 
 
-def distance_counts(left: DataFrame, right: DataFrame, decimals: int) -> DataFrame:
+def distance_counts(left: DataFrame, right: DataFrame, decimals: int, once: bool = False) -> DataFrame:
     """(part, distance, n): how many pairs have a cosine distance, rounded to ``decimals`` places, by the left side's ``part``.
 
+    once: for a set that meets itself; only pairs whose left id is the smaller one count.
+
     Both sides are (id, year, vector), unit vectors; left has ``part`` too. Each
     task counts its own block's pairs, so what is shuffled is bounded by the
     number of rounded values, whatever the number of pairs.
@@ -151,14 +153,16 @@ def distance_counts(left: DataFrame, right: DataFrame, decimals: int) -> DataFra
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy(zero_copy_only=False)
-        part, x = table.column("year").to_numpy(), _matrix(table.column("vector"))
+        ids, part, x = table.column("id").to_numpy(), table.column("year").to_numpy(), _matrix(table.column("vector"))
         a, b = np.flatnonzero(side), np.flatnonzero(~side)
         out = {"part": [], "distance": [], "n": []}
         for p in np.unique(part[a]):
             own = a[part[a] == p]
             counts = np.zeros(2 * scale + 2, np.int64)
             for k in range(0, len(own), 256):
-                counts += np.bincount(np.clip(np.round((1 - x[own[k : k + 256]] @ x[b].T) * scale), 0, 2 * scale + 1).astype(np.int64).ravel(), minlength=len(counts))
+                here = own[k : k + 256]
+                place = np.clip(np.round((1 - x[here] @ x[b].T) * scale), 0, 2 * scale + 1).astype(np.int64)
+                counts += np.bincount(place[ids[here][:, None] < ids[b]] if once else place.ravel(), minlength=len(counts))
             full = np.flatnonzero(counts)
             for name, v in (("part", np.full(len(full), p)), ("distance", full / scale), ("n", counts[full])):
                 out[name].append(v)

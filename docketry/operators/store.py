@@ -22,10 +22,13 @@ def merged_tags(rows: DataFrame, key: str, tags: Column) -> DataFrame:
     return rows.select(key, F.explode(tags).alias("t")).groupBy(key).agg(F.array_sort(F.collect_set("t")).alias("tags"))
 
 
-def upsert(store: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``store`` with the rows of ``new`` in place of those of the same key. The same upsert again changes nothing."""
+def upsert(store: DataFrame, new: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """``store`` with the rows of ``new`` in place of those of the same key. The same upsert again changes nothing.
+
+    order: which of several new rows of a key comes first; without it, the one with the smallest values, column by column.
+    """
     both = store.withColumn("_p", F.lit(1)).unionByName(new.withColumn("_p", F.lit(0)))
-    return both.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_p"))).where("_n = 1").drop("_n", "_p")
+    return both.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_p", *(order or [c for c in store.columns if c not in keys])))).where("_n = 1").drop("_n", "_p")
 
 
 def insert_missing(store: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

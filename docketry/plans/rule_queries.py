@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docketry.functions import replies
-from docketry.operators import geometry, lookup, similarity
+from docketry.operators import classify, geometry, lookup, similarity
 from docketry.plans import tables as t
 from docketry.plans.queries import BASE, KNN, VECTORS, query
 from docketry.session import read
@@ -155,3 +155,32 @@ def stem_join_merged(spark, sf):
     stem = F.when(c == 0, name).when(c == 1, F.lpad(k, 6, "0")).when(c == 2, (F.col("c_custkey") % 50).cast("string")).otherwise(F.concat(F.lit("doc_"), name, F.lit("_e")))
     found = lookup.by_stem(read(spark, sf, "customer").select("c_custkey", stem.alias("stem")), read(spark, sf, "supplier"), "stem", "s_name", "s_suppkey", merge=True)
     return found.select("c_custkey", F.array_join(F.array_sort("s_suppkey"), ",").alias("keys"))
+
+
+@query("within_distances", f"""WITH {VECTORS}, d AS (SELECT p.id % 3 AS part, round(1 - list_dot_product(p.x, q.x), 6) AS distance FROM v p JOIN v q ON p.id < q.id)
+SELECT part, count(*) AS n, round(avg(distance), 6) AS mean, round(min(distance), 6) AS min, round(max(distance), 6) AS max FROM d GROUP BY part""")
+def within_distances(spark, sf):
+    v = t.vectors(spark, sf)
+    counts = similarity.distance_counts(v.withColumn("part", F.col("id") % 3), v, 6, once=True)
+    return geometry.counted_summary(counts, "distance", "n", ["part"]).select("part", "n", *(F.round(c, 6).alias(c) for c in ("mean", "min", "max")))
+
+
+def _labelled(spark, sf, labels: int) -> DataFrame:
+    """Vectors with 0/1 labels of their topics; two vectors make a document."""
+    rows = t.vectors(spark, sf)
+    return rows.withColumns({"doc": F.floor(F.col("id") / 2), **{f"y{k}": (F.col("topic") % 3 == k).cast("int") for k in range(labels)}})
+
+
+@query("model_search")
+def model_search(spark, sf):
+    grid = [{"dims": d, "regParam": r} for d in (2, 4) for r in (0.0, 0.1)]
+    found = classify.searched(_labelled(spark, sf, 1), "doc", "vector", ["y0"], "logistic", grid)
+    # A row per choice.
+    return spark.createDataFrame([(k, c["dims"], c["regParam"], round(loss, 6)) for k, (c, loss) in enumerate(found, 1)], "place int, dims int, penalty double, loss double")
+
+
+@query("permutation_importance")
+def permutation_importance(spark, sf):
+    rows = _labelled(spark, sf, 2)
+    model = classify.fit(rows, "vector", ["y0", "y1"], "svm", 4)
+    return classify.permutation_importance(model, rows, "vector", ["y0", "y1"], "id").withColumn("importance", F.round("importance", 6))

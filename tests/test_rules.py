@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketry.functions import dates, replies, text
-from docketry.operators import embedding, lookup, similarity
+from docketry.operators import classify, embedding, graph, lookup, similarity, store
 
 
 def one(spark, value, kind, f):
@@ -98,3 +98,59 @@ def test_year_blocks_give_the_same_matches(spark, monkeypatch):
         own = {j: s for (i, j), s in pairs.items() if i == r["left_id"]}
         assert r["n"] == len(own) and r["first"]["id"] == min(own, key=lambda j: (year[j], -round(own[j], 9), j)) and r["nearest"]["id"] == min(own, key=lambda j: (-round(own[j], 9), j))
     assert similarity.matches_by_threshold(left.where("false"), right, [1.0]).count() == 0 == similarity.matches_by_threshold(left, right.where("false"), [1.0]).count()
+
+
+def test_ratio_equals_the_table_of_subsequences():
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for k, y in enumerate(b, 1):
+                before, row[k] = row[k], before + 1 if x == y else max(row[k], row[k - 1])
+        return row[-1]
+
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a, b = ("".join(rng.choice(list("abc é"), rng.integers(1, n))) for n in (9, 40))
+        short, long = (a, b) if len(a) <= len(b) else (b, a)
+        windows = [long[max(0, k) : k + len(short)] for k in range(1 - len(short), len(long))]
+        assert text.partial_ratio(a, b) == round(max(200.0 * common(short, w) / (len(short) + len(w)) for w in windows))
+
+
+def test_upsert_of_two_new_rows_of_a_key(spark):
+    old, new = spark.createDataFrame([(1, "z", 0)], "k int, v string, at int"), spark.createDataFrame([(1, "b", 2), (1, "a", 1), (2, "c", 1), (2, "c", 0)], "k int, v string, at int")
+    assert sorted(map(tuple, store.upsert(old, new, ["k"]).collect())) == [(1, "a", 1), (2, "c", 0)]
+    assert sorted(map(tuple, store.upsert(old, new, ["k"], order=[F.desc("at")]).collect())) == [(1, "b", 2), (2, "c", 1)]
+
+
+def test_katz_solves_its_equation(spark):
+    rows = [("p", "a", "b", 4), ("p", "a", "c", 2), ("p", "c", "d", 1), ("p", "d", "d", 3), ("q", "x", "y", 5)]
+    got = {(r["period"], r["country"]): r["value"] for r in graph.katz(spark.createDataFrame(rows, "period string, source string, target string, weight long")).collect()}
+    for period in ("p", "q"):
+        own = [r for r in rows if r[0] == period]
+        most, near = max(r[3] for r in own), {}
+        for _, s, t, w in own:
+            near[s, t] = near[t, s] = w / most
+        x = {c: v for (p, c), v in got.items() if p == period}
+        rest = [x[c] - 0.1 * sum(near.get((c, o), 0.0) * x[o] for o in x) for c in x]
+        assert np.allclose(rest, rest[0], atol=1e-8) and abs(sum(v * v for v in x.values()) - 1) < 1e-8
+
+
+def test_distances_within_a_set(spark):
+    x = [[1.0, 0.0], [0.0, 1.0], [0.6, 0.8], [1.0, 0.0]]
+    rows = spark.createDataFrame([(k, 2000, v, 0) for k, v in enumerate(x)], "id long, year long, vector array<double>, part long")
+    got = {r["distance"]: r["n"] for r in similarity.distance_counts(rows, rows, 3, once=True).collect()}
+    assert got == {0.0: 1, 1.0: 2, 0.4: 2, 0.2: 1}
+
+
+def test_importance_by_permutation_and_search(spark):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(k, [float(rng.normal() * 3 + (k % 2) * 9), float(rng.normal()), float(rng.normal() * 0.5)], k % 2) for k in range(150)], "doc long, v array<double>, y int")
+    model = classify.fit(rows, "v", ["y"], "svm", 3)
+    got = {r["component"]: r["importance"] for r in classify.permutation_importance(model, rows, "v", ["y"], "doc", bucket=40).collect()}
+    assert sorted(got) == [0, 1, 2] and max(got, key=got.get) == 0 and got[0] > 5 * max(abs(got[1]), abs(got[2]))
+    grid = [{"dims": 1, "regParam": 5.0}, {"dims": 2, "regParam": 0.0}, {"dims": 1, "regParam": 0.01}]
+    found = classify.searched(rows, "doc", "v", ["y"], "logistic", grid, folds=2)
+    assert [c for c, _ in found][-1] == grid[0] and found[0][1] < found[-1][1]
+    worst = classify.searched(rows, "doc", "v", ["y"], "logistic", grid, folds=2, scorer=lambda scored, labels: -classify.mean_entropy(scored, labels))
+    assert worst[0][0] == grid[0]
