@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm import ann, html_text, language_id, license_scan, line_dedup, minhash, mixing, nbest, token_counts, vector_dedup
-from docketry.session import importable, read
+from docketry.llm import ann, hard_negatives, html_text, language_id, license_scan, line_dedup, minhash, mixing, nbest, quality, token_counts, vector_dedup, vectors, whitening
+from docketry.session import importable, materialize, read
 
 PIECE_MODEL = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
+QUALITY_LIMIT = 0.7
 
 
 def tokenizer_path(name: str = PIECE_MODEL) -> str:
@@ -105,6 +106,27 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every whole text, learned from the labelled rows that aren't held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    stats = materialize(quality.statistics(docs), "text-statistics")
+    model = quality.learn(stats.where(~language_id.held_out()), read(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")))
+    return quality.score(stats, model).select("doc_id", language_id.held_out().alias("held_out"), "score", (F.col("score") >= QUALITY_LIMIT).cast("int").alias("predicted"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each 50th vector and its 5 positives, the first 3 rows of other labels with 50 to 95 % of the positive's score."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), vectors.whole("embedding").alias("x"))
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 4 leading components of the distinct ones, scaled to variance 1."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", vectors.whole("embedding").alias("x"))
+    return whitening.whitened(rows, whitening.fit(rows, components=4), key="vec_id")
+
+
 OP4_SQL = r"""
 WITH l AS (
   SELECT doc_id, pos, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
@@ -152,6 +174,19 @@ WITH RECURSIVE w AS (
 SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(root) AS component_id, min(root) = r.doc_id AS kept FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
 """
 
+OP12_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), s AS (
+  SELECT a.r, a.id AS anchor_id, c.r AS other, c.id, a.label = c.label AS same, list_dot_product(a.x, c.x)::BIGINT AS score FROM v a JOIN v c ON a.r <> c.r AND len(a.x) = len(c.x) WHERE a.id % 50 = 0
+), p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, id, other) <= 5
+)
+SELECT p.anchor_id, p.id AS positive_id, row_number() OVER (PARTITION BY p.r, p.other ORDER BY n.score DESC, n.id)::INT AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.r = p.r AND NOT n.same WHERE 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score QUALIFY rank <= 3
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
@@ -167,4 +202,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_vector_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op9_minhash_dedup": OP9_SQL}
+    return {"op2_vector_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op9_minhash_dedup": OP9_SQL, "op12_hard_negatives": OP12_SQL}

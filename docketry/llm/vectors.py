@@ -15,6 +15,13 @@ def usable(vector: str) -> Column:
     return F.coalesce((F.size(v) > 0) & F.forall(v, finite) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def whole(vector: str, factor: int = 256) -> Column:
+    """floor(factor * x) of each entry as longs; null where the vector is null or holds a null or non-finite entry."""
+    v = F.col(vector)
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+    return F.when(F.coalesce(F.forall(v, finite), F.lit(False)), F.transform(v, lambda x: F.floor(F.lit(factor) * x.cast("double")).cast("long")))
+
+
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of equal length as float64."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
