@@ -29,6 +29,8 @@ from docketry.session import importable, materialize
 
 #: Vectors of the block beyond the wanted ones, the polynomial's degree, steps of the estimate of the spectrum's lower end, most steps of a certificate.
 EXTRA, DEGREE, STEPS, PROOF = 16, 10, 8, 64
+#: Bytes of a stored block of vectors.
+BLOCK_BYTES = 1 << 16
 #: Residuals of unit components relative to the largest variance: certified at GOOD once they stop falling, at BEST at once.
 GOOD, BEST = 1e-11, 1e-14
 #: A component whose variance is below this share of the largest has none.
@@ -128,6 +130,27 @@ def _rows(batch: pa.RecordBatch, name: str, d: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64, copy=False).reshape(len(column), d)
 
 
+def _packed(distinct: DataFrame) -> DataFrame:
+    """(d, block): vectors of one length as bytes, BLOCK_BYTES or a vector a row, so that a pass reads no lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lengths = b.column("x").value_lengths().to_numpy(zero_copy_only=False)
+            for d in np.unique(lengths).tolist():
+                x = _rows(b.take(pa.array(np.flatnonzero(lengths == d))), "x", d)
+                step = max(1, BLOCK_BYTES // (8 * d))
+                blocks = [x[k : k + step].tobytes() for k in range(0, len(x), step)]
+                yield pa.RecordBatch.from_arrays([pa.array([d] * len(blocks), pa.int32()), pa.array(blocks, pa.binary())], ["d", "block"])
+
+    return distinct.mapInArrow(run, "d int, block binary")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[np.ndarray]:
+    for b in batches:
+        for block in b.column("block"):
+            yield np.frombuffer(block.as_buffer(), np.int64).reshape(-1, d)
+
+
 def _largest(x: np.ndarray) -> int:
     return max(int(x.max()), -int(x.min())) if x.size else 0
 
@@ -170,8 +193,7 @@ def _summed(rows: DataFrame, part: Callable[[Iterator[pa.RecordBatch]], np.ndarr
 def _exact_sums(rows: DataFrame, d: int) -> tuple[int, list[int]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sums = 0, [0] * d
-        for b in batches:
-            x = _rows(b, "x", d)
+        for x in _blocks(batches, d):
             n += len(x)
             own = x.sum(0).tolist() if _largest(x) * len(x) < 2**63 else [sum(c) for c in x.T.tolist()]
             sums = [s + o for s, o in zip(sums, own, strict=True)]
@@ -184,9 +206,9 @@ def _exact_sums(rows: DataFrame, d: int) -> tuple[int, list[int]]:
 def fit(rows: DataFrame, *, vector: str = "x", components: int = 4, seed: int = 13) -> dict[int, Whitening]:
     """A whitening for each length of vector. ``vector`` is an array of longs; each distinct one counts once."""
     importable(rows.sparkSession)
-    distinct = materialize(rows.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(vector).alias("x")).distinct(), "distinct-vectors")
-    lengths = [r["d"] for r in distinct.groupBy(F.size("x").alias("d")).count().collect()]  # one row a length
-    return {d: _fit(distinct.where(F.size("x") == d) if len(lengths) > 1 else distinct, d, components, seed) for d in sorted(lengths)}
+    packed = materialize(_packed(rows.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(vector).alias("x")).distinct()), "distinct-vectors")
+    lengths = [r["d"] for r in packed.select("d").distinct().collect()]  # one row a length
+    return {d: _fit(packed.where(F.col("d") == d).select("block"), d, components, seed) for d in sorted(lengths)}
 
 
 def _fit(distinct: DataFrame, d: int, components: int, seed: int) -> Whitening:
@@ -195,15 +217,15 @@ def _fit(distinct: DataFrame, d: int, components: int, seed: int) -> Whitening:
     def product(q: np.ndarray) -> np.ndarray:
         def part(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
             total = np.zeros((d, q.shape[1]))
-            for b in batches:
-                c = _centred(_rows(b, "x", d), n, sums)
+            for x in _blocks(batches, d):
+                c = _centred(x, n, sums)
                 total += c.T @ (c @ q)
             return total
 
         return _summed(distinct, part).reshape(d, -1) / n
 
     def squares(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        return np.array([sum(float((_centred(_rows(b, "x", d), n, sums) ** 2).sum()) for b in batches)])
+        return np.array([sum(float((_centred(x, n, sums) ** 2).sum()) for x in _blocks(batches, d))])
 
     trace = float(_summed(distinct, squares)[0]) / n
     values, vectors = leading(product, d, components, seed) if trace > 0 else (np.zeros(0), np.zeros((d, 0)))
@@ -213,8 +235,8 @@ def _fit(distinct: DataFrame, d: int, components: int, seed: int) -> Whitening:
 
     def moments(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros((k + 1, k))
-        for b in batches:
-            w = _centred(_rows(b, "x", d), n, sums) @ scaled
+        for x in _blocks(batches, d):
+            w = _centred(x, n, sums) @ scaled
             total[:k] += w.T @ w
             total[k] += w.sum(0)
         return total
