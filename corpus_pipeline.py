@@ -4,6 +4,16 @@ Each stage takes (spark, docs, sf_dir) and gives back documents with their
 columns; its result is written as Parquet in the shared folder and read again
 by the next, so a lost executor never costs more than the running stage.
 The last stage gives piece ids.
+
+Cases, in every stage: a null or empty text has no letter, so language ID drops
+it, with all texts of signs or digits only; handed to a later stage directly, it
+is one empty line, near to nothing, of size 0 (so the mix takes nothing of it),
+and has no pieces. A null doc_id, lang or source stays null; a row without an
+id is near to nothing and keeps its lines unless another row holds them. Very
+long texts are read whole. Rows that repeat id and text count as one document
+from the near-copy stage on. Ties go to the smaller id (near copies), the
+larger one (lines), or a seeded draw (mix). Empty tables give empty results.
+Other columns pass through every stage but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,9 +50,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids, score and the next best segmentations of each text, and whether the ids decode to it."""
-    encoded = nbest.encode_documents(docs, tokenizer_path(), n_best=4).withColumn("decoded", nbest.decoded(F.col("pieces.ids"), tokenizer_path()))
+    encoded = nbest.encode_documents(docs, tokenizer_path(), n_best=4, check=True)
     p = F.col("pieces")
-    return encoded.select("doc_id", "source", "lang", F.size(p["ids"]).cast("long").alias("n_pieces"), p["ids"].alias("piece_ids"), p["score"].alias("score"), p["alternatives"].alias("alternatives"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return encoded.select("doc_id", "source", "lang", F.size(p["ids"]).cast("long").alias("n_pieces"), p["ids"].alias("piece_ids"), p["score"].alias("score"), p["alternatives"].alias("alternatives"), p["round_trip"].alias("round_trip"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

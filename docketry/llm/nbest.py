@@ -23,20 +23,24 @@ bytes, so decoding gives every text back exactly.
 Defined cases: a null or empty text has no piece, score 0 and no alternative;
 it decodes to the empty text. Ties in score are ordered by the search, which
 is the same in every run: earlier part first, then the shorter last piece.
-Repeated rows are encoded each; extra columns pass through. Empty tables give
-empty results.
+Repeated rows are encoded each; extra columns pass through, but one of the
+result's name is replaced. Empty tables give empty results. A very long text
+is read whole; a part of it without a break costs about 45 bytes a character
+while it is searched, in arrays, and nothing after.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,11 +50,13 @@ SPACE = "▁"
 #: Stands for a literal U+2581 of the text; no valid text holds it.
 _LITERAL = "\udc81"
 UNKNOWN_PENALTY = 10.0
-#: Documented bound of each worker's cache, in parts of texts.
-CACHE_PARTS = 150_000
+#: Documented bounds of each worker's cache: parts of texts, and about how many bytes they take.
+CACHE_PARTS, CACHE_BYTES = 150_000, 16_000_000
 #: Parts up to this length are searched together with others of their length.
 TOGETHER = 24
 CHUNK_CHARS = 1_000_000
+#: Alternatives of longer parts aren't kept in the cache.
+KEPT_CHARS = 256
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 ENCODED = "struct<score:double,ids:array<int>,alternatives:array<struct<score:double,edits:array<struct<at:int,n:int,ids:array<int>>>>>>"
@@ -80,6 +86,7 @@ class Lattice:
         else:
             inside = "".join(re.escape(c) for c in sorted(longer))
             self.parts = re.compile(f"(?s){SPACE}*[{inside}]+|{SPACE}+|.")
+        self.longest = max(map(len, self.pieces))
         # Every beginning of a piece, with the piece where it is one: a walk over a text ends where no piece goes on.
         self.begun: dict[str, tuple[int, float] | tuple[()]] = {p[:k]: () for p in self.pieces for k in range(1, len(p))} | self.pieces
         hashes = []
@@ -99,27 +106,30 @@ class Lattice:
     def written(self, char: str) -> tuple[int, ...]:
         return tuple(self.bytes[b] for b in (SPACE if char == _LITERAL else char).encode())
 
+    def into(self, part: str, j: int) -> list[tuple[int, tuple[int, ...], float]]:
+        """The edges that end at a place, the shortest first: (start, ids, score)."""
+        out = []
+        for i in range(j - 1, max(j - self.longest, 0) - 1, -1):
+            found = self.pieces.get(part[i:j])
+            if found:
+                out.append((i, (found[0],), found[1]))
+            elif i == j - 1:
+                out.append((i, self.written(part[i]), self.unknown))
+        return out
+
     def edges(self, part: str) -> list[list[tuple[int, tuple[int, ...], float]]]:
-        """For each place the edges that end there: (start, ids, score)."""
-        n = len(part)
-        into: list[list[tuple[int, tuple[int, ...], float]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            if part[i] not in self.pieces:
-                into[i + 1].append((i, self.written(part[i]), self.unknown))
-            for j in range(i + 1, n + 1):
-                found = self.begun.get(part[i:j])
-                if found is None:
-                    break
-                if found:
-                    into[j].append((i, (found[0],), found[1]))
-        return into
+        """``into`` of each place."""
+        return [self.into(part, j) for j in range(len(part) + 1)]
 
     def prepare(self, parts: set[str]) -> None:
         """Number each part and have its Viterbi result; parts of one length that are new go through the lattice together."""
         new = parts - self.number.keys()
-        if len(self.number) + len(new) > CACHE_PARTS:
+        # A part's string, its entry and about a number for each two characters.
+        size = sum(150 + 3 * len(x) for x in new)
+        if len(self.number) + len(new) > CACHE_PARTS or self.held + size > CACHE_BYTES:
             self._forget()
-            new = parts
+            new, size = parts, sum(150 + 3 * len(x) for x in parts)
+        self.held += size
         by_length: dict[int, list[str]] = {}
         for x in new:
             by_length.setdefault(len(x), []).append(x)
@@ -140,13 +150,14 @@ class Lattice:
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
+        self.held = 0
         self.score, self.cost = np.zeros(0), np.zeros(0)
         self.count, self.at, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.found: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
+        self.found: dict[str, list[tuple[float, array]]] = {}
 
     def _alone(self, part: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        score, cost, ids = self._viterbi(part)
-        return np.array([score]), np.array([cost]), np.array([len(ids)]), np.array(ids, np.int32)
+        score, cost, ids = self._best_of(part)
+        return np.array([score]), np.array([cost]), np.array([len(ids)]), np.frombuffer(ids, np.int32)
 
     def best(self, part: str) -> tuple[float, float, tuple[int, ...]]:
         """(best score, what the second-best costs more, ids of the best) of a prepared part."""
@@ -193,10 +204,12 @@ class Lattice:
             count[k] = len(written)
         return first[n], first[n] - second[n], count, flat.astype(np.int32)
 
-    def _viterbi(self, part: str) -> tuple[float, float, tuple[int, ...]]:
+    def _forward(self, part: str) -> tuple[array, array, array, array]:
+        """For each place the best and second-best score of the text before it, and where and with which piece the best one's last edge begins (-1: bytes)."""
         begun, n = self.begun.get, len(part)
         low = float("-inf")
-        first, second, back = [low] * (n + 1), [low] * (n + 1), [None] * (n + 1)
+        first, second = array("d", [low]) * (n + 1), array("d", [low]) * (n + 1)
+        start, piece = array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1)
         first[0] = 0.0
         for i in range(n):
             here, other = first[i], second[i]
@@ -205,7 +218,7 @@ class Lattice:
                 if s >= first[i + 1]:
                     second[i + 1] = max(first[i + 1], other + self.unknown)
                     first[i + 1] = s
-                    back[i + 1] = (i, None)
+                    start[i + 1], piece[i + 1] = i, -1
                 elif s > second[i + 1]:
                     second[i + 1] = s
             for j in range(i + 1, n + 1):
@@ -219,40 +232,54 @@ class Lattice:
                         o = other + found[1]
                         second[j] = first[j] if first[j] > o else o
                         first[j] = s
-                        back[j] = (i, found[0])
+                        start[j], piece[j] = i, found[0]
                     elif s > second[j]:
                         second[j] = s
-        ids, j = [], n
+        return first, second, start, piece
+
+    def _best_of(self, part: str) -> tuple[float, float, array]:
+        first, second, start, piece = self._forward(part)
+        ids, j = array("i"), len(part)
         while j:
-            i, piece = back[j]
-            ids.append(self.written(part[i]) if piece is None else (piece,))
-            j = i
-        return first[n], first[n] - second[n], tuple(chain.from_iterable(reversed(ids)))
-
-    def search(self, part: str) -> list[tuple[float, tuple[int, ...]]]:
-        """The N best segmentations of a part, best first: backward A* over the lattice."""
-        into, n = self.edges(part), len(part)
-        prefix = [0.0] + [0.0] * n
-        for j in range(1, n + 1):
-            prefix[j] = max(prefix[i] + s for i, _, s in into[j])
-        queue, made, out = [(-prefix[n], 0, n, 0.0, None)], 0, []
+            if piece[j] >= 0:
+                ids.append(piece[j])
+            else:
+                ids.extend(reversed(self.written(part[start[j]])))
+            j = start[j]
+        ids.reverse()
+        return first[-1], first[-1] - second[-1], ids
+
+    def _viterbi(self, part: str) -> tuple[float, float, tuple[int, ...]]:
+        score, cost, ids = self._best_of(part)
+        return score, cost, tuple(ids)
+
+    def search(self, part: str) -> list[tuple[float, array]]:
+        """The N best segmentations of a part, best first: backward A* over the lattice, whose edges are looked up where the search comes."""
+        n, prefix = len(part), self._forward(part)[0]
+        # A state that was opened is a node: the one it came from, and the piece (-1: bytes) and place of the edge between them.
+        parent, edge, place = array("i"), array("i"), array("i")
+        queue, made, out = [(-prefix[n], 0, n, 0.0, -1, -1)], 0, []
         while queue and len(out) < self.n_best:
-            f, _, at, g, path = heapq.heappop(queue)
+            f, _, at, g, origin, piece = heapq.heappop(queue)
+            node = len(parent)
+            parent.append(origin)
+            edge.append(piece)
+            place.append(at)
             if not at:
-                ids = []
-                while path:
-                    ids.append(path[0])
-                    path = path[1]
-                out.append((-f, tuple(chain.from_iterable(ids))))
+                ids = array("i")
+                while parent[node] >= 0:
+                    ids.extend(self.written(part[place[node]]) if edge[node] < 0 else (edge[node],))
+                    node = parent[node]
+                out.append((-f, ids))
                 continue
-            for i, ids, s in sorted(into[at], key=lambda e: -e[0]):
+            for i, ids, s in self.into(part, at):
                 made += 1
-                heapq.heappush(queue, (-(g + s + prefix[i]), made, i, g + s, (ids, path)))
+                heapq.heappush(queue, (-(g + s + prefix[i]), made, i, g + s, node, ids[0] if part[i:at] in self.pieces else -1))
             if len(queue) > 8 * self.n_best:
                 queue = heapq.nsmallest(self.n_best - len(out), queue)  # sorted, so still a heap
         return out
 
-    def encode_all(self, texts: list[str]) -> Iterator[tuple[float, np.ndarray, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]]:
+    def encode_all(self, texts: list[str]) -> Iterator[tuple[float, np.ndarray, list[tuple[float, list[tuple[int, int, array]]]]]]:
         """(score, ids, alternatives) of each text; an alternative is (score, edits of the best ids: at, n, ids)."""
         waiting, load = [], 0
         for k, text in enumerate(texts):
@@ -271,11 +298,11 @@ class Lattice:
                     first += len(parts)
                 waiting, load = [], 0
 
-    def encode(self, text: str) -> tuple[float, np.ndarray, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
+    def encode(self, text: str) -> tuple[float, np.ndarray, list[tuple[float, list[tuple[int, int, array]]]]]:
         """As ``encode_all`` for one text."""
         return next(self.encode_all([text]))
 
-    def _assemble(self, parts: list[str], numbers: np.ndarray, flat: np.ndarray) -> tuple[float, np.ndarray, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
+    def _assemble(self, parts: list[str], numbers: np.ndarray, flat: np.ndarray) -> tuple[float, np.ndarray, list[tuple[float, list[tuple[int, int, array]]]]]:
         if not parts:
             return 0.0, flat, []
         total = float(self.score[numbers].sum())
@@ -306,12 +333,14 @@ class Lattice:
         alternatives = [(total - loss, [(int(starts[chosen[k]]), int(lengths[chosen[k]]), options[k][p][1]) for k, p in enumerate(picks) if p]) for loss, picks in found[1:]]
         return total, flat, alternatives
 
-    def _searched(self, part: str) -> list[tuple[float, tuple[int, ...]]]:
+    def _searched(self, part: str) -> list[tuple[float, array]]:
         kept = self.found.get(part)
         if kept is None:
             if len(self.found) >= CACHE_PARTS // 20:
                 self.found.clear()
-            kept = self.found[part] = self.search(part)
+            kept = self.search(part)
+            if len(part) <= KEPT_CHARS:
+                self.found[part] = kept
         return kept
 
 
@@ -367,7 +396,7 @@ def _nested(lengths: list[int], values: pa.Array, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]), pa.int32()), values, type=kind)
 
 
-def _alternatives(found: list[list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]) -> pa.Array:
+def _alternatives(found: list[list[tuple[float, list[tuple[int, int, array]]]]]) -> pa.Array:
     """The alternatives of each text, level by level, without a Python object for every edit."""
     whole = _TYPE.field("alternatives").type
     edits, edit = whole.value_type.field("edits").type, whole.value_type.field("edits").type.value_type
@@ -380,10 +409,14 @@ def _alternatives(found: list[list[tuple[float, list[tuple[int, int, tuple[int,
     return _nested([len(x) for x in found], scored, whole)
 
 
-def encoder(model_path: str, n_best: int = 4):
-    """A column function: text -> (score, ids, alternatives). ``model_path`` must exist on every executor."""
+def encoder(model_path: str, n_best: int = 4, check: bool = False):
+    """A column function: text -> (score, ids, alternatives). ``model_path`` must exist on every executor.
+
+    check: also ``round_trip``, whether the decoded ids are the text. One worker does both, so no second one is needed for it.
+    """
+    kind = [*_TYPE, *([pa.field("round_trip", pa.bool_())] if check else [])]
 
-    @F.arrow_udf(ENCODED)
+    @F.arrow_udf(ENCODED[:-1] + ",round_trip:boolean>" if check else ENCODED)
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = lattice(model_path, n_best)
         for b in batches:
@@ -391,7 +424,12 @@ def encoder(model_path: str, n_best: int = 4):
             offsets = np.concatenate([[0], np.cumsum([len(x[1]) for x in done])])
             ids = np.concatenate([x[1] for x in done] or [np.zeros(0, np.int32)])
             best = [pa.array([x[0] for x in done], pa.float64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))]
-            yield pa.StructArray.from_arrays([*best, _alternatives([x[2] for x in done])], fields=list(_TYPE))
+            whole = [*best, _alternatives([x[2] for x in done])]
+            del done
+            if check:
+                given = b if pa.types.is_string(b.type) else b.cast(pa.string())
+                whole.append(pc.equal(pieces_of(model_path).texts(ids, offsets), given.fill_null("")))
+            yield pa.StructArray.from_arrays(whole, fields=kind)
 
     return encode
 
@@ -409,11 +447,11 @@ def decoder(model_path: str):
     return decode
 
 
-def encode_documents(docs: DataFrame, model_path: str, *, n_best: int = 4, text: str = "text") -> DataFrame:
-    """``docs`` with ``pieces`` (score, ids, alternatives)."""
+def encode_documents(docs: DataFrame, model_path: str, *, n_best: int = 4, text: str = "text", check: bool = False, out: str = "pieces") -> DataFrame:
+    """``docs`` with the column ``out``: (score, ids, alternatives), and round_trip with ``check``."""
     importable(docs.sparkSession)
     # Marked non-deterministic so that the optimiser never evaluates it twice.
-    return docs.withColumn("pieces", encoder(model_path, n_best).asNondeterministic()(F.col(text).cast("string")))
+    return docs.withColumn(out, encoder(model_path, n_best, check).asNondeterministic()(F.col(text).cast("string")))
 
 
 def decoded(ids: Column, model_path: str) -> Column:

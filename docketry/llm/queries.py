@@ -92,17 +92,16 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 4 best segmentations of every whole text under the 32k piece model, and whether the best decodes to the text."""
-    docs = nbest.encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), n_best=4)
-    back = docs.withColumn("decoded", nbest.decoded(F.col("pieces.ids"), tokenizer_path()))
+    docs = nbest.encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), n_best=4, check=True)
     p = F.col("pieces")
-    return back.select(
+    return docs.select(
         "doc_id",
         F.size(p["ids"]).cast("long").alias("n_pieces"),
         p["score"].alias("score"),
         (F.size(p["alternatives"]) + F.when(F.size(p["ids"]) > 0, 1).otherwise(0)).cast("long").alias("n_segmentations"),
         p["alternatives"]["score"].alias("other_scores"),
         F.sha2(F.array_join(p["ids"].cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        p["round_trip"].alias("round_trip"),
     )
 
 

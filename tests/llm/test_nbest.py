@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -79,3 +80,30 @@ def test_query(spark, sf):
     rows = op10_nbest_pieces(spark, sf).collect()
     assert all(r["round_trip"] for r in rows)
     assert all(list(r["other_scores"]) == sorted(r["other_scores"], reverse=True) and (not r["other_scores"] or r["score"] >= r["other_scores"][0]) for r in rows)
+
+
+def test_memory_of_a_long_part_without_a_break(lattice):
+    rng = random.Random(5)
+    text = "".join(rng.choice("etaoinshrdlu") for _ in range(30_000))
+    lattice.encode("a")
+    tracemalloc.start()
+    _, ids, others = lattice.encode(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * len(text) and len(others) == 3
+    assert nbest.pieces_of(PATH).texts(ids, np.array([0, len(ids)])).to_pylist() == [text]
+    assert nbest.SPACE + text not in lattice.found
+
+
+def test_bound_of_bytes_changes_nothing(docs, monkeypatch):
+    texts = [r["text"] for r in docs.limit(40).collect()]
+    first = [(s, i.tolist(), o) for s, i, o in nbest.Lattice(PATH, 3).encode_all(texts)]
+    monkeypatch.setattr(nbest, "CACHE_BYTES", 5_000)
+    monkeypatch.setattr(nbest, "CHUNK_CHARS", 500)
+    monkeypatch.setattr(nbest, "KEPT_CHARS", 3)
+    assert first == [(s, i.tolist(), o) for s, i, o in nbest.Lattice(PATH, 3).encode_all(texts)]
+
+
+def test_checked_round_trip_and_name(odd):
+    rows = nbest.encode_documents(odd, PATH, check=True, out="own").collect()
+    assert all(r["own"]["round_trip"] is True and r["pieces"] == "pieces" for r in rows)
