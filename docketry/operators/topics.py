@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docketry.operators import density, layout
+
 
 def composition(documents: DataFrame) -> DataFrame:
     """Per topic: size, instruments and papers, share of instruments, first and last year, first year by class."""
@@ -41,8 +43,7 @@ def word_labels(documents: DataFrame, topic: str, text: str, top: int = 4, min_d
 def clustered(documents: DataFrame, vector: str, topics: int, least: int = 5, seed: int = 42) -> DataFrame:
     """``documents`` with ``topic``: k-means by cosine; clusters of fewer than ``least`` documents are no topic (-1).
 
-    A stand-in for density clustering, which Spark doesn't have: topics are
-    an input everywhere else.
+    The quick way where the number of topics is known; ``density_topics`` finds it.
     """
     ready = documents.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
     model = KMeans(k=topics, featuresCol="_v", predictionCol="topic", distanceMeasure="cosine", seed=seed).fit(ready)
@@ -51,6 +52,16 @@ def clustered(documents: DataFrame, vector: str, topics: int, least: int = 5, se
     return found.join(small, "topic", "left").withColumn("topic", F.when(F.col("_small"), -1).otherwise(F.col("topic"))).drop("_small").select(*documents.columns, "topic")
 
 
+def density_topics(documents: DataFrame, key: str, vector: str, *, dims: int = 5, neighbours: int = 15, min_size: int = 5, seed: int = 42) -> DataFrame:
+    """(key, topic): a layout of ``dims`` dimensions that keeps neighbours by cosine, then density clustering in it. ``key`` is a long and unique.
+
+    A topic is named by its smallest key; documents outside of dense places, or without a usable vector, are no topic (-1).
+    """
+    laid = layout.laid_out(documents, dims, neighbours, key=key, vector=vector, seed=seed)
+    found = density.clustered(laid, min_size=min_size, min_samples=min_size, neighbours=neighbours, key=key)
+    return documents.select(key).join(found, key, "left").select(key, F.coalesce("topic", F.lit(density.NOISE)).alias("topic"))
+
+
 def sizes_with_words(documents: DataFrame, topic: str, text: str) -> DataFrame:
     """(topic, size, word): each topic's size and its first word."""
     sizes = documents.groupBy(topic).agg(F.count("*").alias("size"))

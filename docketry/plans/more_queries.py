@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docketry.functions import dates, text
-from docketry.operators import figures
+from docketry.operators import density, figures
 from docketry.plans import tables as t
 from docketry.plans.queries import BASE, VECTORS, query
 from docketry.session import read
@@ -132,3 +132,9 @@ def label_pair_shares(spark, sf):
     # A row per pair of labels: the window holds a handful of rows.
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 9))
 
+
+
+@query("density_clusters")
+def density_clusters(spark, sf):
+    near = read(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("x"))
+    return density.clustered(near, min_size=5, min_samples=5, neighbours=15, key="vec_id")
