@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 MEETING_YEARS = [1961, 1962, 1964, 1966, 1968, 1970, 1972, 1975, 1977, 1979, 1981, 1983, 1985, 1987, 1989, 1991, 1992, 1994, 1995, 1996, 1997, 1998, 1999, 2001, 2002, 2003, 2004, 2005, 2006, 2007, 2008, 2009, 2010, 2011, 2012, 2013, 2014, 2015, 2016, 2017, 2018, 2019, 2021, 2022]
 #: What a measure that isn't in force yet is counted up to.
 OPEN_END = 2025
+_BLANKS = " \t\n\x0b\x0c\r"
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -31,12 +32,34 @@ def meeting_year(number: Column) -> Column:
     return F.when((number >= 1) & (number <= n), F.get(table, (number - 1).cast("int"))).otherwise(number - n + MEETING_YEARS[-1]).cast("int")
 
 
+def _first(values: Column) -> Column:
+    """The first of an array that isn't null."""
+    return F.get(F.filter(values, lambda v: v.isNotNull()), 0)
+
+
 def year_of_meeting_name(name: Column) -> Column:
-    """Roman number, then Arabic number, then a year in brackets; a special meeting's number isn't one of these."""
-    roman = found(name, r"(?<![A-Za-z])ATCM\s*([IVXL]+)(?![A-Za-z])")
-    arabic = found(name, r"(?<![A-Za-z])ATCM\s*(\d+)").try_cast("int")
-    bracketed = F.coalesce(found(name, r"\((\d{4})\)"), found(name, r"\(.*?,\s*(\d{4})\)")).cast("int")
-    return F.coalesce(F.when(roman.isNotNull(), meeting_year(roman_value(roman))), F.when(arabic.isNotNull(), meeting_year(arabic)), bracketed)
+    """Roman number, then Arabic number, then a year in brackets; a special meeting's number isn't one of these.
+
+    The name is cut at the meetings' abbreviation: what begins a cut's right side is its number, unless a letter ends the
+    left side, as in the abbreviation of the special meetings.
+    """
+    cut = F.split(name, "ATCM")
+    apart = lambda k: F.when(F.get(cut, k - 1) == "", k == 1).otherwise(~F.right(F.get(cut, k - 1), F.lit(1)).rlike("[A-Za-z]"))
+    behind = F.transform(cut, lambda p, k: F.when((k > 0) & apart(k), F.ltrim(F.translate(p, _BLANKS, " " * len(_BLANKS)))))
+    letters = F.transform(behind, lambda p: F.regexp_extract(p, "^[A-Za-z]+", 0))
+    roman = _first(F.transform(letters, lambda x: F.when((x != "") & (F.translate(x, "IVXL", "") == ""), x)))
+    arabic = _first(F.transform(behind, lambda p: F.regexp_extract(p, "^[0-9]+", 0).try_cast("int")))
+    # Each closing bracket's text: a year right after the opening one comes before a year that follows a comma inside.
+    closed = F.split(name, "[)]")
+    closed = F.slice(closed, 1, F.size(closed) - 1)
+    year = lambda p: F.right(p, F.lit(4))
+    lead = lambda p: F.left(p, F.length(p) - 4)
+    whole = lambda p: (F.length(p) > 4) & year(p).rlike("^[0-9]{4}$")
+    alone = _first(F.transform(closed, lambda p: F.when(whole(p) & (F.right(lead(p), F.lit(1)) == "("), year(p))))
+    before = lambda p: F.rtrim(F.translate(lead(p), _BLANKS, " " * len(_BLANKS)))
+    opened = lambda p, k: F.array_join(F.slice(closed, 1, k), "").contains("(") | lead(p).contains("(")
+    listed = _first(F.transform(closed, lambda p, k: F.when(whole(p) & (F.right(before(p), F.lit(1)) == ",") & opened(p, k), year(p))))
+    return F.coalesce(meeting_year(roman_value(roman)), meeting_year(arabic), F.coalesce(alone, listed).cast("int"))
 
 
 def adoption_year(status: Column, two_digits: bool = False) -> Column:
@@ -46,9 +69,15 @@ def adoption_year(status: Column, two_digits: bool = False) -> Column:
 
 
 def end_year(status: Column) -> Column:
-    """The year up to which a measure was open: not effective yet, then a closing year in brackets, then its date. Anything else is an error."""
-    closing, dated = found(status, r"\((\d{4})\)\s*$"), found(status, r"Effective \d{1,2}/\d{1,2}/(\d{4})")
-    return F.when(F.startswith(status, F.lit("Not yet effective")), OPEN_END).when(closing.isNotNull(), closing.cast("int")).when(dated.isNotNull(), dated.cast("int")).otherwise(F.raise_error(F.concat(F.lit("no year in status: "), F.coalesce(status, F.lit("null")))).cast("int"))
+    """The year up to which a measure was open: not effective yet, then a closing year in brackets, then its date of two-digit day and month. Anything else is an error."""
+    text = F.btrim(status, F.lit(_BLANKS))
+    end = F.right(text, F.lit(6))
+    closing = F.when(F.translate(end, "0123456789", "0000000000") == "(0000)", F.substring(end, 2, 4))
+    words = F.filter(F.split(F.translate(text, _BLANKS, " " * len(_BLANKS)), " "), lambda w: w != "")
+    date = lambda w: F.translate(F.left(w, F.lit(10)), "0123456789", "0000000000") == "00/00/0000"
+    dated = _first(F.transform(words, lambda w, k: F.when((k > 0) & F.endswith(F.get(words, k - 1), F.lit("Effective")) & date(w), F.substring(w, 7, 4))))
+    wrong = F.raise_error(F.concat(F.lit("no year in status: "), F.coalesce(status, F.lit("null")))).cast("int")
+    return F.when(text == "Not yet effective", OPEN_END).when(closing.isNotNull(), closing.cast("int")).when(dated.isNotNull(), dated.cast("int")).otherwise(wrong)
 
 
 def instrument_type(title: Column) -> Column:

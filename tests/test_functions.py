@@ -94,3 +94,24 @@ def test_vectors(spark):
     got = rows.select(vectors.dot(F.col("a"), F.col("b")).alias("d"), vectors.cosine(F.col("a"), F.col("b")).alias("c"), vectors.unit(F.col("a")).alias("u")).collect()
     assert got[0]["d"] == 8.0 and got[0]["c"] == pytest.approx(0.8) and np.allclose(got[0]["u"], [0.6, 0.8])
     assert got[1]["c"] is None and got[1]["u"] == [0.0, 0.0]
+
+
+def test_meeting_names_cut_at_their_abbreviation(spark):
+    cases = {
+        "ATCM XI (Buenos Aires, 1981)": 1981, "SATCM XI (Utrecht, 1994)": 1994, "ATCM24": 2001, "ATCM 24 - Town": 2001, "ATCM XXIV": 2001, "ATCM Information Paper": None,
+        "ATCM Information (2003)": 2003, "SATCM IV and ATCM XV": 1989, "ATCMATCM I": None, "ATCM": None, "none": None, "": None, "a) b, 1994)": None, "(Bonn), x (Oslo,  1975)": 1975,
+        "Town (CEP, 1999) (2004)": 2004, "ATCM\tII": 1962, "ATCM 50": 2028, "x-ATCM V.": 1968, "(1999": None, "(19999)": None,
+    }
+    assert values(spark, "string", list(cases), dates.year_of_meeting_name) == list(cases.values())
+    assert values(spark, "string", [None], dates.year_of_meeting_name) == [None]
+
+
+def test_statuses_by_exact_words(spark):
+    cases = {
+        "Not yet effective": 2025, "  Not yet effective\n": 2025, "Not yet effective (2014)": 2014, "Effective 11/05/2016": 2016, "Effective  06/10/2009 (Fast Approval)": 2009,
+        "Did not enter into effect. Withdrawn:M 10 (2008)": 2008, "Effective 01/02/2003. No longer current (2011) ": 2011, "Now Effective\t01/02/2003!": 2003,
+    }
+    assert values(spark, "string", list(cases), dates.end_year) == list(cases.values())
+    for wrong in ("Effective 1/2/2003", "Not yet effective.", "Effective on 01/02/2003"):
+        with pytest.raises(Exception, match="no year in status"):
+            values(spark, "string", [wrong], dates.end_year)
