@@ -19,14 +19,18 @@ word is that of a menu, notice, advert, comment or form (``AGAINST``), and what
 the page's article or main, where that holds more than a little of it (``OUTSIDE``). A path with
 both kinds of elements counts as two. A class word counts
 where it is what the name stands for ("site-footer", not "has-footer" or
-"footer-design"), and only for elements that don't hold the bulk of the page's plain text.
+"footer-design"). Names that say plainly what they hold (``PLAIN_WORDS``: comments, related,
+sidebar ...) count whatever the size, unless the element holds the page's first heading or its main part.
+The others (widget, notice ...), and forms, which some pages put around everything, count only for
+elements that don't hold the bulk of the text that is left. Where the article's whole text is linked, it counts as plain text.
 
 Work is page by page inside Arrow functions, so Spark deals pages out and
 nothing is shuffled. Reading is one pass of a tokenising pattern; end tags
 that are missing are supplied (a new block ends an open paragraph), and end
-tags without a start are ignored.
+tags without a start are ignored. Paths and containers are numbers that know what is above
+them, and open elements are found by their tag, so time and memory follow the page's length, however deep it nests.
 
-Defined cases: null or empty html gives empty text. A page whose paths all stay
+Defined cases: null or empty html gives empty text. Pages are read whole, whatever their length or depth. A page whose paths all stay
 below ``FLOOR`` gives empty text. Equal values pass alike. Repeated rows are handled each;
 extra columns are ignored unless named in ``keep``. Empty tables give empty results.
 """
@@ -37,6 +41,7 @@ import html as entities
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,7 +52,7 @@ from docketry.session import importable
 # Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
-UNSHOWN = frozenset("script style noscript template iframe head title svg math object canvas audio video select option datalist textarea button form input nav header footer aside menu dialog".split())
+UNSHOWN = frozenset("script style noscript template iframe head title svg math object canvas audio video select option datalist textarea button input nav header footer aside menu dialog".split())
 BLOCK = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address hr br details summary fieldset legend center header footer nav aside form".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 # Elements that hold the page; their classes speak of its layout.
@@ -58,15 +63,31 @@ ASIDE_WORDS = frozenset(
     "footer header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist reply replies respond discussion disqus "
     "responses reactions teaser teasers pagination pager copyright legal disclaimer search contentinfo complementary dialog skip hidden".split()
 )
-# Those that mark what readers wrote, which is often longer than the article.
-READER_WORDS = frozenset("comment comments commentlist reply replies respond discussion disqus responses reactions".split())
+# Those of them that say plainly what an element holds, as a box of the layout isn't called so; among them what marks readers' text, which is often longer than the article.
+PLAIN_WORDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar related recommended footer cookie cookies consent gdpr "
+    "newsletter subscribe subscription signup login share sharing comment comments commentlist reply replies respond discussion disqus responses reactions teaser teasers pagination pager".split()
+)
 # Words at the end of a name that say what kind of box it is, not what it holds; and words before a feature that a layout has or lacks.
 BOX_WORDS = frozenset("area author bar body block box button buttons col column container content form group head heading holder icons inner item items leaderboard left link links list main meta outer panel region right row section slot text thread title unit wrap wrapper x".split())
 LAYOUT_WORDS = frozenset("has have no non not with without layout one two three enable enabled supports show shows".split())
-#: A subtree with a larger share of the page's plain text than this isn't ruled out by a class word; one of readers' text is up to the second.
-SMALL, READERS = 0.5, 0.9
-#: Where class words leave a smaller share of the plain text that isn't readers', only those of readers' text count.
+#: A subtree with a larger share than this of the text that plain names leave isn't ruled out by another class word, or as a form.
+SMALL = 0.5
+#: Where all class words leave a smaller share of that text, only the plain ones count.
 LEFT = 0.25
+# Items and cells, what of their kind a new one ends, and what that doesn't reach out of.
+ITEMS = {
+    "li": (("li",), ("ul", "ol", "dl", "table", "select")),
+    "dt": (("dt", "dd"), ("ul", "ol", "dl", "table", "select")),
+    "dd": (("dt", "dd"), ("ul", "ol", "dl", "table", "select")),
+    "tr": (("tr",), ("ul", "ol", "dl", "table", "select")),
+    "td": (("td", "th"), ("ul", "ol", "dl", "table", "tr", "select")),
+    "th": (("td", "th"), ("ul", "ol", "dl", "table", "tr", "select")),
+    "option": (("option",), ("ul", "ol", "dl", "table", "select")),
+}
+# Of the elements that aren't read, those that may stand in each other.
+NESTING = frozenset("svg math noframes".split())
+_RAW_TAG = {tag: re.compile(f"<(/?){tag}(?=[\\s/>])[^>]*>?", re.I) for tag in RAW}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S)
 _NAMED = re.compile(r"(?:^|[\s\"'/])(?:class|id|role|itemtype|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|[\s\"'/])(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*)display\s*:\s*none)", re.I)
@@ -89,8 +110,30 @@ _BLANK = re.compile(r"\s+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、！？；：()\"“”«»¿¡]")
 
 
-#: Path of elements, text, in a link, marked as not the article, block number, containers above it from the outermost, its list (0: none).
-Node = tuple[str, str, bool, bool, int, tuple[int, ...], int]
+#: Path of elements, text, in a link, marked as not the article, block number, container above it, its list (0: none).
+Node = tuple[object, str, bool, bool, int, int, int]
+
+
+class Tree(NamedTuple):
+    """A page: its text nodes in order, with numbers for paths and containers, so that depth costs nothing per node."""
+
+    nodes: list[Node]
+    #: Of each path: the path above it, its last tag, and whether it goes through an article and through main.
+    paths: list[tuple[int, str, bool, bool]]
+    #: Of each container: the container above it; -1 for those that hold the whole page.
+    above: list[int]
+
+
+class _Open(NamedTuple):
+    """An open element: tag, path, in a link, marked, the named element and the container around its text, list."""
+
+    tag: str
+    path: int
+    link: bool
+    marked: bool
+    name: int
+    home: int
+    of: int
 
 
 def _role(name: str) -> str:
@@ -117,94 +160,177 @@ def _roles(attributes: str) -> set[str]:
     return {r for m in _NAMED.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").split() if (r := _role(name))}
 
 
-def text_nodes(page: str) -> list[Node]:
-    """The text nodes, in page order."""
+def _after_raw(page: str, tag: str, at: int) -> int:
+    """Where the content of an element that isn't read ends; drawings may stand in each other."""
+    depth = 1
+    for m in _RAW_TAG[tag].finditer(page, at):
+        if m[1]:
+            depth -= 1
+        elif tag in NESTING and not m[0].endswith("/>"):
+            depth += 1
+        if not depth:
+            return m.end()
+    return len(page)
+
+
+class _Stack:
+    """The open elements, and for each tag where its own stand, so that no search looks through all of them."""
+
+    def __init__(self) -> None:
+        self.open = [_Open("", 0, False, False, -1, 0, 0)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, x: _Open) -> None:
+        self.places.setdefault(x.tag, []).append(len(self.open))
+        if x.tag in BLOCK:
+            self.blocks.append(len(self.open))
+        self.open.append(x)
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """The place of the innermost open element of ``tags``; 0 if there is none."""
+        return max((of[-1] for tag in tags if (of := self.places.get(tag))), default=0)
+
+    def close(self, k: int) -> None:
+        """Close the element at ``k`` and all inside it."""
+        while len(self.open) > k:
+            tag = self.open.pop().tag
+            self.places[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag closes its element; one of an inline element doesn't reach out of its block."""
+        k = self.last((tag,))
+        if k and (tag in BLOCK or not self.blocks or k > self.blocks[-1]):
+            self.close(k)
+
+    def make_room(self, tag: str) -> None:
+        """Close what the start of ``tag`` ends: an open paragraph with what inline elements it left open, an item, a cell."""
+        if tag in ENDS_PARAGRAPH and self.blocks and self.open[self.blocks[-1]].tag == "p":
+            self.close(self.blocks[-1])
+        if tag in ITEMS:
+            same, within = ITEMS[tag]
+            if (k := self.last(same)) > self.last(within):
+                self.close(k)
+
+
+def page_tree(page: str) -> Tree:
+    """The text nodes, in page order, with their paths and containers."""
     out: list[Node] = []
-    # For each text node: the elements above it whose names say that they aren't the article; and whether such an element holds readers' text.
-    named: list[tuple[int, ...]] = []
-    readers: list[bool] = []
-    # An open element: tag, path with it, in a link, marked, named elements, containers, list.
-    stack: list[tuple[str, str, bool, bool, tuple[int, ...], tuple[int, ...], int]] = [("", "", False, False, (), (0,), 0)]
-    block, homes, lists, at, n = 0, 0, 0, 0, len(page)
-
-    def close(k: int) -> None:
-        del stack[k:]
-
+    paths: list[tuple[int, str, bool, bool]] = [(-1, "", False, False)]
+    known: dict[tuple[int, str], int] = {}
+    above = [-1]
+    named = _Named()
+    stack = _Stack()
+    block, lists, at, n = 0, 0, 0, len(page)
     while at < n:
         m = _TOKEN.match(page, at)
         at = m.end()
         # The second form is for a tag whose last quote is never closed.
         ends, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        here = stack.open[-1]
         if tag is None:
             raw = m[0]
             if raw.startswith("<") and len(raw) > 1:
                 continue
-            _, path, link, marked, names, above, of = stack[-1]
-            out.append((path, entities.unescape(raw) if "&" in raw else raw, link, marked, block, above, of))
-            named.append(names)
+            out.append((here.path, entities.unescape(raw) if "&" in raw else raw, here.link, here.marked, block, here.home, here.of))
+            named.of_node.append(here.name)
             continue
         tag = tag.lower()
         if tag in BLOCK:
             block += 1
         if ends:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
-                if tag not in BLOCK and stack[k][0] in BLOCK:
-                    break
+            stack.end(tag)
             continue
-        if tag in ENDS_PARAGRAPH:
-            # A new block ends an open paragraph, and what inline elements it left open.
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == "p":
-                    close(k)
-                    break
-                if stack[k][0] in BLOCK:
-                    break
-        if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-            same = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in same:
-                    close(k)
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "tr" if tag in ("td", "th") else "table", "select"):
-                    break
+        stack.make_room(tag)
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else n
+            at = _after_raw(page, tag, at)
             continue
         if tag in VOID or attributes.endswith("/"):
             continue
-        _, path, link, marked, names, above, of = stack[-1]
-        marked = marked or tag in UNSHOWN or (tag not in WHOLE and _HIDDEN.search(attributes) is not None)
-        if not marked and tag not in WHOLE and (roles := _roles(attributes)):
-            names = (*names, len(readers))
-            readers.append(not roles.isdisjoint(READER_WORDS))
+        here = stack.open[-1]
+        path = known.setdefault((here.path, tag), len(paths))
+        if path == len(paths):
+            _, _, article, main = paths[here.path]
+            paths.append((here.path, tag, article or tag == "article", main or tag == "main"))
+        marked = here.marked or tag in UNSHOWN or (tag not in WHOLE and _HIDDEN.search(attributes) is not None)
+        name, home, of = here.name, here.home, here.of
+        if tag in ("h1", "main"):
+            named.holds_page(name)
+        if not marked and tag not in WHOLE and (roles := _roles(attributes) | ({"form"} if tag == "form" else set())):
+            name = named.add(name, not roles.isdisjoint(PLAIN_WORDS))
         if tag in BLOCK and tag not in INNER:
-            homes += 1
             # What stands in the whole page's own element isn't for that part of one text.
-            above = (homes,) if tag in WHOLE else (*above, homes)
+            above.append(-1 if tag in WHOLE else home)
+            home = len(above) - 1
         if tag in ("ul", "ol", "dl"):
             lists += 1
             of = lists
-        stack.append((tag, f"{path}/{tag}", link or tag == "a", marked, names, above, of))
-    return _without_named(out, named, readers) if readers else out
+        stack.push(_Open(tag, path, here.link or tag == "a", marked, name, home, of))
+    return Tree(named.without(out), paths, above)
 
 
-def _without_named(nodes: list[Node], named: list[tuple[int, ...]], readers: list[bool]) -> list[Node]:
-    """``nodes``, where those of named elements are marked if these don't hold the bulk of the page's plain text."""
-    size = [0 if link or marked else len(text.strip()) for _, text, link, marked, *_ in nodes]
-    whole, held = sum(size), [0] * len(readers)
-    for n, names in zip(size, named, strict=True):
-        for k in names:
-            held[k] += n
-    gone = [h <= (READERS if r else SMALL) * whole for h, r in zip(held, readers, strict=True)]
-    theirs = [g and r for g, r in zip(gone, readers, strict=True)]
-    left = sum(n for n, names in zip(size, named, strict=True) if not any(gone[k] for k in names))
-    if left < LEFT * sum(n for n, names in zip(size, named, strict=True) if not any(theirs[k] for k in names)):
-        gone = theirs
-    return [(*x[:3], x[3] or any(gone[k] for k in names), *x[4:]) for x, names in zip(nodes, named, strict=True)]
+def text_nodes(page: str) -> list[Node]:
+    """The text nodes, in page order, with their paths written out (which takes the depth's square; the operator reads numbers)."""
+    tree = page_tree(page)
+    names = [""]
+    for parent, tag, *_ in tree.paths[1:]:
+        names.append(f"{names[parent]}/{tag}")
+    return [(names[x[0]], *x[1:]) for x in tree.nodes]
+
+
+class _Named:
+    """Elements whose name, or tag (a form), says that they aren't the article."""
+
+    def __init__(self) -> None:
+        self.parent: list[int] = []
+        #: Whether its name says plainly what it holds.
+        self.plain: list[bool] = []
+        #: Whether it holds the page's first heading or main part, so is a box of the layout.
+        self.whole: list[bool] = []
+        self.of_node: list[int] = []
+
+    def add(self, parent: int, plain: bool) -> int:
+        self.parent.append(parent)
+        self.plain.append(plain)
+        self.whole.append(False)
+        return len(self.parent) - 1
+
+    def holds_page(self, k: int) -> None:
+        while k >= 0 and not self.whole[k]:
+            self.whole[k] = True
+            k = self.parent[k]
+
+    def _inside(self, own: list[bool]) -> list[bool]:
+        """Of each element, whether it or one above it is of ``own``; a parent stands before its children."""
+        out: list[bool] = []
+        for k, p in enumerate(self.parent):
+            out.append(own[k] or (p >= 0 and out[p]))
+        return [*out, False]
+
+    def without(self, nodes: list[Node]) -> list[Node]:
+        """``nodes``, where those of elements that go are marked.
+
+        Plain names go whatever they hold. Other names, forms, and what holds the page's heading or main part go
+        where they don't hold the bulk of what plain names leave of the page's text.
+        """
+        if not self.parent:
+            return nodes
+        plainly = [p and not w for p, w in zip(self.plain, self.whole, strict=True)]
+        theirs = self._inside(plainly)
+        size = [0 if link or marked or theirs[k] else len(text.strip()) for (_, text, link, marked, *_), k in zip(nodes, self.of_node, strict=True)]
+        whole, held = sum(size), [0] * len(self.parent)
+        for n, k in zip(size, self.of_node, strict=True):
+            if k >= 0:
+                held[k] += n
+        for k in range(len(held) - 1, -1, -1):
+            if (p := self.parent[k]) >= 0:
+                held[p] += held[k]
+        gone = self._inside([x or h <= SMALL * whole for x, h in zip(plainly, held, strict=True)])
+        if sum(n for n, k in zip(size, self.of_node, strict=True) if not gone[k]) < LEFT * whole:
+            gone = theirs
+        return [(*x[:3], x[3] or gone[k], *x[4:]) for x, k in zip(nodes, self.of_node, strict=True)]
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -214,7 +340,7 @@ def _smooth(values: list[float]) -> list[float]:
 
 
 #: A path, and what its markup multiplies its ratio with.
-Key = tuple[str, float]
+Key = tuple[object, float]
 
 
 def path_ratios(nodes: list[Node], keys: list[Key]) -> dict[Key, float]:
@@ -248,36 +374,52 @@ def content_paths(nodes: list[Node], keys: list[Key]) -> set[Key]:
     return {key for key, x in fused.items() if x >= limit}
 
 
-def _told(shown: list[Node]) -> set[str]:
-    """The elements by which the page itself marks the article: article, with main where that holds more than a little beside it; none if both hold little of the page."""
-    size = {"article": 0, "main": 0, "": 0}
+def _told(shown: list[Node], paths: list[tuple[int, str, bool, bool]]) -> tuple[bool, bool]:
+    """Whether article, and whether main, is where the page itself marks its article: main where it holds more than a little beside article; neither if both hold little of the page."""
+    article = main = rest = 0
     for path, text, link, *_ in shown:
-        tags = path.split("/")
-        size[next((tag for tag in ("article", "main") if tag in tags), "")] += 0 if link else len(text.strip())
-    held = size["article"] + size["main"]
-    if not held or held < TOLD * sum(size.values()):
-        return set()
-    return {"article"} if size["main"] < TOLD * held else {"article", "main"}
-
-
-def content_homes(shown: list[Node], content: list[bool]) -> set[int]:
+        n = 0 if link else len(text.strip())
+        if paths[path][2]:
+            article += n
+        elif paths[path][3]:
+            main += n
+        else:
+            rest += n
+    if not article + main or article + main < TOLD * (article + main + rest):
+        return False, False
+    return True, main >= TOLD * (article + main)
+
+
+def _linked_whole(tree: Tree) -> list[Node]:
+    """The nodes; where all text of the page's article and main is linked, that text counts as plain."""
+    inside = [not x[3] and (tree.paths[x[0]][2] or tree.paths[x[0]][3]) for x in tree.nodes]
+    if any(i and not x[2] and x[1].strip() for i, x in zip(inside, tree.nodes, strict=True)):
+        return tree.nodes
+    return [(*x[:2], False, *x[3:]) if i else x for i, x in zip(inside, tree.nodes, strict=True)]
+
+
+def content_homes(shown: list[Node], content: list[bool], above: list[int]) -> set[int]:
     """The containers of content paths that aren't mostly links, and those inside them or between them."""
     size: dict[int, list[int]] = {}
     found: set[int] = set()
-    for (_, text, link, _, _, above, _), is_content in zip(shown, content, strict=True):
+    for (_, text, link, _, _, home, _), is_content in zip(shown, content, strict=True):
         n = len(text.strip())
-        s = size.setdefault(above[-1], [0, 0])
+        s = size.setdefault(home, [0, 0])
         s[0] += n
         s[1] += n if link else 0
         if n and not link and is_content:
-            found.add(above[-1])
+            found.add(home)
     plain = {c for c, s in size.items() if s[1] <= MOSTLY * s[0]}
     found &= plain
-    at = [k for k, x in enumerate(shown) if x[5][-1] in found and x[1].strip()]
+    at = [k for k, x in enumerate(shown) if x[5] in found and x[1].strip()]
     if not at:
         return set()
-    between = {x[5][-1] for x in shown[at[0] : at[-1] + 1]}
-    inside = {x[5][-1] for x in shown if any(c in found for c in x[5][1:-1])}
+    between = {x[5] for x in shown[at[0] : at[-1] + 1]}
+    # A container's number is larger than that of the one above it; the outermost stands for the page.
+    under: list[bool] = []
+    for p in above:
+        under.append(p >= 0 and (under[p] or (p in found and above[p] >= 0)))
+    inside = {x[5] for x in shown if under[x[5]]}
     return found | (plain & (between | inside))
 
 
@@ -305,9 +447,11 @@ def menus(shown: list[Node]) -> set[int]:
 
 def main_text(page: str) -> str:
     """The article of a page: its blocks in page order, joined by one space."""
-    nodes = text_nodes(page)
-    told = _told([x for x in nodes if not x[3]])
-    within = [not told or not told.isdisjoint(x[0].split("/")) for x in nodes]
+    tree = page_tree(page)
+    nodes = _linked_whole(tree)
+    article, main = _told([x for x in nodes if not x[3]], tree.paths)
+    told = article or main
+    within = [not told or (article and tree.paths[x[0]][2]) or (main and tree.paths[x[0]][3]) for x in nodes]
     keys = [(x[0], (AGAINST if x[3] else 1.0) * (1.0 if here else OUTSIDE)) for x, here in zip(nodes, within, strict=True)]
     chosen = content_paths(nodes, keys)
     content = [key in chosen for key in keys]
@@ -317,8 +461,8 @@ def main_text(page: str) -> str:
     at = [k for k, x in enumerate(nodes) if content[k] or (within[k] and not x[3])]
     shown = [nodes[k] for k in at]
     if not (told and any(content[k] and within[k] for k in at)):
-        homes = content_homes(shown, [content[k] for k in at])
-        shown = [x for x in shown if x[5][-1] in homes]
+        homes = content_homes(shown, [content[k] for k in at], tree.above)
+        shown = [x for x in shown if x[5] in homes]
     out = menus(shown)
     blocks: list[tuple[int, list[str]]] = []
     for _, text, _, _, block, _, of in shown:

@@ -1,6 +1,8 @@
 import html
 import math
 import re
+import time
+import tracemalloc
 
 import pytest
 
@@ -141,3 +143,51 @@ def test_pages_of_neutral_divs():
     menu = "<div class=x1><div><a href=a>One</a></div><div><a href=b>Two</a></div><div><a href=c>Three</a></div></div>"
     story = "".join(f"<div>{LONG}</div>" for _ in range(5))
     assert html_text.main_text(f"<div>{menu}<div class=x2>{story}</div><div class=x3><span>A</span> <span>B</span></div></div>") == " ".join([LONG] * 5)
+
+
+@pytest.mark.parametrize("name", ["comments", "related", "sidebar"])
+@pytest.mark.parametrize("n", [1, 4, 60])
+def test_plain_names_go_whatever_their_size(name, n):
+    box = f"<div id={name}>{f'<p>{LONG} I like it.</p>' * n}</div>"
+    assert html_text.main_text(f"<article><p>{LONG}</p></article>{box}") == LONG
+    assert html_text.main_text(f"<article><p>{LONG}</p>{box}</article>") == LONG
+    assert html_text.main_text(f"<div><p>{LONG}</p></div>{box}") == LONG
+
+
+def test_a_form_around_the_page_isnt_lost():
+    story = f"<p>{LONG}</p>" * 40
+    want = " ".join([LONG] * 40)
+    assert html_text.main_text(f"<form id=all>{story}</form>") == want
+    assert html_text.main_text(f"<form><div>{story}</div><input><button>Go</button></form><div class=comments>{story * 3}</div>") == want
+    assert want in html_text.main_text(f"<form>{story}</form><p>Copyright 2020 Example Ltd.</p>")
+    assert html_text.main_text(f"<article>{story}<form><p>Your name, please.</p></form></article>") == want
+
+
+def test_a_sidebar_that_holds_the_main_part_is_layout():
+    assert html_text.main_text(f"<div class=content-sidebar><main><h1>Head</h1><p>{LONG}</p></main></div>") == f"Head {LONG}"
+
+
+def test_linked_articles_and_nested_drawings():
+    assert html_text.main_text(f"<article><p><a href=x>{LONG}</a></p></article>") == LONG
+    assert html_text.main_text(f"<article><svg><svg><text>a</text></svg><text>leak</text></svg><p>{LONG}</p></article>") == LONG
+    assert html_text.main_text(f"<article><svg><svg/><text>a</text></svg><p>{LONG}</p></article>") == LONG
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: "<div>" * n + LONG,
+    lambda n: "".join(f"<div>{k}, " for k in range(n)) + LONG,
+    lambda n: f"<p>{LONG}" + "<i>" * n + "</b>" * n + "x",
+    lambda n: f"<article><p>{LONG}</p>" + "<section class=widget>a" * n,
+    lambda n: "<ul><li>" * n + LONG,
+])
+def test_depth_costs_no_square(make):
+    def spent(n):
+        start = time.process_time()
+        html_text.main_text(make(n))
+        return time.process_time() - start
+
+    tracemalloc.start()
+    html_text.main_text(make(8_000))
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
+    assert spent(32_000) < 10 * spent(8_000) + 1
