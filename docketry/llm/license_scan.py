@@ -12,14 +12,16 @@ that overlap, the one that holds most of the template, in its order, counts. The
   of the template's first ``n - need + 1`` words, so only the words that stand within a
   block's length of such a word are looked at;
 * length filter - a run with fewer known words than ``need`` can't match;
-* positional filter - the template's words from the run's first one in the
-  global order on bound the overlap from above;
+* positional filter - the rarest word that a run shares with the template stands at some position of the
+  template's order; all others that they share come at or after it, so where too few such words stand within
+  a block's length of the place, the place leads to nothing and is dropped before anything is counted;
 * what is left is verified by counting the whole overlap.
 
 Templates are rows of a table (label, text): the packaged ``license_templates.tsv``, or any
 other. Their prefix postings go to the tasks with the function, so the table is bounded:
 more than ``MOST_WORDS`` words are refused, and can be scanned in parts. Counts of its words come back
 as one number per word. Texts never leave their row: no text is shuffled.
+Of a text's blocks only neighbours are compared, so thousands of notices in one text cost their number, not its square.
 
 Phrases are found beside it: places where a phrase's words stand consecutively.
 
@@ -31,6 +33,7 @@ gives an empty result. Ties in frequency are ordered by the word.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -89,7 +92,27 @@ class _Template:
         self.follow = {(order[v], order[w]) for v, w in zip(said, said[1:], strict=False)}
         name = next((w for w in names.get(label, "").split() if w in said), None)
         self.name = None if name is None else order[name]
-        self.place = {w: k for k, w in enumerate(self.ids)}
+        self.sorted = np.array(self.ids, np.int64)
+
+    def own(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``tokens`` are its words, and where each of these stands in its order."""
+        place = np.minimum(np.searchsorted(self.sorted, tokens), len(self.ids) - 1)
+        mine = np.flatnonzero(self.sorted[place] == tokens)
+        return mine, place[mine]
+
+    def leads(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The places that pass the positional filter.
+
+        at, place: where its words stand in the text, in order, and in its own order. A place of the prefix stays
+        if at least ``need`` of them that come at or after it in that order stand less than a block's length from it.
+        """
+        kept = []
+        for k in np.unique(place[place < len(self.prefix)]).tolist():
+            later = np.concatenate([[0], np.cumsum(place >= k)])
+            lead = at[place == k]
+            enough = later[np.searchsorted(at, lead + self.span)] - later[np.searchsorted(at, lead - self.span, "right")] >= self.need
+            kept.append(lead[enough])
+        return np.concatenate(kept) if kept else at[:0]
 
     def blocks(self, at: list[int], ids: list[int], text_end: list[int]) -> list[tuple[int, int, int, bool]]:
         """(first word, end, common words, whether its name is among them) of the runs that meet it.
@@ -104,15 +127,15 @@ class _Template:
                 distinct += count[ids[end]] == 1
                 end += 1
             if distinct >= self.need:
-                rarest = next(w for w in self.ids if count[w])
-                if len(self.ids) - self.place[rarest] >= self.need:
-                    found.append(self._shortest(at, ids, k, end, distinct))
+                found.append(self._shortest(at, ids, k, end, distinct))
             count[ids[k]] -= 1
             distinct -= count[ids[k]] == 0
+        # Blocks taken so far don't overlap, so only the next one on either side of a place can be in the way.
         out: list[tuple[int, int, int, bool]] = []
         for common, nameless, _, _, a, z in sorted(found):
-            if all(z <= x or a >= y for x, y, *_ in out):
-                out.append((a, z, -common, not nameless))
+            k = bisect_left(out, (a,))
+            if (k == len(out) or z <= out[k][0]) and (not k or out[k - 1][1] <= a):
+                out.insert(k, (a, z, -common, not nameless))
         return out
 
     def _shortest(self, at: list[int], ids: list[int], first: int, end: int, distinct: int) -> tuple[int, bool, int, int, int, int]:
@@ -202,10 +225,10 @@ def scan(
     hashes = np.array([hash_of(w) for w in ordered], np.uint64)
     sort = np.argsort(hashes)
     known = hashes[sort]
-    member = np.zeros((len(index), len(ordered)), bool)
+    holders: dict[int, list[int]] = {}
     for t, x in enumerate(index):
-        member[t, x.ids] = True
-    sets = [set(x.ids) for x in index]
+        for w in x.ids:
+            holders.setdefault(w, []).append(t)
     sought = [(label, [np.uint64(hash_of(w)) for w in phrase.split()]) for phrase, label in phrases.items()]
 
     def met(here: np.ndarray, token: np.ndarray, text_end: np.ndarray) -> list[tuple[int, int, int, float, bool]]:
@@ -221,15 +244,38 @@ def scan(
         for t, places in leads.items():
             x = index[t]
             near = _near(np.concatenate(places), here, x.span)
-            near = near[member[t][token[near]]]
-            if len(near) >= x.need:
+            mine, place = x.own(token[near])
+            near = near[mine]
+            lead = x.leads(here[near], place)
+            if len(lead):
+                near = near[_near(np.sort(lead), here[near], x.span)]
                 for a, z, common, named in x.blocks(here[near].tolist(), token[near].tolist(), text_end[near].tolist()):
                     out.append((t, a, z, common / len(x.ids), named))
         return out
 
-    def best(block: tuple[int, int, int, float, bool], others: list[tuple[int, int, int, float, bool]]) -> bool:
-        t, a, z, c, named = block
-        return named and not any(m and sets[t] < sets[u] and d >= c and a < y and b < z for u, b, y, d, m in others)
+    def wider(t: int) -> list[int]:
+        """The templates that hold all words of one and more: looked up by its word that the fewest hold."""
+        own = index[t].ids
+        few = holders[min(own, key=lambda w: len(holders[w]))]
+        return [u for u in few if len(index[u].ids) > len(own) and not len(np.setdiff1d(index[t].sorted, index[u].sorted, assume_unique=True))]
+
+    def best(own: list[tuple[int, int, int, float, bool]]) -> list[bool]:
+        """Of each block of a text, whether it gives its label. The blocks of one template don't overlap, so a bisection finds those near."""
+        of: dict[int, list[tuple[int, int, float, bool]]] = {}
+        for t, a, z, c, named in sorted(own):
+            of.setdefault(t, []).append((a, z, c, named))
+        over = {t: [of[u] for u in wider(t) if u in of] for t in of}
+
+        def covered(t: int, a: int, z: int, c: float) -> bool:
+            for blocks in over[t]:
+                k = max(0, bisect_left(blocks, (a,)) - 1)
+                while k < len(blocks) and blocks[k][0] < z:
+                    if a < blocks[k][1] and blocks[k][3] and blocks[k][2] >= c:
+                        return True
+                    k += 1
+            return False
+
+        return [named and not covered(t, a, z, c) for t, a, z, c, named in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -260,10 +306,10 @@ def scan(
                 for block in met(here, sort[found[here]], first_word[row[here] + 1]):
                     by_row.setdefault(int(row[block[1]]), []).append(block)
                 for r, own in by_row.items():
-                    for block in sorted(own, key=lambda x: (x[1], x[0])):
-                        t, a, z, c, _ = block
+                    own.sort(key=lambda x: (x[1], x[0]))
+                    for (t, a, z, c, _), gives in zip(own, best(own), strict=True):
                         over = (low[starts[a] : starts[z - 1]] == 10).any()
-                        told = {"label": index[t].label, "first_word": a - int(first_word[r]), "n_words": z - a, "containment": c, "best": best(block, own)}
+                        told = {"label": index[t].label, "first_word": a - int(first_word[r]), "n_words": z - a, "containment": c, "best": gives}
                         (wrapped if over else blocks).setdefault(base + r, []).append(told)
             columns = [pa.array([x.get(k, []) for k in range(len(b))], kind) for x, kind in ((places, PLACE_TYPE), (blocks, BLOCK_TYPE), (wrapped, BLOCK_TYPE))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words), *columns], ["key", "n_words", "places", "blocks", "wrapped"])

@@ -1,5 +1,7 @@
+import random
 import re
 
+import numpy as np
 import pytest
 
 from docketry.llm import license_scan
@@ -168,3 +170,47 @@ def test_closing_notices_of_the_gnu_licenses(spark):
     rows = [(k, line.format(*x)) for k, x in enumerate([("", "program"), ("Lesser ", "library"), ("Lesser ", "program"), ("Affero ", "program")])]
     got = {r["doc_id"]: {b["label"] for b in r["blocks"] if b["best"]} for r in check(spark.createDataFrame(rows, "doc_id long, text string"))}
     assert got == {0: {"gpl"}, 1: {"lgpl"}, 2: {"lgpl"}, 3: {"agpl"}}
+
+
+def own_template(text, order):
+    return license_scan._Template("own", text, {w: k for k, w in enumerate(order.split())}, 0.8, {})
+
+
+def test_positional_filter_rejects_what_the_other_filters_pass():
+    x = own_template("a b c d e f g h i j", "a b c d e f g h i j")
+    assert (x.need, x.prefix, x.span) == (8, [0, 1, 2], 15)
+    # Eight of its words stand near the place of c, but only six of them come at or after it; so neither d nor what is left reaches eight.
+    near, far = np.array([2, 0, 1, 3, 4, 5, 6, 7]), np.arange(8) * 3
+    assert x.leads(np.arange(8), near).tolist() == [1]
+    assert x.leads(np.arange(8), np.array([2, 3, 4, 5, 6, 7, 8, 9])).tolist() == [0]
+    assert x.leads(far, near).tolist() == []
+
+
+def test_positional_filter_loses_no_block():
+    draw = random.Random(3)
+    words, rejected = "a b c d e f g h i j", 0
+    for _ in range(400):
+        x = own_template(" ".join(draw.sample(words.split(), 8)), words)
+        at = np.array(sorted(draw.sample(range(60), 30)))
+        token = np.array([draw.choice(x.ids) for _ in at])
+        _, place = x.own(token)
+        lead = np.sort(x.leads(at, place))
+        rejected += int((place < len(x.prefix)).sum()) - len(lead)
+        near = license_scan._near(lead, at, x.span)
+        end = [100] * len(at)
+        assert x.blocks(at[near].tolist(), token[near].tolist(), end) == x.blocks(at.tolist(), token.tolist(), end)
+    assert rejected > 0
+
+
+def test_many_notices_in_one_text(spark):
+    notice = MIT.format("") + " a word between "
+    rows = spark.createDataFrame([(n, notice * n) for n in (1, 30, 8_000)], "doc_id long, text string")
+    check(rows.where("doc_id <= 30"))
+    got = license_scan.scan(rows).collect()
+    assert {r["doc_id"]: sum(b["best"] for b in r["blocks"] + r["wrapped"] if b["label"] == "mit") for r in got} == {n: n for n in (1, 30, 8_000)}
+
+
+def test_a_table_of_many_templates(spark):
+    table = [(f"t{k}", " ".join(f"w{k}x{j}" for j in range(20))) for k in range(2_000)]
+    rows = spark.createDataFrame([(1, table[17][1] + " and " + table[1_999][1].upper())], "doc_id long, text string")
+    assert [b["label"] for b in license_scan.scan(rows, templates=table).first()["blocks"]] == ["t17", "t1999"]
