@@ -1,7 +1,7 @@
 """Classification of documents by their vectors: PCA and one model per label, grouped folds, importance.
 
-Gradient-boosted trees stand in for a boosted-tree library, which Spark doesn't
-have; ``rbf`` is a support vector machine on random Fourier features of the
+``newton`` are trees boosted by gradients and hessians (``boosting``), ``boosted`` are Spark's
+own, of first order; ``rbf`` is a support vector machine on random Fourier features of the
 Gaussian kernel. No equality of their figures is claimed.
 """
 
@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docketry.operators.boosting import BoostedModel, NewtonBoost
 from docketry.operators.kernel import KernelModel, KernelSVC
 
 MODELS = {
     "logistic": lambda y: LogisticRegression(featuresCol="x", labelCol=y, maxIter=30),
     "forest": lambda y: RandomForestClassifier(featuresCol="x", labelCol=y, numTrees=20, seed=7),
     "boosted": lambda y: GBTClassifier(featuresCol="x", labelCol=y, maxIter=10, seed=7),
+    "newton": lambda y: NewtonBoost([y]),
     "svm": lambda y: LinearSVC(featuresCol="x", labelCol=y, maxIter=30),
     "rbf": KernelSVC,
 }
@@ -168,9 +170,11 @@ def permutation_importance(fitted: Fitted, rows: DataFrame, vector: str, labels:
 
 
 def save(fitted: Fitted, path: str) -> None:
-    """The reduction and all models below a folder; a kernel machine can't be stored."""
+    """The reduction and all models below a folder; a kernel machine and ``newton`` trees can't be stored."""
     if any(isinstance(m, KernelModel) for m in fitted.models.values()):
         raise ValueError("a kernel machine can't be stored")
+    if any(isinstance(m, BoostedModel) for m in fitted.models.values()):
+        raise ValueError("newton trees can't be stored")
     fitted.reduction.write().overwrite().save(f"{path}/reduction")
     spark = SparkSession.getActiveSession()
     rows = [(y, float(m) if isinstance(m, float) else None, "" if isinstance(m, float) else f"{type(m).__module__}.{type(m).__name__}") for y, m in fitted.models.items()]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docketry.functions import replies
-from docketry.operators import classify, geometry, lookup, similarity
+from docketry.operators import boosting, classify, geometry, lookup, similarity
 from docketry.plans import tables as t
 from docketry.plans.queries import BASE, KNN, VECTORS, query
 from docketry.session import read
@@ -179,6 +180,16 @@ def model_search(spark, sf):
     return spark.createDataFrame([(k, c["dims"], c["regParam"], round(loss, 6)) for k, (c, loss) in enumerate(found, 1)], "place int, dims int, penalty double, loss double")
 
 
+@query("newton_boosting")
+def newton_boosting(spark, sf):
+    labels = ["y0", "y1", "y2"]
+    rows = _labelled(spark, sf, 3).withColumn("part", classify.split("doc")).withColumn("x", array_to_vector(F.transform("vector", lambda x: x.cast("double"))))
+    model = boosting.NewtonBoost(labels, rounds=4, depth=2, share=0.8, bins=16, key="id").fit(rows.where("part <> 'test'"))
+    chance = model.probabilities(F.transform("vector", lambda x: x.cast("double")))
+    scored = rows.where("part = 'test'").withColumn("p", chance).select(*labels, *(F.get("p", k).alias(f"score_{y}") for k, y in enumerate(labels)))
+    return classify.cross_entropy(scored, labels).select("label", "n", F.round("loss", 6).alias("loss"))
+
+
 @query("permutation_importance")
 def permutation_importance(spark, sf):
     rows = _labelled(spark, sf, 2)
