@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 
 from docketry.operators.boosting import BoostedModel, NewtonBoost
 from docketry.operators.kernel import KernelModel, KernelSVC
+from docketry.operators.sampler import Space, Trial, sampled
 
 MODELS = {
     "logistic": lambda y: LogisticRegression(featuresCol="x", labelCol=y, maxIter=30),
@@ -121,6 +122,23 @@ def searched(rows: DataFrame, group: str, vector: str, labels: list[str], kind:
     return sorted(out, key=lambda x: x[1])
 
 
+def sampled_search(rows: DataFrame, group: str, vector: str, labels: list[str], kind: str, space: Space, trials: int, folds: int = 3, scorer: Scorer = mean_entropy, seed: int = 7) -> list[Trial]:
+    """Trials of a sequential search by grouped folds, best first; ``space`` has ``dims`` and any parameters of the model.
+
+    A trial's fit on a fold is a Spark job over all rows of the others.
+    """
+    marked = rows.withColumn("_fold", fold(group, folds)).cache()
+
+    def loss(choice: dict, f: int) -> float:
+        params = {k: v for k, v in choice.items() if k != "dims"}
+        model = fit(marked.where(F.col("_fold") != f), vector, labels, kind, choice["dims"], params)
+        return scorer(model.scores(marked.where(F.col("_fold") == f), vector), labels)
+
+    out = sampled(space, loss, folds, trials, seed)
+    marked.unpersist()
+    return out
+
+
 def cross_validated(rows: DataFrame, group: str, vector: str, labels: list[str], kind: str, dims: list[int], folds: int = 3) -> list[tuple[int, float]]:
     """(dimensions, mean loss) by grouped folds, best first; ties to fewer dimensions."""
     return [(c["dims"], loss) for c, loss in searched(rows, group, vector, labels, kind, [{"dims": d} for d in sorted(dims)], folds)]
