@@ -1,6 +1,7 @@
 import pytest
 from oracle import connect, rows
 
+import docketry.plans.corpus_queries  # noqa: F401
 import docketry.plans.more_queries  # noqa: F401
 import docketry.plans.rule_queries  # noqa: F401
 from docketry.plans.queries import QUERIES, SQL
