@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docketry.operators import sentences
+from docketry.operators import dictionary, sentences
 from docketry.plans.queries import query
 from docketry.session import read
 
@@ -44,3 +44,18 @@ def learned_chunks(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "text")
     rows = sentences.with_chunks(docs, "text", sentences.learn(docs, "text"))
     return rows.select("doc_id", F.size("chunks").alias("n_chunks"), F.sha2(F.to_json("chunks").cast("binary"), 256).alias("chunks_sha"))
+
+
+@query("dictionary_match", """WITH k AS (SELECT DISTINCT lower(text) AS key, (item_id % 7)::VARCHAR AS value FROM benchmark WHERE text <> ''),
+m AS (SELECT doc_id, value, length(key) AS n FROM documents JOIN k ON contains(lower(documents.text), key)), b AS (SELECT doc_id, value FROM m QUALIFY n = max(n) OVER (PARTITION BY doc_id))
+SELECT d.doc_id, v.passage FROM documents d LEFT JOIN (SELECT doc_id, CASE WHEN count(DISTINCT value) = 1 THEN min(value) END AS passage FROM b GROUP BY doc_id) v USING (doc_id)""")
+def dictionary_match(spark, sf):
+    keys = read(spark, sf, "benchmark").select(F.col("text").alias("key"), (F.col("item_id") % 7).alias("value"))
+    return dictionary.longest_key(read(spark, sf, "documents").select("doc_id", "text"), "text", keys, "passage").select("doc_id", "passage")
+
+
+@query("dictionary_censor")
+def dictionary_censor(spark, sf):
+    phrases = read(spark, sf, "benchmark").select(F.col("text").alias("phrase"), F.lit(False).alias("cased"))
+    rows = dictionary.censor(read(spark, sf, "documents").select("doc_id", "text"), "text", phrases)
+    return rows.select("doc_id", F.col("censored.n").alias("n_places"), F.sha2(F.col("censored.text").cast("binary"), 256).alias("text_sha"))
