@@ -19,23 +19,28 @@ from docketry.session import importable
 
 #: Rows of a side that meet in one task.
 BLOCK = 4096
+#: Where a task only gives sums or counts of its pairs: rows of the left and of the right side, and the blocks of a side below which it is cut further for the sake of the cores.
+LEFT, RIGHT, LEAST_ROWS = 16384, 65536, 1024
+#: Rows and columns of a tile inside such a task, and the neighbouring values whose counts travel as one row.
+TILE, WIDTH, CHUNK = 256, 8192, 4096
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def _blocks(left: DataFrame, right: DataFrame, backward: bool = False) -> DataFrame:
+def _blocks(left: DataFrame, right: DataFrame, backward: bool = False, cut: tuple[int, int] | None = None) -> DataFrame:
     """(lb, rb, left, id, year, vector) of both sides; a row goes to each block of the other side.
 
     backward: only pairs with the right side not later than the left are of use. Blocks then follow the years, and a row
     goes to those blocks of the other side that hold a year of use to it; rows without a year go nowhere.
+    cut: how many blocks each side has, else they follow BLOCK.
     """
     cols = ["lb", "rb", "side", "id", "year", "vector"]
     draw = F.xxhash64(F.lit("block"), "id")
     if not backward:
-        nl, nr = (max(1, math.ceil(x.count() / BLOCK)) for x in (left, right))
+        nl, nr = cut or (max(1, math.ceil(x.count() / BLOCK)) for x in (left, right))
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         a = left.withColumns({"lb": F.pmod(draw, F.lit(nl)).cast("int"), "rb": every(nr), "side": F.lit(True)}).select(*cols)
         b = right.withColumns({"rb": F.pmod(draw, F.lit(nr)).cast("int"), "lb": every(nl), "side": F.lit(False)}).select(*cols)
@@ -139,6 +144,19 @@ _REDUCED = {
 }
 
 
+def _cut(n: int, block: int, least: int) -> int:
+    """How many blocks: as many as ``block`` rows ask for, or ``least`` if none gets too small."""
+    return max(1, math.ceil(n / block), min(least, math.ceil(n / LEAST_ROWS)))
+
+
+def _places(x: np.ndarray, y: np.ndarray, scale: int) -> np.ndarray:
+    """Cosine distances of all rows of two matrices in whole steps of 1 / scale, as doubles."""
+    out = x @ y.T
+    np.subtract(1, out, out=out)
+    out *= scale
+    return np.rint(out, out=out)
+
+
 def distance_counts(left: DataFrame, right: DataFrame, decimals: int, once: bool = False) -> DataFrame:
     """(part, distance, n): how many pairs have a cosine distance, rounded to ``decimals`` places, by the left side's ``part``.
 
@@ -173,6 +191,50 @@ def distance_counts(left: DataFrame, right: DataFrame, decimals: int, once: bool
     return found.groupBy("part", "distance").agg(F.sum("n").alias("n"))
 
 
+def own_distances(rows: DataFrame, decimals: int) -> DataFrame:
+    """(part, n, mean, min, max) of the cosine distances, rounded to ``decimals`` places, of all pairs of a set, by the ``part`` of the smaller id.
+
+    ``rows`` are (id, part, vector), unit vectors. Blocks follow the ids and each two of them meet once, in a task that gives
+    one row a part, with an exact sum.
+    """
+    importable(rows.sparkSession)
+    scale = 10**decimals
+    n = _cut(rows.count(), LEFT, 12)
+    cuts = sorted(set(rows.select(F.col("id").cast("double").alias("id")).approxQuantile("id", [k / n for k in range(1, n)], 0.05 / n))) if n > 1 else []
+    block = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
+    own = rows.select("id", F.col("part").cast("long").alias("part"), "vector", block.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))).alias("other"))
+    own = own.withColumns({"lb": F.least("own", "other"), "rb": F.greatest("own", "other")})
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, part, vectors = table.column("id").to_numpy(), table.column("part").to_numpy(), table.column("vector").combine_chunks()
+        block, lb, rb = table.column("own").to_numpy(), table.column("lb")[0].as_py(), table.column("rb")[0].as_py()
+        a, b = np.flatnonzero(block == lb), np.flatnonzero(block == rb)
+        out = []
+        for p in np.unique(part[a]):
+            mine = a[part[a] == p]
+            pairs, total, low, high = 0, 0, math.inf, -math.inf
+            for j in range(0, len(b), WIDTH):
+                there = b[j : j + WIDTH]
+                y = _matrix(vectors.take(pa.array(there)))
+                for k in range(0, len(mine), TILE):
+                    here = mine[k : k + TILE]
+                    place = _places(_matrix(vectors.take(pa.array(here))), y, scale)
+                    if lb == rb:
+                        place = place[ids[here][:, None] < ids[there]]
+                    if place.size:
+                        pairs, total = pairs + place.size, total + int(place.sum())
+                        low, high = min(low, place.min()), max(high, place.max())
+            if pairs:
+                out.append((p, pairs, total, low / scale, high / scale))
+        cols = list(zip(*out, strict=True)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        return pa.table({c: pa.array(v, k) for c, v, k in zip(("part", "n", "total", "min", "max"), cols, kinds, strict=True)})
+
+    each = own.groupBy("lb", "rb").applyInArrow(run, "part bigint, n bigint, total bigint, min double, max double")
+    total = F.sum(F.col("total").cast("decimal(20,0)")).cast("double")
+    return each.groupBy("part").agg(F.sum("n").alias("n"), (total / F.sum("n") / F.lit(float(scale))).alias("mean"), F.min("min").alias("min"), F.max("max").alias("max"))
+
+
 def nearest(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
     """(left_id, rank, right_id, left_year, right_year, sim): the k nearest of ``right`` for each of ``left``, ties to the smaller id."""
     importable(left.sparkSession)

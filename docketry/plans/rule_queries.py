@@ -161,9 +161,8 @@ def stem_join_merged(spark, sf):
 @query("within_distances", f"""WITH {VECTORS}, d AS (SELECT p.id % 3 AS part, round(1 - list_dot_product(p.x, q.x), 6) AS distance FROM v p JOIN v q ON p.id < q.id)
 SELECT part, count(*) AS n, round(avg(distance), 6) AS mean, round(min(distance), 6) AS min, round(max(distance), 6) AS max FROM d GROUP BY part""")
 def within_distances(spark, sf):
-    v = t.vectors(spark, sf)
-    counts = similarity.distance_counts(v.withColumn("part", F.col("id") % 3), v, 6, once=True)
-    return geometry.counted_summary(counts, "distance", "n", ["part"]).select("part", "n", *(F.round(c, 6).alias(c) for c in ("mean", "min", "max")))
+    found = similarity.own_distances(t.vectors(spark, sf).select("id", (F.col("id") % 3).alias("part"), "vector"), 6)
+    return found.select("part", "n", *(F.round(c, 6).alias(c) for c in ("mean", "min", "max")))
 
 
 def _labelled(spark, sf, labels: int) -> DataFrame:

@@ -143,6 +143,26 @@ def test_distances_within_a_set(spark):
     assert got == {0.0: 1, 1.0: 2, 0.4: 2, 0.2: 1}
 
 
+def _spread(monkeypatch):
+    """90 vectors, some a little longer than 1, in many small blocks."""
+    for name, n in (("LEFT", 20), ("RIGHT", 30), ("LEAST_ROWS", 10), ("TILE", 4), ("WIDTH", 7)):
+        monkeypatch.setattr(similarity, name, n)
+    x = np.random.default_rng(2).normal(size=(90, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7], x[50] = x[3] * 1.001, x[3] * 1.001
+    return x, {(i, j): round(float(1 - x[i] @ x[j]), 4) for i in range(90) for j in range(90)}
+
+
+def test_summary_of_a_sets_own_pairs(spark, monkeypatch):
+    x, d = _spread(monkeypatch)
+    ids = [7 * k % 90 if k % 2 else k for k in range(90)]  # any order, some ids twice
+    rows = spark.createDataFrame([(k, k % 3, x[k].tolist()) for k in ids], "id long, part long, vector array<double>")
+    for r in similarity.own_distances(rows, 4).collect():
+        want = [d[i, j] for i in ids for j in ids if i < j and i % 3 == r["part"]]
+        assert (r["n"], r["min"], r["max"]) == (len(want), min(want), max(want)) and abs(r["mean"] - np.mean(want)) < 1e-12
+    assert similarity.own_distances(rows.where("id = 0"), 4).count() == 0
+
+
 def test_importance_by_permutation_and_search(spark):
     rng = np.random.default_rng(3)
     rows = spark.createDataFrame([(k, [float(rng.normal() * 3 + (k % 2) * 9), float(rng.normal()), float(rng.normal() * 0.5)], k % 2) for k in range(150)], "doc long, v array<double>, y int")
