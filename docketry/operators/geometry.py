@@ -17,10 +17,12 @@ def summary(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFra
 
 def counted_summary(rows: DataFrame, value: str, n: str, by: list[str]) -> DataFrame:
     """As ``summary`` for values that stand for n rows each."""
-    q = lambda p: F.percentile(value, F.lit(p), F.col(n))
+    # One map of values to counts for all three.
+    q = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)), F.col(n))
     total, mean = F.sum(n), F.sum(F.col(value) * F.col(n)) / F.sum(n)
     spread = F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col(value) * F.col(value) * F.col(n)) / F.sum(n) - mean * mean))
-    return rows.groupBy(*by).agg(total.alias("n"), mean.alias("mean"), spread.alias("std"), F.min(value).alias("min"), q(0.05).alias("p05"), q(0.5).alias("p50"), q(0.95).alias("p95"), F.max(value).alias("max"))
+    out = rows.groupBy(*by).agg(total.alias("n"), mean.alias("mean"), spread.alias("std"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"))
+    return out.select(*by, "n", "mean", "std", "min", *(F.get("q", k).alias(c) for k, c in enumerate(("p05", "p50", "p95"))), "max")
 
 
 def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int, n: str | None = None) -> DataFrame:

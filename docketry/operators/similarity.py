@@ -162,33 +162,66 @@ def distance_counts(left: DataFrame, right: DataFrame, decimals: int, once: bool
 
     once: for a set that meets itself; only pairs whose left id is the smaller one count.
 
-    Both sides are (id, year, vector), unit vectors; left has ``part`` too. Each
-    task counts its own block's pairs, so what is shuffled is bounded by the
-    number of rounded values, whatever the number of pairs.
+    Both sides are (id, year, vector), unit vectors; left has ``part`` too. A task counts the pairs of two large blocks, up to a
+    thousand million, and gives rows of CHUNK counts; so what it holds and gives is bounded by the number of
+    rounded values of a part, whatever the number of pairs.
     """
     importable(left.sparkSession)
     scale = 10**decimals
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy(zero_copy_only=False)
-        ids, part, x = table.column("id").to_numpy(), table.column("year").to_numpy(), _matrix(table.column("vector"))
+        ids, part, vectors = table.column("id").to_numpy(), table.column("year").to_numpy(), table.column("vector").combine_chunks()
         a, b = np.flatnonzero(side), np.flatnonzero(~side)
-        out = {"part": [], "distance": [], "n": []}
+        out = []
         for p in np.unique(part[a]):
             own = a[part[a] == p]
-            counts = np.zeros(2 * scale + 2, np.int64)
-            for k in range(0, len(own), 256):
-                here = own[k : k + 256]
-                place = np.clip(np.round((1 - x[here] @ x[b].T) * scale), 0, 2 * scale + 1).astype(np.int64)
-                counts += np.bincount(place[ids[here][:, None] < ids[b]] if once else place.ravel(), minlength=len(counts))
-            full = np.flatnonzero(counts)
-            for name, v in (("part", np.full(len(full), p)), ("distance", full / scale), ("n", counts[full])):
-                out[name].append(v)
-        return pa.table({k: np.concatenate(v) if v else np.zeros(0, np.float64 if k == "distance" else np.int64) for k, v in out.items()})
-
-    marked = left.select("id", F.col("part").alias("year"), "vector")
-    found = _blocks(marked, right.select("id", F.col("year").cast("long").alias("year"), "vector")).groupBy("lb", "rb").applyInArrow(run, "part bigint, distance double, n bigint")
-    return found.groupBy("part", "distance").agg(F.sum("n").alias("n"))
+            counts: dict[int, np.ndarray] = {}
+            for j in range(0, len(b), WIDTH):
+                there = b[j : j + WIDTH]
+                y = _matrix(vectors.take(pa.array(there)))
+                for k in range(0, len(own), TILE):
+                    here = own[k : k + TILE]
+                    place = _places(_matrix(vectors.take(pa.array(here))), y, scale).astype(np.int64)
+                    place = place[ids[here][:, None] < ids[there]] if once else place.ravel()
+                    if len(place):
+                        _count(place, counts)
+            out.append(pa.table({"part": np.full(len(counts), p, np.int64), "chunk": np.array(list(counts), np.int64), "counts": _lists(counts)}))
+        return pa.concat_tables(out) if out else pa.table({"part": np.zeros(0, np.int64), "chunk": np.zeros(0, np.int64), "counts": _lists({})})
+
+    def added(table: pa.Table) -> pa.Table:
+        each = table.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, CHUNK).sum(0)
+        full = np.flatnonzero(each)
+        place = table.column("chunk")[0].as_py() * CHUNK + full
+        return pa.table({"part": np.full(len(full), table.column("part")[0].as_py(), np.int64), "distance": place / scale, "n": each[full]})
+
+    marked = left.select("id", F.col("part").cast("long").alias("year"), "vector")
+    other = right.select("id", F.col("year").cast("long").alias("year"), "vector")
+    blocks = _blocks(marked, other, cut=(_cut(marked.count(), LEFT, 4), _cut(other.count(), RIGHT, 4)))
+    found = blocks.groupBy("lb", "rb").applyInArrow(run, "part bigint, chunk bigint, counts array<bigint>")
+    return found.groupBy("part", "chunk").applyInArrow(added, "part bigint, distance double, n bigint")
+
+
+def _count(place: np.ndarray, counts: dict[int, np.ndarray]) -> None:
+    """Add the counts of whole numbers to rows of CHUNK counts."""
+    low, high = int(place.min()) // CHUNK, int(place.max()) // CHUNK
+    if (high - low) * CHUNK <= 4 * len(place) + 4_000_000:
+        found = np.bincount(place - low * CHUNK, minlength=(high - low + 1) * CHUNK).reshape(-1, CHUNK)
+        each = ((low + int(i), found[i]) for i in np.flatnonzero(found.any(1)))
+    else:  # far from unit vectors
+        values, n = np.unique(place, return_counts=True)
+        cuts = np.unique(values // CHUNK)
+        each = ((int(c), np.bincount(values[values // CHUNK == c] - c * CHUNK, n[values // CHUNK == c], CHUNK).astype(np.int64)) for c in cuts)
+    for c, row in each:
+        if c in counts:
+            counts[c] += row
+        else:
+            counts[c] = row.copy()
+
+
+def _lists(counts: dict[int, np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(list(counts.values())) if counts else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, CHUNK, dtype=np.int32), pa.array(flat, pa.int64()))
 
 
 def own_distances(rows: DataFrame, decimals: int) -> DataFrame:

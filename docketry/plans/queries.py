@@ -389,6 +389,8 @@ def geometry_summary(spark, sf):
 def similarity_histogram(spark, sf):
     left, right = t.sides(spark, sf)
     d = similarity.distance_counts(left.withColumn("part", F.lit(0).cast("long")), right, 6)
+    # Copies of vectors a little longer than 1 are a rounding below 0.
+    d = d.withColumn("distance", F.greatest(F.lit(0.0), "distance"))
     return geometry.histogram(d, "distance", 0.0, 2.0, 60, "n").withColumn("density", F.round("density", 6))
 
 

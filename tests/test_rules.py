@@ -163,6 +163,20 @@ def test_summary_of_a_sets_own_pairs(spark, monkeypatch):
     assert similarity.own_distances(rows.where("id = 0"), 4).count() == 0
 
 
+def test_counts_of_distances_in_blocks(spark, monkeypatch):
+    x, d = _spread(monkeypatch)
+    rows = spark.createDataFrame([(k, 2000, k % 2, x[k].tolist()) for k in range(90)], "id long, year long, part long, vector array<double>")
+    want = {}
+    for i in range(40):
+        for j in range(90):
+            want[i % 2, d[i, j]] = want.get((i % 2, d[i, j]), 0) + 1
+    assert {(r["part"], r["distance"]): r["n"] for r in similarity.distance_counts(rows.where("id < 40"), rows, 4).collect()} == want
+    assert min(v for _, v in want) < 0  # counted as it is, not at 0
+    assert similarity.distance_counts(rows.where("id < 0"), rows, 4).count() == 0
+    far = spark.createDataFrame([(0, 2000, 0, [1e6]), (1, 2000, 0, [-1e6])], rows.schema)
+    assert {r["distance"]: r["n"] for r in similarity.distance_counts(far, far, 4).collect()} == {1 - 1e12: 2, 1 + 1e12: 2}
+
+
 def test_importance_by_permutation_and_search(spark):
     rng = np.random.default_rng(3)
     rows = spark.createDataFrame([(k, [float(rng.normal() * 3 + (k % 2) * 9), float(rng.normal()), float(rng.normal() * 0.5)], k % 2) for k in range(150)], "doc long, v array<double>, y int")
