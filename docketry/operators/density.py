@@ -16,6 +16,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from docketry.operators.neighbours import TILE, Cells, distances, matrix, met, with_visits
 from docketry.session import forget, materialize
 
-#: Edges of a band of the tree.
-BAND = 1_000_000
+#: Edges of a band of the tree: what one task merges.
+BAND = 500_000
 #: Distances below it count as it: copies are dense, but not infinitely.
 LEAST = 1e-9
 NOISE = -1
@@ -110,14 +111,16 @@ def _lightest(table: pa.Table) -> pa.Table:
     best: dict[int, tuple[float, int, int, int]] = {}
     for s in range(0, len(ask) if len(hold) else 0, TILE):
         some = ask[s : s + TILE]
-        w = np.maximum(np.maximum(distances(x[some], x[hold]), core[some][:, None]), np.maximum(core[hold][None, :], LEAST))
+        w = distances(x[some], x[hold])
+        np.maximum(w, core[some][:, None], out=w)
+        np.maximum(w, np.maximum(core[hold][None, :], LEAST), out=w)
         w[frag[some][:, None] == frag[hold][None, :]] = np.inf
         low = w.min(1)
-        lo, hi = np.minimum(ids[some][:, None], ids[hold][None, :]), np.maximum(ids[some][:, None], ids[hold][None, :])
         for k in np.flatnonzero(np.isfinite(low)).tolist():
             at = np.flatnonzero(w[k] == low[k])
-            j = at[np.lexsort((hi[k, at], lo[k, at]))[0]]
-            found = (float(low[k]), int(lo[k, j]), int(hi[k, j]), int(frag[hold[j]]))
+            lo, hi = np.minimum(ids[some[k]], ids[hold[at]]), np.maximum(ids[some[k]], ids[hold[at]])
+            j = np.lexsort((hi, lo))[0]
+            found = (float(low[k]), int(lo[j]), int(hi[j]), int(frag[hold[at[j]]]))
             c = int(frag[some[k]])
             if c not in best or found < best[c]:
                 best[c] = found
@@ -130,52 +133,71 @@ _EVENTS = {"kind": pa.string(), "f": pa.int64(), "to": pa.int64(), "w": pa.float
 _STATE = ["size", "cluster", "inside", "below"]
 
 
-def merge_band(edges: list[tuple[float, int, int, int, int, int]], state: dict[int, tuple], min_size: int) -> list[dict]:
-    """Merge fragments by edges (w, a, b, number, fragment of a, fragment of b) in their order: events as in _EVENTS.
+def merge_band(edges: dict[str, np.ndarray], state: dict[str, np.ndarray], min_size: int) -> pa.Table:
+    """Merge fragments by edges (w, a, b, number e, fragments fa and fb) in the order of (w, a, b): events as in _EVENTS.
 
-    ``state``: (size, cluster or None, inside, below) by fragment; inside: the sum over a cluster's rows of the density at which
-    each leaves it; below: the stability of what is flagged below. A cluster has the number of the edge that made it.
+    ``state``: (f, size, cluster, has, inside, below), a row a fragment; has: whether it is in a cluster; inside: the sum over a
+    cluster's rows of the density at which each leaves it; below: the stability of what is flagged below. A cluster has the
+    number of the edge that made it. Everything stands in arrays, about 300 bytes an edge.
     """
-    up: dict[int, int] = {}
+    names, first = np.unique(state["f"], return_index=True)
+    typed = lambda kind, values: array(kind, np.ascontiguousarray(values).tobytes())
+    size, cluster, has = typed("q", state["size"][first].astype(np.int64)), typed("q", state["cluster"][first].astype(np.int64)), typed("b", state["has"][first].astype(np.int8))
+    inside, below = typed("d", state["inside"][first].astype(np.float64)), typed("d", state["below"][first].astype(np.float64))
+    up = typed("q", np.arange(len(names)))
+    # Fragments of the band's start in one that is no cluster yet, as a chain from its root.
+    after, last = typed("q", np.full(len(names), -1)), typed("q", np.arange(len(names)))
+    order = np.lexsort((edges["b"], edges["a"], edges["w"]))
+    ends = [typed("q", np.searchsorted(names, edges[c][order])) for c in ("fa", "fb")]
+    fell, ended = [array(k) for k in "qqd"], [array(k) for k in "qqdb"]
 
     def root(f: int) -> int:
-        while f in up:
-            up[f] = up.get(up[f], up[f])
+        while up[f] != f:
+            up[f] = up[up[f]]
             f = up[f]
         return f
 
-    out: list[dict] = []
-    loose: dict[int, list[int]] = {}  # fragments of the band's start in one that is no cluster yet
-    for w, _, _, number, fa, fb in sorted(edges):
+    def falls(f: int, to: int, w: float) -> None:
+        while f >= 0:
+            for column, v in zip(fell, (f, to, w), strict=True):
+                column.append(v)
+            f = after[f]
+
+    # ``names`` has an end's fragment, and an edge's two ends are in different ones.
+    for w, number, fa, fb in zip(typed("d", edges["w"][order]), typed("q", edges["e"][order]), *ends, strict=True):
         a, b = root(fa), root(fb)
-        (na, ca, ia, ba), (nb, cb, ib, bb) = state[a], state[b]
-        n, density = na + nb, 1 / w
-        if ca is None and cb is None:
-            both = loose.pop(a, [a]) + loose.pop(b, [b])
-            if n < min_size:
-                state[a], loose[a] = (n, None, 0.0, 0.0), both
-            else:
-                state[a] = (n, number, n * density, 0.0)
-                out += [{"kind": "f", "f": f, "to": number, "w": w} for f in both]
-        elif ca is None or cb is None:
-            small, size, c = (a, na, cb) if ca is None else (b, nb, ca)
-            out += [{"kind": "f", "f": f, "to": c, "w": w} for f in loose.pop(small, [small])]
-            state[a] = (n, c, ia + ib + size * density, ba + bb)
+        na, nb, density = size[a], size[b], 1 / w
+        n = na + nb
+        if not has[a] and not has[b]:
+            after[last[a]], last[a] = b, last[b]
+            if n >= min_size:
+                cluster[a], has[a], inside[a], below[a] = number, 1, n * density, 0.0
+                falls(a, number, w)
+        elif not has[a] or not has[b]:
+            small, less, c = (a, na, cluster[b]) if not has[a] else (b, nb, cluster[a])
+            falls(small, c, w)
+            cluster[a], has[a], inside[a], below[a] = c, 1, inside[a] + inside[b] + less * density, below[a] + below[b]
         else:
             flagged = 0.0
-            for c, size, inside, below in ((ca, na, ia, ba), (cb, nb, ib, bb)):
-                stability = inside - size * density
-                flagged += max(stability, below)
-                out.append({"kind": "c", "f": c, "to": number, "w": w, "flagged": stability >= below})
-            state[a] = (n, number, n * density, flagged)
-        up[b] = a
-    for f in state:
-        if root(f) != f:
-            out.append({"kind": "m", "f": f, "to": root(f)})
-        else:
-            size, c, inside, below = state[f]
-            out.append({"kind": "s", "f": f, "to": c, "size": size, "inside": inside, "below": below})
-    return out
+            for x, rows in ((a, na), (b, nb)):
+                stability = inside[x] - rows * density
+                flagged += max(stability, below[x])
+                for column, v in zip(ended, (cluster[x], number, w, stability >= below[x]), strict=True):
+                    column.append(v)
+            cluster[a], inside[a], below[a] = number, n * density, flagged
+        size[a], up[b] = n, a
+    roots = np.array([root(f) for f in range(len(names))], np.int64)
+    moved, stay = np.flatnonzero(roots != np.arange(len(names))), np.flatnonzero(roots == np.arange(len(names)))
+    of = lambda column, kind: np.frombuffer(column, kind)[stay] if len(column) else np.zeros(0, kind)
+    seen = lambda column, kind: np.frombuffer(column, kind) if len(column) else np.zeros(0, kind)
+    parts = [
+        {"kind": "f", "f": names[seen(fell[0], np.int64)], "to": seen(fell[1], np.int64), "w": seen(fell[2], np.float64)},
+        {"kind": "c", "f": seen(ended[0], np.int64), "to": seen(ended[1], np.int64), "w": seen(ended[2], np.float64), "flagged": seen(ended[3], np.int8).astype(bool)},
+        {"kind": "m", "f": names[moved], "to": names[roots[moved]]},
+        {"kind": "s", "f": names[stay], "to": pa.array(of(cluster, np.int64), mask=of(has, np.int8) == 0), "size": of(size, np.int64), "inside": of(inside, np.float64), "below": of(below, np.float64)},
+    ]
+    column = lambda p, c, kind: pa.array([p["kind"]]).take(pa.array(np.zeros(len(p["f"]), np.int8))) if c == "kind" else pa.array(p[c], kind) if c in p else pa.nulls(len(p["f"]), kind)
+    return pa.concat_tables([pa.table({c: column(p, c, kind) for c, kind in _EVENTS.items()}) for p in parts])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -211,13 +233,11 @@ def condensed(tree: DataFrame, nodes: DataFrame, min_size: int, band: int = BAND
     schema = ", ".join(f"{k} {'string' if v == pa.string() else 'bigint' if v == pa.int64() else 'double' if v == pa.float64() else 'boolean'}" for k, v in _EVENTS.items())
 
     def merge(table: pa.Table) -> pa.Table:
-        cols = {c: table.column(c).to_pylist() for c in table.column_names}
-        known: dict[int, tuple] = {}
-        for side in "ab":
-            for f, *values in zip(cols[f"f{side}"], *(cols[f"{c}_{side}"] for c in _STATE), strict=True):
-                known[f] = tuple(values)
-        events = merge_band(list(zip(*(cols[c] for c in ("w", "a", "b", "e", "fa", "fb")), strict=True)), known, min_size)
-        return pa.table({k: pa.array([v.get(k) for v in events], kind) for k, kind in _EVENTS.items()})
+        of = lambda c: table.column(c).to_numpy()
+        both = lambda c, sides="ab": np.concatenate([of(f"{c}_{side}") for side in sides])
+        cluster = pa.concat_arrays([x for side in "ab" for x in table.column(f"cluster_{side}").chunks])
+        state = {"f": np.concatenate([of("fa"), of("fb")]), "cluster": cluster.fill_null(0).to_numpy(), "has": cluster.is_valid().to_numpy(zero_copy_only=False), **{c: both(c) for c in ("size", "inside", "below")}}
+        return merge_band({c: of(c) for c in ("w", "a", "b", "e", "fa", "fb")}, state, min_size)
 
     for low, high in zip(lows, lows[1:], strict=False):
         here = edges.where((F.col("w") > low) & (F.col("w") <= high))

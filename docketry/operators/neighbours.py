@@ -22,7 +22,7 @@ from docketry.session import importable, materialize
 #: Rows of a side that meet in one task, and at most how many pivots a driver and a task hold.
 BLOCK, MOST_PIVOTS = 16384, 4096
 #: Rows of a tile inside a task, and the dimensions from which candidates come from a matrix product first.
-TILE, WIDE = 256, 16
+TILE, WIDE = 64, 16
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -34,8 +34,10 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of all rows of two matrices."""
     out = np.zeros((len(a), len(b)))
     for k in range(a.shape[1]):
-        out += (a[:, k, None] - b[None, :, k]) ** 2
-    return np.sqrt(out)
+        off = a[:, k, None] - b[None, :, k]
+        off *= off
+        out += off
+    return np.sqrt(out, out=out)
 
 
 def pivots(rows: DataFrame, n: int, key: str = "id", vector: str = "x") -> np.ndarray:

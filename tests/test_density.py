@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +178,20 @@ def test_few_and_none(spark):
     assert labels(spark, []) == {}
     assert labels(spark, [(1, [0.0]), (2, [1.0])]) == {1: -1, 2: -1}
     assert labels(spark, [(k, [0.0]) for k in range(9)]) == dict.fromkeys(range(9), -1)
+
+
+def test_a_band_is_merged_in_arrays():
+    n = 30_000
+    rng = np.random.default_rng(4)
+    a = np.array([rng.integers(0, k) for k in range(1, n)])
+    edges = {"w": rng.random(n - 1) + 0.1, "a": a, "b": np.arange(1, n), "e": np.arange(n - 1), "fa": a, "fb": np.arange(1, n)}
+    state = {"f": np.arange(n), "size": np.ones(n, np.int64), "cluster": np.zeros(n, np.int64), "has": np.zeros(n, bool), "inside": np.zeros(n), "below": np.zeros(n)}
+    density.merge_band(edges, state, 5)  # what is loaded on the first call doesn't count
+    tracemalloc.start()
+    events = density.merge_band(edges, state, 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 * n  # 752 as lists, tuples and dicts, without those of the table's columns
+    kinds = events.column("kind").to_pylist()
+    assert kinds.count("f") == n and kinds.count("m") == n - 1 and kinds.count("s") == 1
+    assert events.filter(pc.equal(events.column("kind"), "s")).column("size").to_pylist() == [n]
