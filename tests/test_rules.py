@@ -188,3 +188,12 @@ def test_importance_by_permutation_and_search(spark):
     assert [c for c, _ in found][-1] == grid[0] and found[0][1] < found[-1][1]
     worst = classify.searched(rows, "doc", "v", ["y"], "logistic", grid, folds=2, scorer=lambda scored, labels: -classify.mean_entropy(scored, labels))
     assert worst[0][0] == grid[0]
+
+
+def test_wide_values_are_spread_by_row(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "ROWS", 10)
+    rows = spark.createDataFrame([(k, "hot" if k < 95 else None if k < 97 else "none") for k in range(100)], "k long, stem string")
+    out = lookup.spread(rows, spark.createDataFrame([("hot", "1,2,3")], "stem string, keys string"), "stem", "k")
+    assert {r["k"]: r["keys"] for r in out.collect()} == {k: "1,2,3" if k < 95 else None for k in range(100)}
+    held = [n for n in out.rdd.glom().map(len).collect()]
+    assert len(held) == 10 and max(held) < 40  # by stem, 95 rows were in one task
