@@ -85,7 +85,7 @@ def circle_radii(spark, sf):
 @query("label_vector", f"WITH {BASE} SELECT paper_id, list_contains(parties, 'NATION_1')::INT AS a, list_contains(parties, 'NATION_2')::INT AS b, list_contains(parties, 'NATION_3')::INT AS c FROM lists")
 def label_vector(spark, sf):
     coded = F.transform(F.array(*(F.lit(f"NATION_{k}") for k in (1, 2, 3))), lambda c: F.array_contains("parties", c).cast("int"))
-    rows = t.with_parties(spark, sf, t.papers(spark, sf).select("paper_id")).select("paper_id", coded.alias("y"))
+    rows = t.parties(spark, sf).select("paper_id", coded.alias("y"))
     return rows.select("paper_id", *(F.get("y", k).alias(n) for k, n in enumerate("abc")))
 
 

@@ -18,16 +18,12 @@ BODIES = [f"NATION_{k}" for k in range(0, 25, 2)]
 BODY_LIST = "[" + ", ".join(f"'{b}'" for b in BODIES) + "]"
 
 
-def _parties(spark, sf) -> DataFrame:
-    return t.with_parties(spark, sf, t.papers(spark, sf).select("paper_id"))
-
-
 @query("names_in_reply", f"WITH {BASE} SELECT paper_id, array_to_string(list_filter(['NATION_3', 'NATION_1', 'nation_7', 'NATION_11'], lambda n: list_contains(parties, upper(n))), ',') AS named FROM lists")
 def names_in_reply(spark, sf):
     entry = F.transform("parties", lambda p: F.concat(F.lit(' "'), replies.title_case(p), F.lit("' ")))
     reply = F.concat(F.lit("They are:\n["), F.array_join(entry, ",\n"), F.lit("] and not [NATION_11]"))
     known = F.array(*map(F.lit, ["NATION_3", "NATION_1", "nation_7", "NATION_11"]))
-    return _parties(spark, sf).select("paper_id", F.array_join(replies.names_in_reply(reply, known), ",").alias("named"))
+    return t.parties(spark, sf).select("paper_id", F.array_join(replies.names_in_reply(reply, known), ",").alias("named"))
 
 
 @query("phrases_in_reply", "SELECT conv_id, turn, role || '|' || conv_id || '|]' || turn AS phrases FROM conversations")
@@ -55,7 +51,7 @@ def instrument_nouns(spark, sf):
 @query("tags_left", f"WITH {BASE} SELECT paper_id, array_to_string(list_filter(parties, lambda p: NOT list_contains(['NATION_1', 'NATION_2', 'NATION_3'], p)), ',') AS rest FROM lists")
 def tags_left(spark, sf):
     away = F.array(*(F.lit(f"NATION_{k}") for k in (1, 2, 3)))
-    return _parties(spark, sf).select("paper_id", F.array_join(F.array_except("parties", away), ",").alias("rest"))
+    return t.parties(spark, sf).select("paper_id", F.array_join(F.array_except("parties", away), ",").alias("rest"))
 
 
 @query("rank_one_and_five", KNN + " SELECT left_id, round(max(sim) FILTER (WHERE rank = 1), 6) AS first, round(max(sim) FILTER (WHERE rank = 5), 6) AS fifth FROM k GROUP BY left_id")
@@ -105,7 +101,7 @@ real AS (SELECT paper_id, list_filter(parties, lambda p: NOT list_contains({BODY
 
 def _with_real_parties(spark, sf, rows: DataFrame, doc: str) -> DataFrame:
     """``rows`` with ``parties``, those that aren't bodies; null for a paper that nobody authored."""
-    own = similarity.real_parties(_parties(spark, sf), "parties", BODIES).withColumnRenamed("paper_id", doc)
+    own = similarity.real_parties(t.parties(spark, sf), "parties", BODIES).withColumnRenamed("paper_id", doc)
     return rows.join(own, doc, "left")
 
 

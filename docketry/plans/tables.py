@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,11 +24,25 @@ def working_papers(spark: SparkSession, sf: str) -> DataFrame:
     return papers(spark, sf, WINDOW).where(F.col("kind") == "F")
 
 
+#: Line items that one task holds when they are gathered by paper.
+ITEMS = 1_000_000
+
+
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    """(paper_id, l_suppkey) of the line items, dealt by paper to as many tasks as their number asks for, so that what a task holds doesn't grow with the table."""
+    rows = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("paper_id"), "l_suppkey")
+    n = math.ceil(rows.count() / ITEMS)
+    return rows.repartition(n, "paper_id") if n > 1 else rows
+
+
+def _suppliers(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "supplier").join(read(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("party"))
+
+
 def authored(spark: SparkSession, sf: str, of: DataFrame) -> DataFrame:
     """The columns of ``of`` (a few, with paper_id as key) and each of a paper's parties once. Line items meet the chosen papers before anything is made distinct."""
-    s = read(spark, sf, "supplier").join(read(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_name").alias("party"))
     items = read(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").join(of, F.col("l_orderkey") == F.col("paper_id"))
-    return items.join(s, F.col("l_suppkey") == F.col("s_suppkey")).select(*of.columns, "party").distinct()
+    return items.join(_suppliers(spark, sf), F.col("l_suppkey") == F.col("s_suppkey")).select(*of.columns, "party").distinct()
 
 
 def with_parties(spark: SparkSession, sf: str, of: DataFrame) -> DataFrame:
@@ -34,6 +50,14 @@ def with_parties(spark: SparkSession, sf: str, of: DataFrame) -> DataFrame:
     return authored(spark, sf, of).groupBy(*of.columns).agg(F.array_sort(F.collect_list("party")).alias("parties"))
 
 
+def parties(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataFrame:
+    """(paper_id, parties): each paper's parties once, in ascending order, of all papers with a line item or of those in ``of`` (paper_id)."""
+    items = _items(spark, sf)
+    items = items if of is None else items.join(of.select("paper_id").distinct(), "paper_id", "left_semi")
+    each = items.join(_suppliers(spark, sf), F.col("l_suppkey") == F.col("s_suppkey")).select("paper_id", "party").distinct()
+    return each.groupBy("paper_id").agg(F.array_sort(F.collect_list("party")).alias("parties"))
+
+
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
     """(id, year, label, vector)"""
     e = read(spark, sf, "embeddings")
