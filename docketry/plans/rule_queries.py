@@ -101,7 +101,9 @@ real AS (SELECT paper_id, list_filter(parties, lambda p: NOT list_contains({BODY
 
 def _with_real_parties(spark, sf, rows: DataFrame, doc: str) -> DataFrame:
     """``rows`` with ``parties``, those that aren't bodies; null for a paper that nobody authored."""
-    own = similarity.real_parties(t.parties(spark, sf), "parties", BODIES).withColumnRenamed("paper_id", doc)
+    # Line items meet the wanted papers before they are gathered.
+    wanted = rows.select(F.col(doc).cast("long").alias("paper_id"))
+    own = similarity.real_parties(t.parties(spark, sf, wanted), "parties", BODIES).withColumnRenamed("paper_id", doc)
     return rows.join(own, doc, "left")
 
 

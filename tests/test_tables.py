@@ -22,3 +22,10 @@ def test_parties_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
     assert {r["paper_id"]: r["a"] for r in more_queries.label_vector(spark, str(tmp_path)).collect()}[999] == 1
     for f in (rule_queries.names_in_reply, rule_queries.tags_left):
         assert f(spark, str(tmp_path)).where("paper_id = 999").count() == 1
+
+
+def test_parties_of_wanted_papers(spark, tmp_path):
+    _write(spark, tmp_path)
+    wanted = spark.createDataFrame([(3,), (3,), (999,), (12345,)], "paper_id long")
+    got = tables.parties(spark, str(tmp_path), wanted)
+    assert {r["paper_id"]: len(r["parties"]) for r in got.collect()} == {3: 3, 999: 1}
