@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,9 @@ from docketry.plans import tables as t
 from docketry.plans.queries import BASE, VECTORS, query
 from docketry.session import read
 
+#: Pairs that one part of a sample makes.
+PAIRS = 8_000_000
+
 
 def radii(counts: DataFrame, count: str, most: float = 1.0) -> DataFrame:
     """``counts`` with ``radius``: areas in proportion to the counts, the largest circle of radius ``most``."""
@@ -22,11 +27,17 @@ def radii(counts: DataFrame, count: str, most: float = 1.0) -> DataFrame:
 def sampled_pairs(left: DataFrame, right: DataFrame, key: str, share: int, of: int, seed: int) -> DataFrame:
     """A repeatable sample of pairs: each of ``left`` meets the rows of ``right`` in as many of ``of`` hash classes as ``share`` says.
 
-    Classes are joined on, so pairs that aren't in the sample are never made.
+    Classes are joined on, so pairs that aren't in the sample are never made. A class of ``left`` is cut into parts, to each of
+    which the class of ``right`` goes, so that a part makes about PAIRS pairs at most; parts are dealt to a task each,
+    however few bytes the keys are.
     """
     kind = lambda c: F.pmod(F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(c).cast("string")).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(of))
-    a = left.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(share - 1)))).withColumn("_c", F.pmod(kind(key) + F.col("_k"), F.lit(of))).select(F.col(key).alias("left_id"), "_c")
-    return a.join(right.select(F.col(key).alias("right_id"), kind(key).alias("_c")), "_c").select("left_id", "right_id")
+    parts = max(1, math.ceil(share * left.count() / of * (right.count() / of) / PAIRS))
+    part = F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts)).cast("int")
+    a = left.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(share - 1)))).select(F.col(key).alias("left_id"), F.pmod(kind(key) + F.col("_k"), F.lit(of)).alias("_c"), part.alias("_p"))
+    b = right.select(F.col(key).alias("right_id"), kind(key).alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_p"))
+    a, b = (x.repartition(of * parts, "_c", "_p") for x in (a, b))
+    return a.join(b, ["_c", "_p"]).select("left_id", "right_id")
 
 
 @query("qualified_documents", r"SELECT doc_id FROM documents WHERE lower(coalesce(lang, '')) = 'en' AND trim(text) <> '' AND NOT coalesce(contains(text, 'stupid'), false) AND len(regexp_extract_all(trim(text), '\S+')) >= 80 AND n_chars BETWEEN 300 AND 5000")

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from docketry.plans import more_queries, rule_queries, tables
 
 
@@ -29,3 +31,14 @@ def test_parties_of_wanted_papers(spark, tmp_path):
     wanted = spark.createDataFrame([(3,), (3,), (999,), (12345,)], "paper_id long")
     got = tables.parties(spark, str(tmp_path), wanted)
     assert {r["paper_id"]: len(r["parties"]) for r in got.collect()} == {3: 3, 999: 1}
+
+
+def test_sampled_pairs_are_dealt_evenly(spark, monkeypatch):
+    rows = spark.range(400)
+    whole = more_queries.sampled_pairs(rows.where("id % 5 = 0"), rows.where("id % 5 <> 0"), "id", 2, 4, 7)
+    before = {tuple(r) for r in whole.collect()}
+    monkeypatch.setattr(more_queries, "PAIRS", 500)
+    some = more_queries.sampled_pairs(rows.where("id % 5 = 0"), rows.where("id % 5 <> 0"), "id", 2, 4, 7)
+    assert {tuple(r) for r in some.collect()} == before and some.count() == len(before)
+    tasks = some.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 8 and max(r["count"] for r in tasks) < len(before) / 4
