@@ -197,3 +197,19 @@ def test_wide_values_are_spread_by_row(spark, monkeypatch):
     assert {r["k"]: r["keys"] for r in out.collect()} == {k: "1,2,3" if k < 95 else None for k in range(100)}
     held = [n for n in out.rdd.glom().map(len).collect()]
     assert len(held) == 10 and max(held) < 40  # by stem, 95 rows were in one task
+
+
+def test_no_pieces_and_no_values_pass_through_the_driver(spark, sf, monkeypatch):
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    table = spark.read.parquet(f"{sf}/supplier.parquet")
+    rows = table.select("s_suppkey", F.concat(F.lit("x"), "s_name").alias("stem"))
+    for merge in (False, True):
+        assert "Broadcast" not in plan(lookup.by_stem(rows.select("stem").distinct(), table.select("s_name", F.col("s_suppkey").alias("v")), "stem", "s_name", "v", merge=merge))
+    monkeypatch.setattr(lookup, "BYTES", 100)
+    many = spark.createDataFrame([(k, "wide" if k < 40 else "thin" if k < 80 else "none") for k in range(90)], "k long, stem string")
+    values = spark.createDataFrame([("wide", "1" * 50), ("thin", "2"), ("unused", "3" * 1000)], "stem string, keys string")
+    out = lookup.spread(many, values, "stem", "k")
+    assert {r["k"]: r["keys"] for r in out.collect()} == {k: "1" * 50 if k < 40 else "2" if k < 80 else None for k in range(90)}
+    wide = [sum(r["stem"] == "wide" for r in part) for part in out.rdd.glom().collect()]
+    assert len(wide) == 21 and max(wide) <= 12  # 2,040 bytes of values in parts of about 100; they were one task
+    assert lookup.spread(many.where("k < 0"), values, "stem", "k").count() == 0
