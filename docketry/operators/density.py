@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.operators.neighbours import TILE, Cells, distances, matrix, met, with_visits
+from docketry.operators.neighbours import TILE, WIDE, Cells, distances, matrix, met, pair_distances, squares, with_visits
 from docketry.session import forget, materialize
 
 #: Edges of a band of the tree: what one task merges.
@@ -102,6 +102,18 @@ def spanning_tree(nodes: DataFrame, min_samples: int, neighbours: int) -> DataFr
     return out
 
 
+def _weights_of_few(x: np.ndarray, y: np.ndarray, least: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """Weights of all rows of two matrices, at least ``least``: of wide ones only those that may be a row's lightest but for ``same``, the rest is infinite."""
+    rough, slack = squares(x, y)
+    np.maximum(rough, least * least, out=rough)
+    rough[same] = np.inf
+    low = rough.min(1, keepdims=True)
+    row, column = np.nonzero((rough <= low * (1 + 1e-12) + 2 * slack) & ~same)
+    out = np.full(rough.shape, np.inf)
+    out[row, column] = np.maximum(pair_distances(x, y, row, column), least[row, column])
+    return out
+
+
 def _lightest(table: pa.Table) -> pa.Table:
     """A block's lightest edge from each asking fragment to another one."""
     side = table.column("side").to_numpy(zero_copy_only=False)
@@ -109,12 +121,13 @@ def _lightest(table: pa.Table) -> pa.Table:
     ask, hold = np.flatnonzero(side), np.flatnonzero(~side)
     hold = hold[np.argsort(ids[hold], kind="stable")]
     best: dict[int, tuple[float, int, int, int]] = {}
+    held, wide = x[hold], x.shape[1] >= WIDE
     for s in range(0, len(ask) if len(hold) else 0, TILE):
         some = ask[s : s + TILE]
-        w = distances(x[some], x[hold])
-        np.maximum(w, core[some][:, None], out=w)
-        np.maximum(w, np.maximum(core[hold][None, :], LEAST), out=w)
-        w[frag[some][:, None] == frag[hold][None, :]] = np.inf
+        least = np.maximum(np.maximum(core[some][:, None], core[hold][None, :]), LEAST)
+        same = frag[some][:, None] == frag[hold][None, :]
+        w = _weights_of_few(x[some], held, least, same) if wide else np.maximum(distances(x[some], held), least)
+        w[same] = np.inf
         low = w.min(1)
         for k in np.flatnonzero(np.isfinite(low)).tolist():
             at = np.flatnonzero(w[k] == low[k])

@@ -113,22 +113,32 @@ def met(asks: DataFrame, holds: DataFrame, cells: DataFrame) -> DataFrame:
     return a.drop("ka", "kc").unionByName(h.drop("ka", "kc"), allowMissingColumns=True)
 
 
+def squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of all rows of two matrices from one product, and by how much rounding may have moved those of a row."""
+    middle = y.mean(0)
+    x0, y0 = x - middle, y - middle
+    xx, yy = (x0 * x0).sum(1), (y0 * y0).sum(1)
+    return xx[:, None] + yy[None, :] - 2 * (x0 @ y0.T), 1e-11 * (xx[:, None] + yy.max())
+
+
+def pair_distances(x: np.ndarray, y: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Distances of some pairs, summed as ``distances`` does."""
+    d = np.zeros(len(row))
+    for j in range(x.shape[1]):
+        d += (x[row, j] - y[column, j]) ** 2
+    return np.sqrt(d)
+
+
 def _candidates(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
     """Distances of all rows of two matrices; of wide ones only those that may be among a row's k nearest, the rest is infinite."""
     if x.shape[1] < WIDE or len(y) <= 2 * k:
         return distances(x, y)
-    middle = y.mean(0)
-    x0, y0 = x - middle, y - middle
-    xx, yy = (x0 * x0).sum(1), (y0 * y0).sum(1)
-    rough = xx[:, None] + yy[None, :] - 2 * (x0 @ y0.T)
+    rough, slack = squares(x, y)
     # The k-th and the row itself, and what rounding may have moved.
-    least = np.partition(rough, k, axis=1)[:, k, None] + 1e-11 * (xx[:, None] + yy.max())
+    least = np.partition(rough, k, axis=1)[:, k, None] + slack
     row, column = np.nonzero(rough <= least)
     out = np.full(rough.shape, np.inf)
-    d = np.zeros(len(row))
-    for j in range(x.shape[1]):
-        d += (x[row, j] - y[column, j]) ** 2
-    out[row, column] = np.sqrt(d)
+    out[row, column] = pair_distances(x, y, row, column)
     return out
 
 

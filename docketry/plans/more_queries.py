@@ -147,5 +147,5 @@ def label_pair_shares(spark, sf):
 
 @query("density_clusters")
 def density_clusters(spark, sf):
-    near = read(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 3).alias("x"))
+    near = read(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("x"))
     return density.clustered(near, min_size=5, min_samples=5, neighbours=15, key="vec_id")

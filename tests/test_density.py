@@ -1,10 +1,13 @@
+import itertools
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from docketry.operators import density, neighbours
 
 SCHEMA = "id long, x array<double>"
@@ -195,3 +198,32 @@ def test_a_band_is_merged_in_arrays():
     kinds = events.column("kind").to_pylist()
     assert kinds.count("f") == n and kinds.count("m") == n - 1 and kinds.count("s") == 1
     assert events.filter(pc.equal(events.column("kind"), "s")).column("size").to_pylist() == [n]
+
+
+def test_lightest_edges_of_wide_vectors():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 20)) * 30 + 1e4
+    x[50:90] = np.round(x[50:90] / 40) * 40  # ties
+    x[90:95] = x[50]
+    x[100:110] = x[100] + rng.normal(size=(10, 20)) * 1e-7  # nearer than the product tells
+    frag, core, side = rng.integers(0, 9, 400), np.where(rng.random(400) < 0.5, 0.0, 150.0), rng.random(400) < 0.4
+    got = density._lightest(pa.table({"side": side, "id": np.arange(400), "c": frag, "core": core, "x": pa.array(x.tolist())})).to_pylist()
+    w = np.maximum(np.maximum(neighbours.distances(x, x), np.maximum(core[:, None], core[None, :])), density.LEAST)
+    want = {}
+    for i, j in itertools.product(np.flatnonzero(side).tolist(), np.flatnonzero(~side).tolist()):
+        if frag[i] != frag[j]:
+            edge = (w[i, j], min(i, j), max(i, j), frag[j])
+            want[frag[i]] = min(want.get(frag[i], edge), edge)
+    assert {r["c"]: (r["w"], r["a"], r["b"], r["to"]) for r in got} == want
+
+
+def test_the_query_uses_all_components(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    x = np.full((90, 20), 0.5)
+    x[:, :3] += rng.normal(size=(90, 3)) * 0.01  # one group by the first components
+    x[:, 10:] += rng.normal(size=(90, 10)) * 0.02 + (np.arange(90) % 3 * 4)[:, None]
+    data = [(k, v) for k, v in enumerate(x.tolist())]
+    spark.createDataFrame(data, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["vec_id"]: r["topic"] for r in queries()["density_clusters"](spark, str(tmp_path)).collect()}
+    assert got == brute_labels(data, 5, 5)
+    assert {t: {k % 3 for k in got if got[k] == t} for t in (0, 1, 2)} == {0: {0}, 1: {1}, 2: {2}}
